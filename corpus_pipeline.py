@@ -1,11 +1,65 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""The corpus pipeline: from raw documents to token ids, each stage an operator of ``polyloom.llm``.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's docs. All but
+the last return the columns of ``documents``. Rows that a stage doesn't reject keep their place, whatever is null in them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from polyloom.llm import bpe, common, decontaminate, jaccard, quality, secrets
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts."""
+    model = quality.fit(spark, docs, common.table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).where("quality_score >= 0.5").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates."""
+    return jaccard.one_of_each(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no benchmark item."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced; n_chars counts the new text where it changed."""
+    changed = F.size("secret_spans") > 0
+    return secrets.scan(docs, redact="[SECRET]").withColumn("n_chars", F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and digests of ids and of what they decode to."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=False)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_redaction),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: Trained models and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; between stages the documents are a table in the shared folder."""
+    docs = common.table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.materialise(docs)
     return docs

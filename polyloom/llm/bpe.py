@@ -26,7 +26,6 @@ from polyloom.llm import common
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-
 def piece_bytes(vocabulary: dict[str, int], added: dict[str, int]) -> list[bytes]:
     """The bytes of every id. Byte-level vocabularies write a byte as a printable character: bytes that print stand for themselves, the others follow from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -99,8 +98,8 @@ def read_spec(path: str) -> tuple[str, list[str]]:
     return spec, [x["content"] for x in json.loads(spec).get("added_tokens", [])]
 
 
-def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
-    """id, ids (array of ints, only if asked for), decoded text, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
+def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """id, ids (array of ints) and decoded text (each only if asked for), n_tokens, ids_sha256, decoded_sha256 of every whole text."""
     spec, special = read_spec(path)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     kinds = {"id": None, "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
@@ -118,21 +117,23 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 flat, rows = np.zeros(0, np.int32), np.zeros(1, np.int64)
             else:
                 flat, rows = codec.encode(words)
-            decoded = codec.decode(flat, rows)
+            back = codec.decode(flat, rows)
             out = {
                 "n_tokens": pa.array(np.diff(rows), pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256((x or "").encode()).hexdigest() for x in codec.written(flat, rows)], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(whole(x)).hexdigest() for x in decoded], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(whole(x)).hexdigest() for x in back], pa.string()),
             }
             if ids:
-                out |= {"ids": common.lists(flat, rows, pa.int32()), "decoded": pa.array([whole(x).decode() for x in decoded], pa.string())}
+                out["ids"] = common.lists(flat, rows, pa.int32())
+            if decoded:
+                out["decoded"] = pa.array([whole(x).decode() for x in back], pa.string())
             first = common.column(batch, "id")
             return pa.RecordBatch.from_arrays([first, *out.values()], schema=pa.schema([pa.field("id", first.type), *(pa.field(c, kinds[c]) for c in out)]))
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     words = docs.select(F.col(id_col).alias("id"), split_words(F.col(text_col), special).alias("words"))
     return common.map_arrow(words, make, schema, by=None).withColumnRenamed("id", id_col)
 

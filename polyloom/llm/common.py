@@ -187,6 +187,16 @@ def crc(column) -> F.Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
+#: Ids that may be sent to all executors (about 8 bytes each); more are joined by a shuffle.
+SMALL_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't among ``ids`` (of that one column). The ids are counted first and sent to all executors only where they are few."""
+    ids = ids.select(key).distinct().checkpoint() if shared_dir(docs.sparkSession) else ids
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, "left_anti")
+
+
 def bounded_sample(df: DataFrame, key: str, n: int, groups: str | None = None) -> DataFrame:
     """About n rows (of each group) that a hash of ``key`` picks; all rows where there are no more. One count over ``key`` alone comes first."""
     unit = (F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)

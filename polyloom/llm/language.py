@@ -80,7 +80,7 @@ class Model:
     def scores(self, words: list[str]) -> np.ndarray:
         code, first = letters(words)
         bucket, word = grams(code, first)
-        out = np.stack([np.bincount(word, self.table[bucket, k], len(words)) for k in range(len(self.languages))], axis=1)
+        out = np.stack([np.bincount(word, self.table[bucket, k], len(words)).astype(float) for k in range(len(self.languages))], axis=1)
         ok = self.allowed[scripts(code, first)] if words else np.ones((0, len(self.languages)), bool)
         out[~ok] -= 1e4
         return out.astype(np.float32)

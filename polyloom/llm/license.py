@@ -84,8 +84,13 @@ class Scanner:
             for a, b, e in sorted(set(found), key=lambda x: (x[2], x[0])):
                 if all(b <= s or t <= a for s, t, _ in best):
                     best.append((a, b, e))
-            out += [(label, a, b, e, len(notice)) for a, b, e in sorted(best)]
-        return out
+            out += [(label, a, b, e, len(notice)) for a, b, e in best]
+        # where notices overlap, those nearest to the text stay: "version 2" is within the edits of "version 3"
+        kept: list[tuple[str, int, int, int, int]] = []
+        for x in sorted(out, key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+                kept.append(x)
+        return sorted(kept, key=lambda x: (x[1], x[0]))
 
 
 def plain(low: bytes) -> bytes:
