@@ -1,7 +1,7 @@
 """Byte-level BPE by a distinct-word table.
 
-Spark splits each text into pre-tokens ("words"), a worker keeps one row for each distinct word of its batch, encodes that
-word once, and joins the ids back by position. Decoding joins ids to the pieces of the vocabulary. The table is kept by batch:
+Spark splits each text into pre-tokens ("words"), a worker keeps a table with one row for each distinct word it meets, encodes that
+word once, and joins the ids back by position. Decoding joins ids to the pieces of the vocabulary. The table is a worker's own:
 no word ever crosses the network, so nothing is shuffled and no frequent word can overload a task.
 
 Defined results: a null text counts as empty (no ids, empty decoded text); repeated rows give repeated results; an empty table
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,10 @@ from polyloom.llm import common
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: Texts that are worked at once, and distinct words after which a worker's table begins anew (some 200 bytes each).
+TEXTS_AT_ONCE, MOST_WORDS = 250, 250_000
+
+
 def piece_bytes(vocabulary: dict[str, int], added: dict[str, int]) -> list[bytes]:
     """The bytes of every id. Byte-level vocabularies write a byte as a printable character: bytes that print stand for themselves, the others follow from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -51,16 +56,33 @@ class Codec:
         pieces = piece_bytes(read["model"]["vocab"], added)
         self.pieces = pa.array(pieces, pa.large_binary())
         self.decimal = pa.array([str(i) for i in range(len(pieces))], pa.large_string())
+        self.forget()
+
+    def forget(self) -> None:
+        """The distinct-word table: word to row, and of each row the first id, their number, and all ids."""
+        self.known: dict[str, int] = {}
+        self.first, self.count, self.table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of distinct words in the table, and its columns; words that it lacks are encoded and added."""
+        if len(self.known) + len(words) > MOST_WORDS:
+            self.forget()
+        new = [w for w in words if w not in self.known]
+        if new:
+            ids = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in new]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.first = np.concatenate([self.first, len(self.table) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.table = np.concatenate([self.table, np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return np.fromiter((self.known[w] for w in words), np.int64, len(words)), self.first, self.count, self.table
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a list column of words, and for each row where its ids start (one more than rows)."""
         flat = words.flatten()
         coded = flat.dictionary_encode()
-        ids = [e.ids for e in self.tokenizer.encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        table = np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))
-        first = np.concatenate([[0], np.cumsum(count)])
-        code = coded.indices.to_numpy().astype(np.int64)
+        place, first, count, table = self.rows_of(coded.dictionary.to_pylist())
+        code = place[coded.indices.to_numpy()]
         n = count[code]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -105,10 +127,12 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     kinds = {"id": None, "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
 
     def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would keep memory of its own
+        pa.set_memory_pool(pa.system_memory_pool())
         codec = Codec(shared.value)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = [part(batch.slice(a, 500)) for a in range(0, batch.num_rows, 500)]
+            made = [part(batch.slice(a, TEXTS_AT_ONCE)) for a in range(0, batch.num_rows, TEXTS_AT_ONCE)]
             return pa.Table.from_batches(made).combine_chunks().to_batches()[0] if len(made) > 1 else made[0] if made else part(batch)
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
