@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,9 @@ def _col(c: str | Column) -> Column:
 def translate(dna: str | Column, frame: int = 0) -> Column:
     """Protein of a DNA string: gaps dropped, a rest of one or two bases dropped, codons with other letters are X."""
     s = F.substring(F.upper(F.regexp_replace(_col(dna), "-", "")), frame + 1, 2**30)
-    n = F.floor(F.length(s) / 3).cast("int")
-    index = lambda i, k: F.instr(F.lit(BASES), F.substring(s, 3 * i + k, F.lit(1))) - 1
-    one = lambda i: F.when((index(i, 1) < 0) | (index(i, 2) < 0) | (index(i, 3) < 0), "X").otherwise(F.substring(F.lit(AMINO_ACIDS), 16 * index(i, 1) + 4 * index(i, 2) + index(i, 3) + 1, F.lit(1)))
-    return F.when(n <= 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), one), ""))
+    code = F.create_map(*[F.lit(x) for codon, aa in zip(itertools.product(BASES, repeat=3), AMINO_ACIDS, strict=True) for x in ("".join(codon), aa)])
+    codons = F.regexp_extract_all(s, F.lit(r"(?s).{3}"), F.lit(0))  # split once: a lambda would cut the text anew for each codon
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(code, c), F.lit("X"))), "")
 
 
 def reverse_complement(dna: str | Column) -> Column:
@@ -71,12 +72,18 @@ def p_distance(a: str | Column, b: str | Column, skip: str = "-", empty: float |
 
 def backfill_ends(row: str | Column, reference: str | Column, edge: int = 25) -> Column:
     """An aligned row whose gaps among the first and last ``edge`` columns get the reference's characters, further gaps at either end N; inner gaps stay. A row of gaps alone is null."""
-    s, ref = _col(row), _col(reference)
+    s = _col(row)
     n = F.length(s)
     first = F.length(F.regexp_extract(s, "^(-*)", 1))
     last = n - F.length(F.regexp_extract(s, "(-*)$", 1))
-    fill = lambda c, i: F.when((c == "-") & ((i < edge) | (i >= n - edge)), F.substring(ref, i + 1, F.lit(1))).when((c == "-") & ((i < first) | (i >= last)), "N").otherwise(c)
-    return F.when(first < n, F.array_join(F.transform(F.split(s, ""), fill), ""))
+
+    def filled(x: Column) -> Column:
+        pair = F.zip_with(F.split(x["s"], ""), F.split(x["ref"], ""), lambda c, r: F.struct(c.alias("c"), r.alias("r")))
+        one = lambda p, i: F.when((p["c"] == "-") & ((i < edge) | (i >= x["n"] - edge)), p["r"]).when((p["c"] == "-") & ((i < x["first"]) | (i >= x["last"])), "N").otherwise(p["c"])
+        return F.array_join(F.transform(F.slice(pair, 1, x["n"]), one), "")
+
+    bound = F.struct(s.alias("s"), _col(reference).alias("ref"), n.alias("n"), first.alias("first"), last.alias("last"))
+    return F.when(first < n, F.transform(F.array(bound), filled)[0])  # bound once for the row, not for each place
 
 
 def masked(protein: str | Column, first: int, length: int) -> Column:

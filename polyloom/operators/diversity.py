@@ -199,3 +199,25 @@ def effective_size(breeders: str | Column, mean_compatibility: str | Column) ->
 def harmonic_mean(df: DataFrame, group: str, value: str) -> DataFrame:
     """Of the values above 0."""
     return df.where(F.col(value) > 0).groupBy(group).agg((F.count("*") / F.sum(1 / F.col(value))).alias("harmonic_mean"))
+
+
+def fitted_asymptotes(curve: DataFrame, group: str) -> DataFrame:
+    """group, top, half, ceiling of the saturation curve fitted to (n, alleles) of each group; null where the fit fails. A curve is a few hundred points."""
+    import pandas as pd
+
+    from polyloom.functions.statistics import saturation_fit
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("n")
+        top, half = saturation_fit(t["n"].to_numpy(), t["alleles"].to_numpy())
+        ok = top == top
+        return pd.DataFrame({group: [t[group].iloc[0]], "top": [top if ok else None], "half": [half if ok else None], "ceiling": [float(int(-(-top // 1))) if ok else None]})
+
+    kind = curve.schema[group].dataType.simpleString()
+    return curve.select(group, "n", "alleles").groupBy(group).applyInPandas(run, f"{group} {kind}, top double, half double, ceiling double")
+
+
+def consensus_richness(*estimates: str) -> Column:
+    """The mean of the estimates that are known, rounded up."""
+    known = F.array_compact(F.array(*[F.col(e).cast("double") for e in estimates]))
+    return F.when(F.size(known) > 0, F.ceil(F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)))

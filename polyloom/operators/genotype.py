@@ -129,3 +129,18 @@ def dense_ids(df: DataFrame, column: str, prefix: str = "A") -> DataFrame:
     """Ids over the sorted distinct values."""
     ids = numbered(df.select(column).distinct(), [column])
     return df.join(ids, column).withColumn("dense_id", F.concat(F.lit(prefix), F.col("number").cast("string"))).drop("number")
+
+
+def ingroup(facts: DataFrame, samples: DataFrame, prefix: str = "Library", exclude: str | None = None, key: str = "individual") -> DataFrame:
+    """Facts of individuals with a name prefix that are listed as ingroup, without those of an outgroup prefix."""
+    out = facts.where(F.col(key).startswith(prefix)).join(samples.where(F.col("ingroup") == "1").select(key), key, "left_semi")
+    return out.where(~F.col(key).startswith(exclude)) if exclude else out
+
+
+def checked_patterns(genotypes: DataFrame) -> DataFrame:
+    """The rows, after a check that pattern and number of alleles agree; raises with an example where not. genotypes: individual, genotype, n_alleles."""
+    kinds = F.when(F.col("genotype") == "AAAA", 1).when(F.col("genotype").isin("AAAB", "AABB"), 2).when(F.col("genotype") == "AABC", 3).when(F.col("genotype") == "ABCD", 4)
+    bad = genotypes.where(~F.coalesce(F.least(F.col("n_alleles"), F.lit(4)) == kinds, F.lit(False))).limit(1).collect()
+    if bad:
+        raise ValueError(f"pattern and alleles disagree: {bad[0]}")
+    return genotypes

@@ -169,3 +169,32 @@ def plateau(curve: DataFrame, x: str = "threshold", y: str = "clusters", half: i
     near = c.crossJoin(best).where(F.abs(F.col(y) - F.col(f"f.{y}")) <= 3).withColumn("g", F.lit(1))
     run = islands(near, "g", "at").orderBy(F.desc("length"), "first").limit(1)
     return best.select(F.col(f"f.{x}").alias("flat_x"), F.col(f"f.{y}").alias("flat_y"), F.col(f"k.{x}").alias("knee_x"), F.col(f"k.{y}").alias("knee_y")).crossJoin(run.select(F.col("length").alias("run_length")))
+
+
+def collapsed_entropy(cells: DataFrame, groups: DataFrame, key: str = "id") -> DataFrame:
+    """Mean entropy over columns with every row, and with one row for each group (its representative): whole, collapsed, delta. groups: id, representative."""
+    kept = cells.join(groups.where(F.col(key) == F.col("representative")).select(key), key, "left_semi")
+    whole, one = (entropy_profile(c).agg(F.avg("entropy").alias(n)) for c, n in ((cells, "whole"), (kept, "collapsed")))
+    return whole.crossJoin(one).withColumn("delta", F.col("collapsed") - F.col("whole"))  # one row each
+
+
+def individual_distances(carried: DataFrame, distances: DataFrame) -> DataFrame:
+    """a, b, d: the mean over the alleles of a of the least distance to an allele of b, allele pairs without a distance left out; not symmetric.
+
+    carried: individual, allele of a chosen set of individuals; distances: a < b, d.
+    """
+    both = distances.unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    own = carried.select("allele").distinct().select(F.col("allele").alias("a"), F.col("allele").alias("b"), F.lit(0.0).alias("d"))
+    x = carried.select(F.col("individual").alias("i"), F.col("allele").alias("a")).distinct().join(both.unionByName(own), "a")
+    y = carried.select(F.col("individual").alias("j"), F.col("allele").alias("b")).distinct()
+    least = x.join(y, "b").where("i <> j and d is not null").groupBy("i", "j", "a").agg(F.min("d").alias("d"))
+    return least.groupBy(F.col("i").alias("a"), F.col("j").alias("b")).agg(F.avg("d").alias("d"))
+
+
+def length_summary(df: DataFrame, group: str, length: str, low: int, high: int) -> DataFrame:
+    """Sequences, median length, N50 and the numbers below, within and above a range."""
+    from polyloom.sources.files import n50
+
+    c = F.col(length)
+    g = df.groupBy(group).agg(F.count("*").alias("n"), F.median(length).alias("median"), F.count_if(c < low).alias("below"), F.count_if(c.between(low, high)).alias("within"), F.count_if(c > high).alias("above"))
+    return g.join(n50(df, group, length), group)

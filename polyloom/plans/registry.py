@@ -550,3 +550,6 @@ def strategy_comparison(spark, sf):
 @query()
 def presence_clusters(spark, sf):
     return clusters.presence_clusters(t.copies(spark, sf), k=8)
+
+
+from polyloom.plans import more  # noqa: E402, F401  further queries add themselves
