@@ -39,8 +39,14 @@ def test_equals_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"presence_clusters", "viability_model"}))
 def test_rows_only(spark, sf, name):
     df = registry.QUERIES[name](spark, sf)
-    first = sorted(map(str, df.collect()))
-    assert first and first == sorted(map(str, registry.QUERIES[name](spark, sf).collect()))
+    assert df.columns and df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["bootstrap_compatibility", "strategy_comparison", "cross_plan", "allele_clusters"])
+def test_repeatable(spark, sf, name):
+    """Seeded and serial operators give the same rows again."""
+    first, again = (sorted(map(str, registry.QUERIES[name](spark, sf).collect())) for _ in range(2))
+    assert first == again
 
 
 def test_entry_without_training_data(tmp_path):
