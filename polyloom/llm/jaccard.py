@@ -36,6 +36,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 SAMPLE, FREQUENT, MOST_FREQUENT = 8000, 3, 1_000_000
 #: Lists up to this long are searched pair by pair.
 SHORT = 128
+#: Parts that a long list is dealt into.
+SALTS = 32
 #: Classes and tokens of a block.
 BLOCK, BLOCK_TOKENS = 256, 1 << 20
 
@@ -381,8 +383,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     short = active.where(F.col("length") <= SHORT).join(base.select(F.col("doc_id").alias("rep"), "bits"), "rep").select("token", "rep", "n", "pos", "bits")
     found = short.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(candidates, "a bigint, b bigint")
-    long = active.where(F.col("length") > SHORT).select("token", "rep")
-    stars = long.join(long.groupBy("token").agg(F.min("rep").alias("hub")), "token").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    long = active.where(F.col("length") > SHORT).select("token", "rep", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"))
+    hubs = long.groupBy("token").agg(F.min("rep").alias("hub")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    stars = long.join(hubs, ["token", "salt"]).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     clusters = components(found.unionByName(stars)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     members = clusters.join(classes.select("rep", "n"), "rep").checkpoint()
     sets = token_sets(docs, members.select("rep"), k)
