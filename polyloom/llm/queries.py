@@ -16,7 +16,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentences.remove_repeats(table(spark, sf_dir, "documents"), only_changed=True)
+    found = sentences.remove_repeats(table(spark, sf_dir, "documents"), only_changed=True, whole=True)
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "first_docs")
 
 
