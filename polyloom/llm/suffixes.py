@@ -1,14 +1,14 @@
 """Repeated passages by sparse suffix arrays.
 
 Of each text only the suffixes at minimisers stay: places whose hash of ``GRAM`` words is the least of a window of ``SPAN`` such
-places. A repeat of ``LEAST`` words holds a whole window, so both its copies keep a suffix at the same place, with at least
-``HEAD`` words of the repeat after it. Suffixes are sorted by the hash of their first ``HEAD`` words and then by what follows;
-equal heads stand together over all documents. Each suffix is compared with its neighbours and the match extended word by word to
-the left and right by the ``AROUND`` words that it carries (16 bits a word). Further on another minimiser of the same repeat goes on,
-so the union of a document's matches gives whole repeats. Those of ``LEAST`` words or more, other than the first copy, are reported.
+places. Every passage of ``LEAST`` words holds a whole window, so all its copies keep a suffix at the same place, with at least
+``HEAD`` words of the passage after it. Suffixes are sorted by the hash of their first ``HEAD`` words, so equal heads stand together over
+all documents, and carry the ``AROUND`` words before and after the head (16 bits a word). A passage around a suffix takes 0 to
+``SPAN`` - 1 words before the head and the rest after it; for each of these ``SPAN`` ways all suffixes are grouped by the
+passage's hash, and each but the first of its kind (by document, then place) is a repeat. The unions of a document's repeats are reported.
 
-The sort is by ranges, so equal heads of any number are shared by many tasks; the suffixes at their edges are compared in a
-second, small pass.
+The sort is by ranges, so equal heads of any number are shared by many tasks. Of the heads at a partition's edges the first of each
+passage goes on to a second grouping by hash over all partitions: at most ``SPAN`` rows for each suffix there, one for each passage.
 
 Defined results: null, empty and short texts have no repeats; a repeat within one text is reported from its second place on;
 rows with a null id are left out; repeated rows with one id are told apart by nothing and count once.
@@ -30,8 +30,6 @@ LEAST = 50
 GRAM, SPAN = 8, 32
 HEAD = LEAST - SPAN + 1
 AROUND = SPAN
-#: Suffixes on either side that one is compared with, besides the first of its head.
-NEIGHBOURS = 4
 
 
 def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -52,7 +50,7 @@ def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
 
 
 def suffixes(column: pa.Array):
-    """For all texts: text, place, hash of the head, hash of what follows, and the words around (before, reversed; then after the head)."""
+    """For all texts: text, place, hash of the head, and the words around (before, reversed; then after the head)."""
     data, at = common.raw(column)
     start, end, rows = common.spans(data, at, common.WORD)
     words = common.word_hashes(data, start, end)
@@ -72,81 +70,85 @@ def suffixes(column: pa.Array):
     position = whole[:, None] + offset
     inside = (position >= rows[text][:, None]) & (position < rows[text + 1][:, None])
     around = np.where(inside, short[np.clip(position, 0, max(0, len(short) - 1))] | np.uint16(1), np.uint16(0)) if len(words) else np.zeros((0, 2 * AROUND), np.uint16)
-    follow = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        follow = common.mix(follow + around[:, AROUND + k].astype(np.uint64))
-    return text, place, heads[whole] if len(whole) else np.zeros(0, np.uint64), follow, around, np.diff(rows)
-
-
-def extent(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many words pairs of suffixes share before and after their heads; a text's edge (0) ends a match."""
-    same = (a == b) & (a != 0)
-    run = lambda x: np.where(x.all(1), x.shape[1], (~x).argmax(1))
-    return run(same[:, :AROUND]), run(same[:, AROUND:])
-
-
-def matched(doc, place, around, pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For pairs (later, earlier) of suffixes with equal heads: document, first and last word (end exclusive) of the match, the other document."""
-    later, earlier = pairs
-    before, after = extent(around[later], around[earlier])
-    return doc[later], place[later] - before, place[later] + HEAD + after, doc[earlier]
+    return text, place, heads[whole] if len(whole) else np.zeros(0, np.uint64), around, np.diff(rows)
+
+
+def passages(head: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words before the head: that number, the suffixes whose text holds the whole passage, and the passages' hashes."""
+    after = [np.zeros(len(head), np.uint64)]
+    with np.errstate(over="ignore"):
+        for k in range(SPAN - 1):
+            after.append(common.mix(after[-1] * common._BASE + around[:, AROUND + k].astype(np.uint64)))
+        before = head.astype(np.uint64)
+        inside = np.ones(len(head), bool)
+        for k in range(SPAN):
+            if k:
+                before = common.mix(before * common._BASE + around[:, k - 1].astype(np.uint64))
+                inside = inside & (around[:, k - 1] != 0)
+            rest = SPAN - 1 - k
+            own = np.flatnonzero(inside & (around[:, AROUND + rest - 1] != 0) if rest else inside)
+            yield k, own, common.mix(before[own] + common.mix(after[rest][own] + np.uint64(k + 1)))
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted suffixes: matches (kind 0), and copies of the first and last suffix of the partition and of the groups' firsts at its edges (kind 1)."""
-    edge = None
-    last = None
+    """From suffixes sorted by head, document and place: repeats (kind 0), and the first of each passage of the heads at the partition's edges (key)."""
+    held = None
     for t, runs in sorted_runs(batches, ["head"]):
-        doc, place = t.column("doc_id").to_numpy(), t.column("place").to_numpy().astype(np.int64)
+        doc, place, head = t.column("doc_id").to_numpy(), t.column("place").to_numpy().astype(np.int64), t.column("head").to_numpy().view(np.uint64)
         wide = pa.concat_arrays(t.column("around").chunks).cast(pa.large_binary())
         around = np.frombuffer(wide.buffers()[2], np.uint16, offset=int(np.frombuffer(wide.buffers()[1], np.int64)[wide.offset]), count=len(t) * 2 * AROUND).reshape(-1, 2 * AROUND)
         size = np.diff(runs)
-        group = np.repeat(np.arange(len(size)), size)
-        own = np.flatnonzero(size[group] > 1)
-        rank = np.lexsort((place, doc, group))  # the first by document and place leads its group
-        leader = rank[runs[:-1]][group]
-        order = lambda i, j: (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (place[i] > place[j]))
-        later, earlier = [], []
-        with_leader = own[own != leader[own]]
-        later.append(with_leader)
-        earlier.append(leader[with_leader])
-        for by in range(1, NEIGHBOURS + 1):
-            low = own[own + by < len(t)]
-            low = low[group[low] == group[low + by]]
-            up = order(low + by, low)
-            later.append(np.where(up, low + by, low))
-            earlier.append(np.where(up, low, low + by))
-        pairs = np.concatenate(later).astype(np.int64), np.concatenate(earlier).astype(np.int64)
-        ok = order(*pairs)
-        d, a, b, o = matched(doc, place, around, (pairs[0][ok], pairs[1][ok]))
-        yield _rows(d, a, b, o)
-        ends = np.unique(np.concatenate([[0, leader[0]] if edge is None else [], [leader[-1], len(t) - 1]]).astype(np.int64))
-        kept = t.take(pa.array(ends))
-        if edge is None:
-            edge = kept
-            yield _edges(kept)
-        last = kept
-    if last is not None and last is not edge:
-        yield _edges(last)
-
-
-_MATCH = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("other", pa.int64()), ("head", pa.int64()), ("follow", pa.int64()), ("place", pa.int32()), ("around", pa.binary())])
+        opening = np.arange(runs[1] if held is None else 0)
+        some = np.flatnonzero(np.repeat(size > 1, size))
+        lead = np.full((len(some), SPAN), -1, np.int32)
+        for k, own, key in passages(head[some], around[some]):
+            order = own[np.argsort(key, kind="stable")]  # rows stand by document and place: the first leads
+            key = np.sort(key, kind="stable")
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else order
+            later = (doc[some[order]] != doc[some[first]]) | (place[some[order]] != place[some[first]])
+            lead[order[later], k] = some[first[later]]
+        row, low, high, other = stretches(lead)
+        row = some[row]
+        yield _rows(doc[row], place[row] - high, place[row] - low + LEAST, doc[other])
+        if len(opening):
+            yield _firsts(doc[opening], place[opening], head[opening], around[opening])
+        last = np.arange(runs[-2], runs[-1])
+        held = (doc[last], place[last], head[last], around[last]) if len(runs) > 2 or not len(opening) else ()
+    if held:
+        yield _firsts(*held)
+
+
+def stretches(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring equal entries (other than -1) of each row: row, first and last column, entry."""
+    wide = np.pad(lead, ((0, 0), (1, 1)), constant_values=-1)
+    changed = wide[:, 1:] != wide[:, :-1]
+    row, low = np.nonzero(changed[:, :-1] & (lead >= 0))
+    _, high = np.nonzero(changed[:, 1:] & (lead >= 0))
+    return row, low, high, lead[row, low]
+
+
+_MATCH = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("other", pa.int64()), ("key", pa.int64())])
 
 
 def _rows(doc, first, last, other) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, first, last, other)] + [pa.nulls(n, f.type) for f in list(_MATCH)[4:]], schema=_MATCH)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, first, last, other)] + [pa.nulls(len(doc), pa.int64())], schema=_MATCH)
 
 
-def _edges(t: pa.Table) -> pa.RecordBatch:
-    n = t.num_rows
-    own = {c: t.column(c).combine_chunks() for c in ("doc_id", "head", "follow", "place", "around")}
-    one = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-    return pa.RecordBatch.from_arrays([one(own["doc_id"]), *(pa.nulls(n, pa.int64()) for _ in range(3)), one(own["head"]), one(own["follow"]), one(own["place"]), one(own["around"])], schema=_MATCH)
+def _firsts(doc, place, head, around) -> pa.RecordBatch:
+    """The first of each passage of these suffixes, with its hash."""
+    rows, keys, start = [], [], []
+    for k, own, key in passages(head, around):
+        key, at = np.unique(key, return_index=True)
+        rows.append(own[at])
+        keys.append(key)
+        start.append(place[own[at]] - k)
+    rows, keys, start = np.concatenate(rows), np.concatenate(keys), np.concatenate(start)
+    return pa.RecordBatch.from_arrays([pa.array(doc[rows], pa.int64()), pa.array(start, pa.int64()), pa.array(start + LEAST, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(keys.view(np.int64))], schema=_MATCH)
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From matches sorted by document: its repeats of at least ``LEAST`` words (unions of matches that overlap), and the other documents."""
+    """From matches sorted by document: its repeats (unions of those of ``LEAST`` words or more that touch), and the other documents."""
     for t, runs in sorted_runs(batches, ["doc_id"]):
         doc, first, last, other = (t.column(c).to_numpy() for c in ("doc_id", "first", "last", "other"))
         out = []
@@ -161,7 +163,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     spans.append([int(first[i]), int(last[i])])
                     others.append({int(other[i])})
-            keep = [(s, o) for s, o in zip(spans, others, strict=True) if s[1] - s[0] >= LEAST]
+            keep = list(zip(spans, others, strict=True))
             if keep:
                 out.append((int(doc[a]), [{"first": s[0], "last": s[1]} for s, _ in keep], sum(s[1] - s[0] for s, _ in keep), sorted(set().union(*(o for _, o in keep)))))
         yield pa.RecordBatch.from_arrays(
@@ -171,26 +173,26 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, spans (first word, end), n_words in them, other_docs (earlier copies met by the comparisons): the documents with a repeat that isn't its first copy."""
+    """doc_id, spans (first word, end), n_words in them, other_docs (where the repeated passages stand first): the documents with a repeat that isn't its first copy."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            text, place, head, follow, around, _ = suffixes(common.texts(batch))
+            text, place, head, around, _ = suffixes(common.texts(batch))
             return pa.RecordBatch.from_arrays(
-                [common.column(batch, "doc_id").take(pa.array(text)), pa.array(place.astype(np.int32)), pa.array(head.view(np.int64)), pa.array(follow.view(np.int64)), pa.array([x.tobytes() for x in around], pa.binary())],
-                names=["doc_id", "place", "head", "follow", "around"],
+                [common.column(batch, "doc_id").take(pa.array(text)), pa.array(place.astype(np.int32)), pa.array(head.view(np.int64)), pa.array([x.tobytes() for x in around], pa.binary())],
+                names=["doc_id", "place", "head", "around"],
             )
 
         return work
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = common.map_arrow(own, make, "doc_id bigint, place int, head bigint, follow bigint, around binary")
-    keys = ["head", "follow", "doc_id", "place"]
-    schema = "doc_id bigint, first bigint, last bigint, other bigint, head bigint, follow bigint, place int, around binary"
-    found = common.materialise(every.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, schema))
-    edges = found.where("head is not null").select("doc_id", "place", "head", "follow", "around")
-    again = edges.coalesce(1).sortWithinPartitions(*keys).mapInArrow(compare, schema)  # a few rows of each partition
-    matches = found.where("head is null").unionByName(again.where("head is null")).select("doc_id", "first", "last", "other")
+    every = common.map_arrow(own, make, "doc_id bigint, place int, head bigint, around binary")
+    keys = ["head", "doc_id", "place"]
+    found = common.materialise(every.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "doc_id bigint, first bigint, last bigint, other bigint, key bigint"))
+    edges = found.where("key is not null").drop("other")
+    lead = edges.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("lead")).where("n > 1").select("key", F.col("lead.doc_id").alias("other"), F.col("lead.first").alias("lead_first"))
+    again = edges.join(lead, "key").where("doc_id <> other or first <> lead_first").select("doc_id", "first", "last", "other")
+    matches = found.where("key is null").select("doc_id", "first", "last", "other").unionByName(again)
     return matches.repartition(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(merged, "doc_id bigint, spans array<struct<first:bigint,last:bigint>>, n_words bigint, other_docs array<bigint>")

@@ -2,7 +2,11 @@
 
 import random
 
-from polyloom.llm import sentences
+import pytest
+
+from polyloom.llm import sentences, suffixes
+
+from .test_repeats import later_windows
 
 
 # --- 2 ---
@@ -22,3 +26,28 @@ def test_sentence_copies_of_any_shape_are_removed(spark):
     assert all(rows[i].n_removed == rows[i].n_sentences for i in (1, 3, 9)) and rows[7].text == "x. "
     assert len(set(rows[5].text.split()) & set(passage.split())) <= 20
     assert all(rows[i].text == texts[i] for i in (0, 2, 4, 6, 8))
+
+
+# --- 8 ---
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_suffixes_equal_brute_force_where_many_share_a_passage(spark, parts):
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, pre, post = words(48), words(5), words(5)
+    texts = {i: words(60) + passage + words(60) for i in range(150)}
+    for i, j in ((20, 90), (31, 140)):
+        texts[i] = words(60) + pre + passage + words(60)
+        texts[j] = words(60) + passage + post + words(60)
+        texts[j + 1], texts[i + 1] = words(60) + pre + passage + words(60), words(60) + passage + post + words(60)
+    a, b = words(30), words(30)
+    texts[200], texts[201], texts[202] = words(40) + a + words(40), words(40) + b + words(40), words(40) + a + b + words(40)
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = suffixes.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {x.doc_id: {p for s in x.spans for p in range(s.first, s.last)} for x in rows} == later_windows(texts, suffixes.LEAST)
