@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates.
 
 Words are lower-cased; numbers, units after a number and names (a capital within a sentence) become typed placeholders. Windows
-of ``WINDOW`` such words of the benchmark are joined by hash with the windows of the documents, once with placeholders and once
-with plain words. Where windows meet, the item is laid over the document on that diagonal: a value of the item's slots must
+of ``WINDOW`` such words of the benchmark are joined by hash with the windows of the documents: with plain words, with placeholders,
+and with placeholders for every capitalised word that isn't in ``COMMON``, wherever it stands, so that names at a sentence's start
+and names in capitals count too. Where windows meet, the item is laid over the document on that diagonal: a value of the item's slots must
 stand for one value of the document's throughout, else the template hit is dropped. So a question with other names and
 numbers is found, and one that shares only its form with slots at odds is not.
 
@@ -31,20 +32,42 @@ NUMBER, UNIT, NAME = (np.uint64(x) for x in (0xA11CE5ED00000001, 0xA11CE5ED00000
 # Units of measure and money, as they follow a number.
 UNITS = "mm cm m km mg g kg t ml l s min h hz kb mb gb w kw v a c f inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur degree degrees".split()
 _DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
-_CAPITAL = np.array([0x41 <= b <= 0x5A for b in range(256)])
-_STOP = np.array([chr(b) in ".!?\n:|" for b in range(256)])
-
-
-def _unit_hashes() -> np.ndarray:
-    data, at = common.raw(pa.array(UNITS))
+# Words that are no names where they open a sentence (English, German, French, Spanish).
+COMMON = """a about after all also although am among an and any are as at be because been before between both but by can could did do does during
+each either every few find first five for four from had has have he her here his how however i if in into is it its last let many more most much my no
+none not now of on one only or other our over per she should since so some such ten than that the their them then there these they this those three to
+two under until up use was we were what when where whether which while who whose why will with without would yes you your given suppose consider
+calculate compute determine solve write explain describe choose
+aber alle als am an auf aus bei bis da das dass dem den der des die dies diese dieser dieses doch du durch ein eine einem einen einer eines er es für
+haben hat ich ihr ihre im in ist ja jede jeder jedes kein keine man mit nach nicht noch nun nur ob oder sein seine sich sie sind so über um und uns unter
+vom von vor wann war waren warum was welche welcher welches wenn wer werden wie wieviel wir wird wo zu zum zur
+au aux avec ce ces cet cette combien comme comment dans de des donc du elle elles en est et il ils je la le les leur leurs lorsque mais ne non nous on
+ont ou où par pas pour pourquoi quand que quel quelle quelles quels qui sa sans se ses si son sont sous sur tous tout toute un une vous
+al como con cuando cuál cuánto cuántos de del desde donde el ella ellas ellos en entre era es esa ese esta este esto hay la las lo los más muy no nos o
+para pero por porque qué que quién se según ser si sin sobre son su sus también todo todos un una uno unos y ya""".split()
+_FIRST_CAPITAL = np.array([chr(i).isupper() or chr(i).istitle() for i in range(0x10000)])
+_STOP = np.array([chr(b) in ".!?:|" for b in range(256)])
+_LINE = np.array([b == 0x0A for b in range(256)])
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    data, at = common.raw(pa.array(words))
     start, end, _ = common.spans(data, at, common.WORD)
     return np.sort(common.word_hashes(data, start, end))
 
 
+def capitals(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a capital of any script (of code points up to U+FFFF) stands at these places."""
+    at = lambda k: data[np.minimum(place + k, len(data) - 1)].astype(np.int64)
+    b = at(0)
+    two, three = (b & 0x1F) << 6 | at(1) & 0x3F, (b & 0x0F) << 12 | (at(1) & 0x3F) << 6 | at(2) & 0x3F
+    return _FIRST_CAPITAL[np.where(b < 0x80, b, np.where(b < 0xE0, two, np.where(b < 0xF0, three, 0)))]
+
+
 class Words:
-    """The words of texts: plain hashes, template hashes, slots (0 literal, 1 number, 2 unit, 3 name), where each text's words start, and their bytes."""
+    """The words of texts: hashes and slots (0 literal, 1 number, 2 unit, 3 name) by form (plain words, names within sentences, all names), and where each text's words start."""
 
-    units = _unit_hashes()
+    units, common = _hashes(UNITS), _hashes(COMMON)
 
     def __init__(self, texts: pa.Array):
         data, at = common.raw(texts)
@@ -52,25 +75,35 @@ class Words:
         self.rows, self.start, self.end = rows, start, end
         self.plain = common.word_hashes(data, start, end)
         n = len(start)
-        self.slot = np.zeros(n, np.uint8)
+        slot = np.zeros(n, np.uint8)
+        self.slots, self.forms = [slot] * 3, [self.plain] * 3
         if not n:
-            self.template = self.plain.copy()
             return
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
         number = digits[end] - digits[start] == end - start
-        self.slot[number] = 1
+        slot[number] = 1
         after = np.zeros(n, bool)
         after[1:] = number[:-1]
         after[rows[:-1][rows[:-1] < n]] = False
-        place = np.minimum(np.searchsorted(self.units, self.plain), len(self.units) - 1)
-        self.slot[after & ~number & (self.units[place] == self.plain)] = 2
+        slot[after & ~number & _among(self.units, self.plain)] = 2
         stops = np.concatenate([[0], np.cumsum(_STOP[data], dtype=np.int64)])
-        opens = np.ones(n, bool)  # the first word of a sentence
-        opens[1:] = stops[start[1:]] > stops[end[:-1]]
+        lines = np.concatenate([[0], np.cumsum(_LINE[data], dtype=np.int64)])
+        opens = np.ones(n, bool)  # the first word of a sentence; the end of a line alone ends none
+        opens[1:] = (stops[start[1:]] > stops[end[:-1]]) | (lines[start[1:]] > lines[end[:-1]] + 1)
         opens[rows[:-1][rows[:-1] < n]] = True
-        capital = _CAPITAL[data[start]] & (end - start > 1) & ~_CAPITAL[data[np.minimum(start + 1, len(data) - 1)]]
-        self.slot[capital & ~opens] = 3
-        self.template = np.choose(self.slot, [self.plain, NUMBER, UNIT, NAME])
+        lead = data[start]
+        bytes_ = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        capital = capitals(data, start) & (end - start > bytes_)
+        titled = capital & ~capitals(data, start + bytes_)
+        within, every = slot.copy(), slot.copy()
+        within[titled & ~opens] = 3
+        every[capital & ~_among(self.common, self.plain)] = 3
+        self.slots = [slot, within, every]
+        self.forms = [self.plain, *(np.choose(x, [self.plain, NUMBER, UNIT, NAME]) for x in (within, every))]
+
+
+def _among(known: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
 
 
 class Benchmark:
@@ -80,15 +113,15 @@ class Benchmark:
         w = Words(pa.array(texts, pa.string()))
         self.ids, self.sizes = ids, np.diff(w.rows)
         self.plain = [w.plain[a:b] for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
-        self.slot = [w.slot[a:b] for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
-        parts: dict[tuple[int, bool], list] = {}
+        self.slots = [[x[a:b] for x in w.slots] for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
+        parts: dict[tuple[int, int], list] = {}
         for i, (a, b) in enumerate(zip(w.rows[:-1], w.rows[1:], strict=True)):
             size = min(WINDOW, b - a)
             if size < LEAST:
                 continue
-            literal = np.concatenate([[0], np.cumsum(w.slot[a:b] == 0)])
-            for form, words in ((True, w.template[a:b]), (False, w.plain[a:b])):
-                h = common.windows(words, size)
+            for form in (1, 2, 0):
+                literal = np.concatenate([[0], np.cumsum(w.slots[form][a:b] == 0)])
+                h = common.windows(w.forms[form][a:b], size)
                 at = np.arange(len(h))
                 if form:  # a template needs a slot, and enough words of its own
                     own = literal[at + size] - literal[at]
@@ -104,11 +137,11 @@ class Benchmark:
             self.tables[key] = h[order], item[order], at[order], seen
 
     def hits(self, words: Words) -> np.ndarray:
-        """Rows (item, diagonal + its word, position in words, size, template) of windows that meet; within texts only."""
+        """Rows (item, diagonal + its word, position in words, size, form) of windows that meet; within texts only."""
         text = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
         out = []
         for (size, form), (h, item, at, seen) in self.tables.items():
-            own = common.windows(words.template if form else words.plain, size)
+            own = common.windows(words.forms[form], size)
             p = np.flatnonzero(seen[own >> np.uint64(44)])
             p = p[text[p] == text[p + size - 1]] if len(p) else p
             lo, hi = np.searchsorted(h, own[p], "left"), np.searchsorted(h, own[p], "right")
@@ -117,7 +150,7 @@ class Benchmark:
                 continue
             pick = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             p = np.repeat(p, n)
-            out.append(np.stack([item[pick], at[pick], p, np.full(len(p), size), np.full(len(p), int(form))], 1))
+            out.append(np.stack([item[pick], at[pick], p, np.full(len(p), size), np.full(len(p), form)], 1))
         return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
 
 
@@ -153,12 +186,12 @@ def overlaps(texts: pa.Array, bench: Benchmark) -> list[tuple[int, object, int,
         own = hits[a:b]
         for d in np.unique(own[:, 2] - own[:, 1]):  # a diagonal: where in the words the item's first word would stand
             on = own[own[:, 2] - own[:, 1] == d]
-            for form in (0, 1):
+            for form in (0, 1, 2):
                 rows = on[on[:, 4] == form]
                 if not len(rows):
                     continue
                 at = np.unique((rows[:, 1][:, None] + np.arange(int(rows[0, 3]))).ravel())
-                if form and not consistent(bench.plain[i][at], bench.slot[i][at], words.plain[d + at], words.slot[d + at]):
+                if form and not consistent(bench.plain[i][at], bench.slots[i][form][at], words.plain[d + at], words.slots[form][d + at]):
                     continue
                 covered[at] = True
                 if not form:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from polyloom.llm import sentences, suffixes
+from polyloom.llm import decontaminate, sentences, suffixes
 
 from .test_repeats import later_windows
 
@@ -51,3 +51,16 @@ def test_suffixes_equal_brute_force_where_many_share_a_passage(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert {x.doc_id: {p for s in x.spans for p in range(s.first, s.last)} for x in rows} == later_windows(texts, suffixes.LEAST)
+
+
+# --- 4 ---
+
+
+def test_names_at_sentence_starts_are_placeholders(spark):
+    item = "Tom has 12 apples. Tom buys 30 pears. Tom eats 7 of them. How many remain?"
+    wrapped = "The farmer who lives near the river told Élodie that 14 cows\nWandered off towards DENVER while she\nCounted the remaining 9 sheep"
+    bench = spark.createDataFrame([(1, item), (2, wrapped)], "item_id long, text string")
+    texts = [item.replace("Tom", "Élodie").replace("12", "15"), item.replace("Tom", "ANNA"), wrapped.replace("\n", " ").replace("Élodie", "Zoé").replace("DENVER", "PARIS"), item.replace("Tom buys", "Ann buys").replace("Tom eats", "Sue eats")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(x.doc_id, x.item_id): x.exact for x in decontaminate.contaminated(docs, bench).collect()}
+    assert found.keys() >= {(0, 1), (1, 1), (2, 2)} and not any(found.values()) and (3, 1) not in found
