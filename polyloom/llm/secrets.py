@@ -1,8 +1,8 @@
 """Secret scan: exact rules, and a character convolutional network over every other candidate with its context.
 
 Rules (their spans always stay): an assignment to a password-like name, an access key id, a long hexadecimal run. Candidates
-are further runs of key-like characters that hold both a letter and a digit. The network reads ``LEFT`` characters before,
-the candidate's first ``INSIDE`` characters and ``RIGHT`` after it: one convolution, maximum and mean over the candidate and
+are further runs of key-like characters that hold a letter. The network reads ``INSIDE`` characters of the candidate with ``LEFT``
+before and ``RIGHT`` after them; over a longer candidate it moves on by ``STRIDE``, and the highest score counts: one convolution, maximum and mean over the candidate and
 over its context, one hidden layer. It is trained on labelled findings that a seeded generator writes (real ones are never
 published), calibrated on findings held out from training, and its threshold is the highest that still finds ``RECALL`` of them.
 
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +35,21 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 LEFT, INSIDE, RIGHT = 24, 44, 8
 WIDE = LEFT + INSIDE + RIGHT
+STRIDE = INSIDE // 2
 RECALL = 0.98
-_CLASSES = 20
+#: Classes of bytes, then those of other bytes, of all that isn't ASCII, and of padding.
+_GROUPS = ("0123456789", "ae", "bcdf", "iouy", "ghjklmnpqrstvwxz", "AE", "BCDF", "IOUY", "GHJKLMNPQRSTVWXZ", "=", "-_", "/+", ".", ":", " \t", "\"'`", "\n\r", "@~", "([{<", ")]}>", ",;")
+_CLASSES = len(_GROUPS) + 3
 
 
 def _classes() -> np.ndarray:
     """A class for each byte; the last for padding."""
-    out = np.full(257, 11)
-    for i, group in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "=", "-_", "/+", ".", ":", " \t", "", "\"'`", "\n\r", "@~", "([{<", ")]}>", ",;")):
+    out = np.full(257, _CLASSES - 3)
+    for i, group in enumerate(_GROUPS):
         for c in group:
             out[ord(c)] = i
-    out[128:256] = 18
-    out[256] = 19
+    out[128:256] = _CLASSES - 2
+    out[256] = _CLASSES - 1
     return out
 
 
@@ -64,12 +69,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Further runs of key-like characters that hold a letter and a digit and touch no span of the rules."""
+    """Further runs of key-like characters that hold a letter and touch no span of the rules."""
     out = []
     for m in CANDIDATE.finditer(text):
         word = m[0].rstrip(".=-_~") if m[0][-1] in ".-_~" else m[0]
         a, b = m.start(), m.start() + len(word)
-        if len(word) >= 16 and any(map(str.isdigit, word)) and any(map(str.isalpha, word)) and not any(s < b and a < e for s, e, _ in taken):
+        if len(word) >= 16 and any(map(str.isalpha, word)) and not any(s < b and a < e for s, e, _ in taken):
             out.append((a, b))
     return out
 
@@ -80,8 +85,16 @@ def window(text: str, a: int, b: int) -> str:
     return left.rjust(LEFT, "\0") + text[a : min(b, a + INSIDE)].ljust(INSIDE, "\0") + right.ljust(RIGHT, "\0")
 
 
+def parts(a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The parts of a candidate that the network reads: at most ``INSIDE`` characters each, from its start to its end."""
+    last = max(a, b - INSIDE)
+    for at in range(a, last, STRIDE):
+        yield at, at + INSIDE
+    yield last, b
+
+
 def one_hot(windows: list[str]) -> np.ndarray:
-    codes = np.array([[_CLASS[min(ord(c), 255)] if c != "\0" else 19 for c in w] for w in windows], int).reshape(len(windows), WIDE)
+    codes = np.array([[_CLASS[min(ord(c), 255)] if c != "\0" else _CLASSES - 1 for c in w] for w in windows], int).reshape(len(windows), WIDE)
     return np.eye(_CLASSES, dtype=np.float32)[codes]
 
 
@@ -146,13 +159,13 @@ class Network:
                     self.p[k] = (self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """A logistic curve over the logits of held-out findings, and the highest threshold that finds ``recall`` of the secrets (0.5 at least)."""
+        """A logistic curve over the logits of held-out findings, and the highest threshold that finds ``recall`` of the secrets."""
         from polyloom.llm.quality import fit_curve
 
         logit = self.forward(x)[0].astype(float)
         self.slope, self.offset = fit_curve(logit, y)
         p = np.sort(self.probability_of(logit)[y == 1])
-        self.threshold = max(0.5, float(p[int(np.floor((1 - recall) * len(p)))]))
+        self.threshold = float(p[int(np.floor((1 - recall) * len(p)))])
 
     def probability_of(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.offset, -50, 50)))
@@ -163,7 +176,10 @@ class Network:
 
 
 def labelled_findings(n: int, seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """n candidates in context and whether each is a secret: keys of common forms, against hosts, paths, names, versions, ids and numbers."""
+    """n candidates in context and whether each is a secret: keys of common forms, against hosts, paths, names, versions, ids and numbers.
+
+    Of a finding of more than ``INSIDE`` characters it is the part that shows most of its key, or any part where there is none.
+    """
     r = np.random.default_rng(seed)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     text = lambda alphabet, k: "".join(alphabet[i] for i in r.integers(0, len(alphabet), k))
@@ -171,9 +187,12 @@ def labelled_findings(n: int, seed: int = 3) -> tuple[list[str], np.ndarray]:
     word = lambda: "".join(syllables[i] for i in r.integers(0, len(syllables), r.integers(1, 4)))
     words = lambda k: " ".join(word() for _ in range(k))
     pick = lambda *x: x[r.integers(len(x))]
+    plain = lambda k: [word().replace("ó", "o") for _ in range(k)]
+    path = lambda k: "/".join(plain(k))
     found, label = [], []
     for i in range(n):
         secret = i % 2 == 0
+        ahead = ""  # what stands before the key in one candidate
         if secret:
             body = pick(
                 lambda: pick("ghp_", "gho_", "glpat-", "sk-", "xoxb-", "npm_", "pk_live_", "hf_") + text(low + up + digits, int(r.integers(20, 40))),
@@ -182,7 +201,10 @@ def labelled_findings(n: int, seed: int = 3) -> tuple[list[str], np.ndarray]:
                 lambda: "eyJ" + text(low + up + digits, 17) + "." + text(low + up + digits + "-_", 40),
                 lambda: text(up + digits, int(r.integers(20, 40))),
                 lambda: text(low + digits, int(r.integers(20, 40))),
+                lambda: text(low + up, int(r.integers(24, 48))),
             )()
+            if r.random() < 0.3:
+                ahead = pick(lambda: f"hooks.{word()}.com/services/T{text(digits + up, 8)}/B{text(digits + up, 8)}/".replace("ó", "o"), lambda: path(int(r.integers(4, 9))) + "/", lambda: "_".join(plain(3)).upper() + "=", lambda: f"api.{path(3)}/v{r.integers(1, 9)}/{path(3)}.{word()}=".replace("ó", "o"))()
             before = pick("", words(2) + " ", words(3) + " key = \"", "Authorization: Bearer ", "credentials: ", "export AUTH=", "pwd: '", "access_key: ")
         else:
             body = pick(
@@ -199,12 +221,22 @@ def labelled_findings(n: int, seed: int = 3) -> tuple[list[str], np.ndarray]:
                 lambda: "=" * int(r.integers(10, 30)) + word() + str(r.integers(0, 99)),
                 lambda: "DE" + text(digits, 20),
                 lambda: text(digits, 3) + "-" + word() + "-" + text(digits, 3) + "-" + text(digits, 4) + word(),
+                lambda: "-".join(plain(int(r.integers(4, 12)))),
+                lambda: pick("www.", "", "api.") + ".".join(plain(2)) + pick(".com/", ".org/") + path(int(r.integers(2, 12))) + pick("", ".html", "/index.php", f"/{r.integers(0, 9999)}"),
+                lambda: pick("/", "_", ".").join(x.title() for x in plain(int(r.integers(4, 10)))),
+                lambda: pick("", "-", "_", "/").join(plain(int(r.integers(5, 9)))).upper(),
+                lambda: "".join(plain(int(r.integers(5, 9)))),
+                lambda: "/".join(f"{word()}={r.integers(0, 9999)}".replace("ó", "o") for _ in range(int(r.integers(3, 9)))),
+                lambda: pick(*low, *up) * int(r.integers(16, 90)),
             )()
             before = pick("", words(2) + " ", words(4) + ". ", "https://", f"{word()}@", "file ", "see ", "version: ")
         body = body if len(body) >= 16 else body + "-" + text(low, 16 - len(body)) if not secret else body
         after = pick(" " + words(2), "\n" + words(1), '" ' + words(1), ". " + words(1), "")
-        whole = before + body + after
-        found.append(window(whole, len(before), len(before) + len(body)))
+        whole, start = before + ahead + body + after, len(before)
+        key = start + len(ahead), start + len(ahead) + len(body)
+        read = list(parts(start, key[1]))
+        a, b = max(read, key=lambda x: min(x[1], key[1]) - max(x[0], key[0])) if secret else read[r.integers(len(read))]
+        found.append(window(whole, a, b))
         label.append(secret)
     return found, np.array(label, float)
 
@@ -212,7 +244,7 @@ def labelled_findings(n: int, seed: int = 3) -> tuple[list[str], np.ndarray]:
 @functools.lru_cache(maxsize=1)
 def trained() -> Network:
     """The network, trained once in a process; the same in every process."""
-    x, y = labelled_findings(2400)
+    x, y = labelled_findings(4800)
     x = one_hot(x)
     cut = len(x) * 2 // 3
     network = Network()
@@ -226,11 +258,13 @@ def find(texts: list[str | None], network: Network) -> list[list[tuple[int, int,
     base = [base_spans(t) if t else [] for t in texts]
     cand = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, base[i])]
     out = [list(x) for x in base]
-    for at in range(0, len(cand), 4096):
-        part = cand[at : at + 4096]
-        for (i, a, b), p in zip(part, network.probability([window(texts[i], a, b) for i, a, b in part]), strict=True):
-            if p >= network.threshold:
-                out[i].append((a, b, "net"))
+    read = ((k, window(texts[i], x, y)) for k, (i, a, b) in enumerate(cand) for x, y in parts(a, b))
+    best = np.zeros(len(cand))
+    while part := list(itertools.islice(read, 4096)):
+        np.maximum.at(best, [k for k, _ in part], network.probability([w for _, w in part]))
+    for (i, a, b), p in zip(cand, best, strict=True):
+        if p >= network.threshold:
+            out[i].append((a, b, "net"))
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for x in out]
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from polyloom.llm import decontaminate, sentences, suffixes
+from polyloom.llm import decontaminate, secrets, sentences, suffixes
 
 from .test_repeats import later_windows
 
@@ -64,3 +64,23 @@ def test_names_at_sentence_starts_are_placeholders(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(x.doc_id, x.item_id): x.exact for x in decontaminate.contaminated(docs, bench).collect()}
     assert found.keys() >= {(0, 1), (1, 1), (2, 2)} and not any(found.values()) and (3, 1) not in found
+
+
+# --- 1 ---
+
+
+def test_secrets_anywhere_in_long_candidates_and_of_letters_alone():
+    network = secrets.trained()
+    key = "Zk3nR8vQ2xLw7TbYc5Jd9MfH"
+    texts = ["hooks.slack.com/services/T00000000/B00000000/" + key, "/".join(["some/long/path"] * 6) + "/" + key + "/and/more/of/the/path", "AbKqZtRwXcVbNmLpQsDfGhJk"]
+    for t in texts:
+        assert secrets.written(secrets.find([f"see {t} ok"], network)[0]) == f"net:4:{4 + len(t)}"
+    clean = ["some/long/path/of/directories/without/any/secret/inside/it.html", "x" * 1000]
+    assert secrets.find(clean, network) == [[], []]
+
+
+def test_secret_threshold_keeps_recall_below_one_half():
+    network = secrets.Network()
+    x, y = secrets.labelled_findings(400, seed=2)
+    network.calibrate(secrets.one_hot(x), y)  # not trained: scores are near one half
+    assert ((network.probability(x) >= network.threshold) & (y == 1)).sum() >= secrets.RECALL * y.sum()
