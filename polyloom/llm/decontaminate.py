@@ -13,7 +13,7 @@ The benchmark is laid out in blocks of at most ``BLOCK_BYTES`` of text; each is
 documents, so its size is bounded whatever the benchmark's.
 
 Defined results: null and empty texts contaminate nothing and are clean; an item of fewer words than a window is one window, of
-fewer than ``LEAST`` words it is left out; repeated items and rows give repeated hits; other columns are left alone.
+fewer than ``LEAST`` words it is left out; repeated items and rows give repeated hits; a row is clean or not by its own text, so rows with a null or repeated id count as well; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -239,7 +239,22 @@ def contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", t
     return out.withColumnRenamed("id", id_col)
 
 
-def clean(docs: DataFrame, bench: DataFrame, **columns) -> DataFrame:
-    """The documents that no item contaminates; all columns as they are. Only ids of the others are shuffled or sent."""
-    id_col = columns.get("id_col", "doc_id")
-    return common.without(docs, contaminated(docs, bench, **columns), id_col)
+def clean(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text") -> DataFrame:
+    """The documents that no item contaminates; all columns as they are. Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for block in benchmark_blocks(bench, item_col, bench_text):
+        rows = sorted((r.i if r.i is not None else -1, r.t) for r in block.collect())
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def make(shared=shared):
+            known = Benchmark([r[0] for r in shared.value], [r[1] for r in shared.value])
+
+            def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in overlaps(common.texts(batch, text_col), known)]] = False
+                return batch.filter(pa.array(keep))
+
+            return work
+
+        docs = common.map_arrow(docs, make, schema, by=text_col)
+    return docs

@@ -398,7 +398,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own_id.alias("component_id"))
 
 
+#: Names a row where ids do not.
+ROW = "_polyloom_row"
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """The documents of ``docs``, of each component only the one with the smallest id; all columns as they are."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, k=k)
-    return common.without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), id_col)
+    """The documents of ``docs``, of each component only the one with the smallest id; all columns as they are. Where ids are null or repeat, every row is a document of its own, and a row with an id is kept before one without."""
+    if not docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col, k=k)
+        return common.without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), id_col)
+    rows = common.materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, id_col=ROW, text_col=text_col, k=k).select(F.col("doc_id").alias(ROW), "component_id")
+    own = common.materialise(rows.select(ROW, F.col(id_col).alias("own_id")).join(found, ROW))
+    kept = own.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", ROW)).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    gone = own.join(kept, "component_id").where(F.col(ROW) != F.col(f"kept.{ROW}")).select(ROW)
+    return common.without(rows, gone, ROW).drop(ROW)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from polyloom.llm import decontaminate, secrets, sentences, suffixes
+from polyloom.llm import decontaminate, jaccard, secrets, sentences, suffixes
 
 from .test_repeats import later_windows
 
@@ -84,3 +84,17 @@ def test_secret_threshold_keeps_recall_below_one_half():
     x, y = secrets.labelled_findings(400, seed=2)
     network.calibrate(secrets.one_hot(x), y)  # not trained: scores are near one half
     assert ((network.probability(x) >= network.threshold) & (y == 1)).sum() >= secrets.RECALL * y.sum()
+
+
+# --- pipeline ---
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_by_their_text(spark):
+    item = "a train leaves the northern station at noon and reaches the harbour after nine long hours"
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, item), (1, item), (1, "quite another text"), (None, "clean as well")], "doc_id long, text string")
+    assert sorted(r.text for r in decontaminate.clean(docs, bench).collect()) == ["clean as well", "quite another text"]
+    copies = spark.createDataFrame([(None, text), (None, text), (7, text), (7, text), (9, text), (7, item), (None, item), (None, None), (None, None)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(copies).collect()]
+    assert sorted(kept, key=str) == sorted([(7, text), (7, item), (None, None), (None, None)], key=str)
