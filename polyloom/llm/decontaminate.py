@@ -28,6 +28,8 @@ from polyloom.llm import common
 WINDOW, LEAST, LITERAL = 8, 5, 4
 COVER, RUN = 0.5, 13
 BLOCK_BYTES = 16 << 20
+#: Bytes of text whose words are laid out at once; a longer text is laid out by itself.
+PART_BYTES = 1 << 20
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0xA11CE5ED00000001, 0xA11CE5ED00000002, 0xA11CE5ED00000003))
 # Units of measure and money, as they follow a number.
 UNITS = "mm cm m km mg g kg t ml l s min h hz kb mb gb w kw v a c f inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur degree degrees".split()
@@ -169,6 +171,14 @@ def consistent(item: np.ndarray, item_slot: np.ndarray, own: np.ndarray, own_slo
 
 def overlaps(texts: pa.Array, bench: Benchmark) -> list[tuple[int, object, int, float, int, int, bool]]:
     """Of each text and item that meet enough: text, item id, words covered, share of the item, first and last word, whether plain words."""
+    out, first = [], 0
+    for part in common.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), limit=PART_BYTES):
+        out += [(first + x[0], *x[1:]) for x in _overlaps(common.texts(part), bench)]
+        first += part.num_rows
+    return out
+
+
+def _overlaps(texts: pa.Array, bench: Benchmark) -> list[tuple[int, object, int, float, int, int, bool]]:
     words = Words(texts)
     hits = bench.hits(words)
     if not len(hits):
