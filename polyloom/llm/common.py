@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; bounds the memory of a Python worker for ordinary texts.
-BATCH_ROWS = 2000
+#: Rows and bytes in one Arrow batch between Spark and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Bytes of text a Python worker works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -52,14 +52,20 @@ def slices(batch: pa.RecordBatch, by: str = "text", limit: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, by: str | None = "text") -> DataFrame:
-    """Apply to every batch what ``make`` returns; ``make`` runs once in each task. Row counts may change."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the session's Arrow operators by rows and bytes (Spark takes these from the session alone)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, by: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """Apply to every batch, in slices of about ``limit`` bytes of the column ``by``, what ``make`` returns; ``make`` runs once in each task. Row counts may change."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, by) if by else [batch]:
+            for part in slices(batch, by, limit) if by else [batch]:
                 yield work(part)
         give_back()
 
@@ -192,6 +198,23 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def fixed(rows: np.ndarray) -> pa.Array:
+    """A binary column with the bytes of each row of a matrix."""
+    data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    at = np.arange(len(rows) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
+def matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """What ``fixed`` wrote, as a matrix of ``kind``; all values are of one length."""
+    if not len(column):
+        return np.zeros((0, 0), kind)
+    wide = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    wide = (pa.concat_arrays(wide.chunks) if isinstance(wide, pa.ChunkedArray) else wide).cast(pa.large_binary())
+    at = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    return np.frombuffer(wide.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(kind).reshape(len(wide), -1)
+
+
 def crc(column) -> F.Column:
     """crc32 of an id written in decimal."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -66,6 +66,26 @@ def test_names_at_sentence_starts_are_placeholders(spark):
     assert found.keys() >= {(0, 1), (1, 1), (2, 2)} and not any(found.values()) and (3, 1) not in found
 
 
+def test_parted_numbers_are_one_slot(spark):
+    item = "A pump moves 1,000 litres of water in 3.5 hours. Zoë then opens a second pump. How long for 9 tanks?"
+    copy = item.replace("1,000", "2.750,5").replace("3.5", "12").replace("Zoë", "Ángel").replace("9", "1,234,567")
+    bench = spark.createDataFrame([(None, item), (3, item), (3, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "x " + copy), (None, copy), (None, copy), (6, item), (7, "quite another text about pumps, tanks and 1,000 other things")], "doc_id long, text string")
+    found = sorted(((x.doc_id, x.item_id, x.exact, x.first_word) for x in decontaminate.contaminated(docs, bench).collect()), key=str)
+    assert found == sorted([(5, None, False, 1), (5, 3, False, 1), *[(None, None, False, 0), (None, 3, False, 0)] * 2, (6, None, True, 0), (6, 3, True, 0)], key=str)
+    assert [x.doc_id for x in decontaminate.clean(docs, bench).collect()] == [7]
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(docs, empty).count() == 0 and decontaminate.clean(docs, empty).count() == 5
+
+
+def test_decontamination_with_windows_that_half_the_texts_share(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old mill by the river"
+    docs = spark.createDataFrame([(i, item if i % 2 else f"{item[:45]} text {i}") for i in range(300)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, item + " " + f"w{i} " * 30) for i in range(5)] + [(9, item)], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert found >= {(i, 9) for i in range(300) if i % 2} and all(i % 2 or k == 9 for i, k in found)
+
+
 # --- 1 ---
 
 
