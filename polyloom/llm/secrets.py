@@ -1,17 +1,23 @@
-"""Secret scan: exact rules, and a character convolutional network over every other candidate with its context.
+"""Secret scan: exact rules, and a character convolutional network over every candidate with its context.
 
-Rules (their spans always stay): an assignment to a password-like name, an access key id, a long hexadecimal run. Candidates
-are further runs of key-like characters that hold a letter. The network reads ``INSIDE`` characters of the candidate with ``LEFT``
-before and ``RIGHT`` after them; over a longer candidate it moves on by ``STRIDE``, and the highest score counts: one convolution, maximum and mean over the candidate and
-over its context, one hidden layer. It is trained on labelled findings that a seeded generator writes (real ones are never
-published), calibrated on findings held out from training, and its threshold is the highest that still finds ``RECALL`` of them.
+Rules (their spans always stay): an assignment to a password-like name, an access key id, a long hexadecimal run. Candidates are the
+rules' own keys and all runs of ``LEAST`` or more key-like characters that hold a letter. The network reads ``INSIDE`` characters of the
+candidate with ``LEFT`` before and ``RIGHT`` after them; over a longer candidate it moves on by ``STRIDE``:
+one convolution, maximum and mean over the candidate and over its context, one hidden layer. A candidate of which it accepts a part becomes a span
+of its own unless a rule's span holds it already; of the rules' spans it says how many it confirms.
 
-Defined results: a null or empty text has no spans; overlapping candidates are joined by the rules' own spans first; a very
-long text is scanned whole; rows that repeat give equal results; other columns are left alone.
+Labelled findings come from a bounded sample of the documents (``SAMPLE``): the rules' keys, in their own context and in one without a name,
+against the other runs of the sample (but for those that a network trained without them takes for keys); and, as real keys are never published, from a seeded generator that writes keys of common forms and
+harmless compounds of the sample's own words into contexts cut from the sample. A third of the findings, chosen by a hash of their text, is
+held out: on it the curve is fitted and a threshold set for each kind of candidate, the highest that finds ``RECALL`` of its keys.
+
+Defined results: a null or empty text has no spans; an empty table trains on generated findings alone and gives an empty table; a very
+long text is scanned whole; rows that repeat give equal results; other columns are left alone, but a column ``secret_spans`` is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import itertools
@@ -31,12 +37,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_=.~-]{16,}")
+LEAST = 16
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 LEFT, INSIDE, RIGHT = 24, 44, 8
 WIDE = LEFT + INSIDE + RIGHT
 STRIDE = INSIDE // 2
 RECALL = 0.98
+#: Documents whose findings and words train the network, findings of each label taken from them, and findings that are generated.
+SAMPLE, FOUND, GENERATED = 6000, 1500, 4800
 #: Classes of bytes, then those of other bytes, of all that isn't ASCII, and of padding.
 _GROUPS = ("0123456789", "ae", "bcdf", "iouy", "ghjklmnpqrstvwxz", "AE", "BCDF", "IOUY", "GHJKLMNPQRSTVWXZ", "=", "-_", "/+", ".", ":", " \t", "\"'`", "\n\r", "@~", "([{<", ")]}>", ",;")
 _CLASSES = len(_GROUPS) + 3
@@ -68,17 +77,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Further runs of key-like characters that hold a letter and touch no span of the rules."""
+def candidates(text: str) -> list[tuple[int, int]]:
+    """All runs of key-like characters that hold a letter."""
     out = []
     for m in CANDIDATE.finditer(text):
         word = m[0].rstrip(".=-_~") if m[0][-1] in ".-_~" else m[0]
-        a, b = m.start(), m.start() + len(word)
-        if len(word) >= 16 and any(map(str.isalpha, word)) and not any(s < b and a < e for s, e, _ in taken):
-            out.append((a, b))
+        if len(word) >= LEAST and any(map(str.isalpha, word)):
+            out.append((m.start(), m.start() + len(word)))
     return out
 
 
+def key_of(text: str, span: tuple[int, int, str]) -> tuple[int, int]:
+    """The part of a rule's span that the network reads: of an assignment its value."""
+    a, b, kind = span
+    return (b - len(ASSIGN.match(text, a)[2]), b) if kind == "assign" else (a, b)
+
+
 def window(text: str, a: int, b: int) -> str:
     """The candidate with its context, padded to ``WIDE`` characters; NUL is padding."""
     left, right = text[max(0, a - LEFT) : a], text[b : b + RIGHT]
@@ -98,6 +112,19 @@ def one_hot(windows: list[str]) -> np.ndarray:
     return np.eye(_CLASSES, dtype=np.float32)[codes]
 
 
+#: Kinds of candidates: without and with digits, both cases, other characters. Held-out keys that a threshold of a kind's own takes.
+KINDS_OF_KEY, ENOUGH = 8, 40
+
+
+def kinds_of_key(windows: list[str]) -> np.ndarray:
+    """The kind of what is read of each candidate."""
+    out = np.zeros(len(windows), np.int64)
+    for i, w in enumerate(windows):
+        own = w[LEFT : LEFT + INSIDE].rstrip("\0")
+        out[i] = any(map(str.isdigit, own)) + 2 * (own != own.lower() and own != own.upper()) + 4 * (not own.isalnum())
+    return out
+
+
 class Network:
     """x (n, WIDE, classes) -> convolution of ``width`` -> ReLU -> maximum and mean of candidate and left context -> hidden -> logit."""
 
@@ -114,7 +141,7 @@ class Network:
             "d": np.zeros(1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.slope, self.offset, self.threshold = 1.0, 0.0, 0.5
+        self.slope, self.offset, self.thresholds = 1.0, 0.0, np.full(KINDS_OF_KEY, 0.5)
 
     def forward(self, x: np.ndarray):
         p = self.p
@@ -158,14 +185,21 @@ class Network:
                     second[k] = 0.999 * second[k] + 0.001 * v * v
                     self.p[k] = (self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """A logistic curve over the logits of held-out findings, and the highest threshold that finds ``recall`` of the secrets."""
+    def calibrate(self, windows: list[str], y: np.ndarray, recall: float = RECALL) -> None:
+        """A logistic curve over the logits of held-out findings, and for each kind of candidate the highest threshold that finds ``recall`` of its keys (where it has fewer than ``ENOUGH``: all of them, and that of all keys at most)."""
         from polyloom.llm.quality import fit_curve
 
-        logit = self.forward(x)[0].astype(float)
+        logit = self.forward(one_hot(windows))[0].astype(float)
         self.slope, self.offset = fit_curve(logit, y)
-        p = np.sort(self.probability_of(logit)[y == 1])
-        self.threshold = float(p[int(np.floor((1 - recall) * len(p)))])
+        p, kind = self.probability_of(logit), kinds_of_key(windows)
+        highest = lambda x: x[int(np.floor((1 - recall) * len(x)))]
+        every = highest(np.sort(p[y == 1]))
+        for k in range(KINDS_OF_KEY):
+            own = np.sort(p[(y == 1) & (kind == k)])
+            self.thresholds[k] = highest(own) if len(own) >= ENOUGH else min([every, *own[:1]])
+
+    def accepts(self, windows: list[str]) -> np.ndarray:
+        return self.probability(windows) >= self.thresholds[kinds_of_key(windows)] if windows else np.zeros(0, bool)
 
     def probability_of(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.offset, -50, 50)))
@@ -175,24 +209,56 @@ class Network:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def labelled_findings(n: int, seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """n candidates in context and whether each is a secret: keys of common forms, against hosts, paths, names, versions, ids and numbers.
+Finding = tuple[str, str, str, bool]  # what stands before, the candidate, what stands after, whether it is a key
+
+
+def corpus_findings(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, found: int = FOUND) -> tuple[list[Finding], list[str]]:
+    """Labelled findings of a bounded sample of documents, and pieces of their text (at most one of each); what is collected is bounded by ``found``."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for t in common.texts(batch).to_pylist():
+                base = base_spans(t)
+                own = [(*key_of(t, s), "key") for s in base]
+                own += [(a, b, "other") for a, b in candidates(t) if not any(s < b and a < e for s, e, _ in base)]
+                rows += [(kind, t[max(0, a - LEFT) : a], t[a:b][: 4 * INSIDE], t[b : b + RIGHT]) for a, b, kind in own]
+                at = len(t) * 5 // 8
+                rows.append(("text", "", t[at : at + 120], ""))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["kind", "before", "body", "after"])
+
+        return work
+
+    texts = docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''")
+    rows = common.map_arrow(common.bounded_sample(texts, "text", sample), make, "kind string, before string, body string, after string").distinct()
+    some = {k: [tuple(r)[1:] for r in rows.where(F.col("kind") == k).orderBy(F.xxhash64("body", "before"), "body", "before", "after").limit(found).collect()] for k in ("key", "other", "text")}
+    return [(*r, True) for r in some["key"]] + [(*r, False) for r in some["other"]], [r[1] for r in some["text"]]
+
 
-    Of a finding of more than ``INSIDE`` characters it is the part that shows most of its key, or any part where there is none.
-    """
+def generated_findings(n: int, pieces: list[str], seed: int = 3) -> list[Finding]:
+    """Keys of common forms and harmless compounds of words, half of each, in contexts cut from ``pieces`` (of invented words where there are none)."""
     r = np.random.default_rng(seed)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     text = lambda alphabet, k: "".join(alphabet[i] for i in r.integers(0, len(alphabet), k))
-    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "ou", "en", "st", "sch", "ung", "ment", "que", "ción", "tre", "eau", "ado", "keit"]
-    word = lambda: "".join(syllables[i] for i in r.integers(0, len(syllables), r.integers(1, 4)))
-    words = lambda k: " ".join(word() for _ in range(k))
     pick = lambda *x: x[r.integers(len(x))]
-    plain = lambda k: [word().replace("ó", "o") for _ in range(k)]
-    path = lambda k: "/".join(plain(k))
-    found, label = [], []
+    number = lambda k: str(r.integers(0, k))
+    known = [w for w in (re.findall(r"[A-Za-z]{2,12}", " ".join(pieces)) if pieces else [])]
+    invented = lambda: "".join(pick(*"bcdfghklmnprstvw") + pick(*"aeiou") for _ in range(int(r.integers(1, 5))))
+    word = lambda: known[r.integers(len(known))].lower() if known and r.random() < 0.7 else invented()
+    words = lambda k: [word() for _ in range(k)]
+
+    def context() -> tuple[str, str]:
+        own = pieces[r.integers(len(pieces))] if pieces and r.random() < 0.7 else " ".join(words(16))
+        at = int(r.integers(0, max(1, len(own) - 1)))
+        return own[max(0, at - LEFT) : at].rstrip() + pick(" ", "\n", ' "', ": ", "(", ""), pick(" ", "\n", '" ', ". ", ")", "") + own[at : at + RIGHT].lstrip()
+
+    def join(by: str, k: int) -> str:
+        return by.join(words(k))
+
+    out = []
     for i in range(n):
         secret = i % 2 == 0
-        ahead = ""  # what stands before the key in one candidate
+        before, after = context()
         if secret:
             body = pick(
                 lambda: pick("ghp_", "gho_", "glpat-", "sk-", "xoxb-", "npm_", "pk_live_", "hf_") + text(low + up + digits, int(r.integers(20, 40))),
@@ -201,71 +267,97 @@ def labelled_findings(n: int, seed: int = 3) -> tuple[list[str], np.ndarray]:
                 lambda: "eyJ" + text(low + up + digits, 17) + "." + text(low + up + digits + "-_", 40),
                 lambda: text(up + digits, int(r.integers(20, 40))),
                 lambda: text(low + digits, int(r.integers(20, 40))),
+                lambda: text("0123456789abcdef", int(r.integers(24, 64))),
                 lambda: text(low + up, int(r.integers(24, 48))),
             )()
+            ahead = ""
+            if r.random() < 0.3:  # what stands before the key in one candidate
+                ahead = pick(lambda: f"{word()}.{word()}.com/{word()}/{text(digits + up, 8)}/", lambda: join("/", int(r.integers(4, 9))) + "/", lambda: join("_", 3).upper() + "=", lambda: f"{join('/', 3)}/v{number(9)}/{join('.', 2)}=")()
             if r.random() < 0.3:
-                ahead = pick(lambda: f"hooks.{word()}.com/services/T{text(digits + up, 8)}/B{text(digits + up, 8)}/".replace("ó", "o"), lambda: path(int(r.integers(4, 9))) + "/", lambda: "_".join(plain(3)).upper() + "=", lambda: f"api.{path(3)}/v{r.integers(1, 9)}/{path(3)}.{word()}=".replace("ó", "o"))()
-            before = pick("", words(2) + " ", words(3) + " key = \"", "Authorization: Bearer ", "credentials: ", "export AUTH=", "pwd: '", "access_key: ")
+                before = before[-8:] + pick("Authorization: Bearer ", "credentials: ", "export AUTH=", "pwd: '", "access_key: ", 'key = "')
+            body = ahead + body
         else:
             body = pick(
-                lambda: f"{word()}.{word()}{r.integers(0, 99)}.{pick('example', 'mail', 'data')}.{pick('com', 'org', 'de')}",
-                lambda: f"mail{r.integers(0, 99)}.{pick('example', 'server', 'domain')}.{pick('com', 'org', 'net')}",
-                lambda: "/".join([word() for _ in range(int(r.integers(2, 5)))] + [f"{word()}{r.integers(0, 999)}"]),
-                lambda: "-".join([word() for _ in range(int(r.integers(2, 5)))] + [str(r.integers(0, 9999))]),
-                lambda: "_".join([word() for _ in range(int(r.integers(2, 5)))] + [f"v{r.integers(0, 99)}"]),
-                lambda: word() + word() + word() + word() + str(r.integers(0, 9999)),
-                lambda: f"{word()}-{r.integers(1, 30)}.{r.integers(0, 30)}.{r.integers(0, 30)}-{word()}.tar.gz",
-                lambda: f"{r.integers(1900, 2100)}-{r.integers(10, 13)}-{r.integers(10, 29)}T{r.integers(10, 24)}.{r.integers(10, 60)}",
-                lambda: f"{word().title()}{word().title()}{word().title()}{r.integers(0, 99)}",
-                lambda: "." * int(r.integers(10, 30)) + word() + str(r.integers(0, 99)),
-                lambda: "=" * int(r.integers(10, 30)) + word() + str(r.integers(0, 99)),
-                lambda: "DE" + text(digits, 20),
-                lambda: text(digits, 3) + "-" + word() + "-" + text(digits, 3) + "-" + text(digits, 4) + word(),
-                lambda: "-".join(plain(int(r.integers(4, 12)))),
-                lambda: pick("www.", "", "api.") + ".".join(plain(2)) + pick(".com/", ".org/") + path(int(r.integers(2, 12))) + pick("", ".html", "/index.php", f"/{r.integers(0, 9999)}"),
-                lambda: pick("/", "_", ".").join(x.title() for x in plain(int(r.integers(4, 10)))),
-                lambda: pick("", "-", "_", "/").join(plain(int(r.integers(5, 9)))).upper(),
-                lambda: "".join(plain(int(r.integers(5, 9)))),
-                lambda: "/".join(f"{word()}={r.integers(0, 9999)}".replace("ó", "o") for _ in range(int(r.integers(3, 9)))),
+                lambda: join(pick("/", "-", "_", "."), int(r.integers(3, 12))) + pick("", number(9999), f".{word()[:4]}"),
+                lambda: pick("www.", "", f"{word()}.") + join(".", 2) + pick(".com/", ".org/", ".net") + join("/", int(r.integers(1, 9))) + pick("", ".html", f"/{number(9999)}"),
+                lambda: join("", int(r.integers(3, 9))),
+                lambda: pick("", "-", "_", "/").join(w.upper() for w in words(int(r.integers(3, 9)))),
+                lambda: pick("", "/", "_", ".").join(w.title() for w in words(int(r.integers(3, 10)))) + pick("", number(999)),
+                lambda: f"{word()}-{number(30)}.{number(30)}.{number(30)}-{word()}.tar.gz",
+                lambda: f"{r.integers(1900, 2100)}-{r.integers(10, 13)}-{r.integers(10, 29)}T{r.integers(10, 24)}.{r.integers(10, 60)}Z",
+                lambda: f"{word()}.{word()}{number(99)}.{word()}.{pick('com', 'org', 'de')}",
+                lambda: "/".join(f"{word()}={number(9999)}" for _ in range(int(r.integers(3, 9)))),
+                lambda: pick(".", "=", "-", "_") * int(r.integers(10, 30)) + word() + number(99),
+                lambda: pick(up[:4], up[4:8])[:2] + text(digits, 20),
                 lambda: pick(*low, *up) * int(r.integers(16, 90)),
+                lambda: text(digits, 3) + "-" + word() + "-" + text(digits, 3) + "-" + text(digits, 4) + word(),
             )()
-            before = pick("", words(2) + " ", words(4) + ". ", "https://", f"{word()}@", "file ", "see ", "version: ")
-        body = body if len(body) >= 16 else body + "-" + text(low, 16 - len(body)) if not secret else body
-        after = pick(" " + words(2), "\n" + words(1), '" ' + words(1), ". " + words(1), "")
-        whole, start = before + ahead + body + after, len(before)
-        key = start + len(ahead), start + len(ahead) + len(body)
-        read = list(parts(start, key[1]))
-        a, b = max(read, key=lambda x: min(x[1], key[1]) - max(x[0], key[0])) if secret else read[r.integers(len(read))]
-        found.append(window(whole, a, b))
-        label.append(secret)
-    return found, np.array(label, float)
-
-
-@functools.lru_cache(maxsize=1)
-def trained() -> Network:
-    """The network, trained once in a process; the same in every process."""
-    x, y = labelled_findings(4800)
-    x = one_hot(x)
-    cut = len(x) * 2 // 3
+            body = body if len(body) >= LEAST else body + "-" + join("", 6)[: LEAST - len(body)].ljust(LEAST - len(body), "e")
+        out.append((before[-LEFT:], body, after, secret))
+    return out
+
+
+def examples(findings: list[Finding], pieces: list[str], generated: int = GENERATED, seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Windows, labels, and which are held out (by a hash of the candidate). A corpus key stands once in its own context and once in a piece's. Of a long candidate it is the window with the most kinds of characters (for a key), or any."""
+    r = np.random.default_rng(seed)
+    made = generated_findings(generated, pieces, seed)
+    swapped = [(*made[int(r.integers(len(made)))][:1], k, made[int(r.integers(len(made)))][2], True) for _, k, _, secret in findings if secret and len(k) >= LEAST]
+    x, y, held = [], [], []
+    for before, body, after, secret in [*findings, *swapped, *made]:
+        whole, start = before + body + after, len(before)
+        read = list(parts(start, start + len(body)))
+        a, b = max(read, key=lambda p, t=whole: len(set(t[p[0] : p[1]]))) if secret else read[r.integers(len(read))]
+        x.append(window(whole, a, b))
+        y.append(secret)
+        held.append(int(hashlib.sha256(body.encode()).hexdigest(), 16) % 3 == 0)
+    return x, np.array(y, float), np.array(held, bool)
+
+
+def fitted(findings: list[Finding], pieces: list[str], epochs: int) -> Network:
+    x, y, held = examples(findings, pieces)
     network = Network()
-    network.train(x[:cut], y[:cut])
-    network.calibrate(x[cut:], y[cut:])
+    network.train(one_hot([w for w, h in zip(x, held, strict=True) if not h]), y[~held], epochs=epochs)
+    network.calibrate([w for w, h in zip(x, held, strict=True) if h], y[held])
     return network
 
 
-def find(texts: list[str | None], network: Network) -> list[list[tuple[int, int, str]]]:
-    """The spans of each text, those of the rules and those that the network adds, by start and kind."""
+@functools.lru_cache(maxsize=4)
+def _trained(findings: tuple[Finding, ...], pieces: tuple[str, ...]) -> Network:
+    """Of the corpus's other runs, those that a first network (which has not seen them) takes for keys are unlabelled, not harmless: they train nothing."""
+    keys, other = [f for f in findings if f[3]], [f for f in findings if not f[3]]
+    if other:
+        first = fitted(keys, list(pieces), 4)
+        other = [(a, b, c, d) for a, b, c, d in other if not first.accepts([window(a + b + c, x, y) for x, y in parts(len(a), len(a) + len(b))]).any()]
+    return fitted(keys + other, list(pieces), 9)
+
+
+def trained(docs: DataFrame | None = None, text_col: str = "text") -> Network:
+    """The network, trained on the findings of ``docs`` and on generated ones; the same wherever these are the same."""
+    findings, pieces = corpus_findings(docs, text_col) if docs is not None else ([], [])
+    return _trained(tuple(findings), tuple(pieces))
+
+
+def find(texts: list[str | None], network: Network) -> tuple[list[list[tuple[int, int, str]]], np.ndarray]:
+    """The spans of each text, those of the rules and those that the network adds, by start and kind; and how many of the rules' it confirms."""
     base = [base_spans(t) if t else [] for t in texts]
-    cand = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, base[i])]
-    out = [list(x) for x in base]
-    read = ((k, window(texts[i], x, y)) for k, (i, a, b) in enumerate(cand) for x, y in parts(a, b))
-    best = np.zeros(len(cand))
+    runs = [(i, a, b, False) for i, t in enumerate(texts) if t for a, b in candidates(t)]
+    runs += [(i, *key_of(t, s), True) for i, t in enumerate(texts) if t for s in base[i]]
+    out, confirmed = [list(x) for x in base], np.zeros(len(texts), np.int64)
+    read = ((k, window(texts[i], x, y)) for k, (i, a, b, _) in enumerate(runs) for x, y in parts(a, b))
+    accepted = np.zeros(len(runs), bool)
     while part := list(itertools.islice(read, 4096)):
-        np.maximum.at(best, [k for k, _ in part], network.probability([w for _, w in part]))
-    for (i, a, b), p in zip(cand, best, strict=True):
-        if p >= network.threshold:
+        np.logical_or.at(accepted, [k for k, _ in part], network.accepts([w for _, w in part]))
+    reach = [np.maximum.accumulate([e for _, e, _ in x]) for x in base]  # spans stand by start: the farthest end so far
+    for (i, a, b, rule), yes in zip(runs, accepted, strict=True):
+        if not yes:
+            continue
+        if rule:
+            confirmed[i] += 1
+            continue
+        before = bisect.bisect_right(base[i], a, key=lambda s: s[0])
+        if not before or reach[i][before - 1] < b:
             out[i].append((a, b, "net"))
-    return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for x in out]
+    return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for x in out], confirmed
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
@@ -275,7 +367,7 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, *, text_col: str = "text", redact: str | None = None) -> DataFrame:
     """All columns of ``docs`` and ``secret_spans`` (array of kind, start, end in code points); with ``redact``, the text's spans are replaced by that string."""
     docs = docs.drop("secret_spans")
-    shared = docs.sparkSession.sparkContext.broadcast(trained())
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, text_col))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
@@ -283,7 +375,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", redact: str | None = None)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = common.texts(batch, text_col).to_pylist()
-            spans = find(texts, network)
+            spans, _ = find(texts, network)
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             if redact is not None:
                 columns[text_col] = pa.array([redacted(t, s, redact) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
@@ -309,18 +401,19 @@ def redacted(text: str, spans: list[tuple[int, int, str]], by: str) -> str:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the rules' spans, base_sha256 and all spans, as the query returns them."""
-    shared = docs.sparkSession.sparkContext.broadcast(trained())
+    """doc_id, counts of the rules' spans, base_sha256, all spans, and how many the network adds (n_net) and confirms (n_confirmed), as the query returns them."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs))
 
     def make():
         network = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            spans = find(common.texts(batch).to_pylist(), network)
+            spans, confirmed = find(common.texts(batch).to_pylist(), network)
             count = lambda k: pa.array([sum(s[2] == k for s in x) for x in spans], pa.int64())
             sha = [hashlib.sha256(written([s for s in x if s[2] != "net"]).encode()).hexdigest() for x in spans]
-            return pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), count("assign"), count("access"), count("hex"), count("net"), pa.array(sha, pa.string()), pa.array([written(x) for x in spans], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_net", "base_sha256", "spans"])
+            columns = {"doc_id": common.column(batch, "doc_id"), "n_assign": count("assign"), "n_access": count("access"), "n_hex": count("hex"), "base_sha256": pa.array(sha, pa.string()), "spans": pa.array([written(x) for x in spans], pa.string()), "n_net": count("net"), "n_confirmed": pa.array(confirmed)}
+            return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
         return work
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), make, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_net bigint, base_sha256 string, spans string")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), make, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_net bigint, n_confirmed bigint")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from polyloom.llm import decontaminate, jaccard, secrets, sentences, suffixes
+from polyloom.llm import decontaminate, jaccard, queries, secrets, sentences, suffixes
 
 from .test_repeats import later_windows
 
@@ -31,8 +31,9 @@ def test_sentence_copies_of_any_shape_are_removed(spark):
 # --- 8 ---
 
 
-@pytest.mark.parametrize("parts", ["1", "7"])
-def test_suffixes_equal_brute_force_where_many_share_a_passage(spark, parts):
+@pytest.mark.parametrize(("parts", "hot"), [("1", 4096), ("7", 40)])
+def test_suffixes_equal_brute_force_where_many_share_a_passage(spark, parts, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     r = random.Random(8)
     words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
     passage, pre, post = words(48), words(5), words(5)
@@ -53,6 +54,22 @@ def test_suffixes_equal_brute_force_where_many_share_a_passage(spark, parts):
     assert {x.doc_id: {p for s in x.spans for p in range(s.first, s.last)} for x in rows} == later_windows(texts, suffixes.LEAST)
 
 
+def test_suffix_query_equals_brute_force_for_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 6)
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("1", "7", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found.append(sorted((r.doc_id, r.spans, r.n_words, r.other_docs) for r in queries.op8_suffix_dedup(spark, sf).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    got = {i: {p for x in s.split(",") for p in range(*map(int, x.split(":")))} for i, s, _, _ in found[0]}
+    assert got == later_windows(texts, suffixes.LEAST)
+
+
 # --- 4 ---
 
 
@@ -94,16 +111,16 @@ def test_secrets_anywhere_in_long_candidates_and_of_letters_alone():
     key = "Zk3nR8vQ2xLw7TbYc5Jd9MfH"
     texts = ["hooks.slack.com/services/T00000000/B00000000/" + key, "/".join(["some/long/path"] * 6) + "/" + key + "/and/more/of/the/path", "AbKqZtRwXcVbNmLpQsDfGhJk"]
     for t in texts:
-        assert secrets.written(secrets.find([f"see {t} ok"], network)[0]) == f"net:4:{4 + len(t)}"
+        assert secrets.written(secrets.find([f"see {t} ok"], network)[0][0]) == f"net:4:{4 + len(t)}"
     clean = ["some/long/path/of/directories/without/any/secret/inside/it.html", "x" * 1000]
-    assert secrets.find(clean, network) == [[], []]
+    assert secrets.find(clean, network)[0] == [[], []]
 
 
 def test_secret_threshold_keeps_recall_below_one_half():
     network = secrets.Network()
-    x, y = secrets.labelled_findings(400, seed=2)
-    network.calibrate(secrets.one_hot(x), y)  # not trained: scores are near one half
-    assert ((network.probability(x) >= network.threshold) & (y == 1)).sum() >= secrets.RECALL * y.sum()
+    x, y, _ = secrets.examples([], [], generated=400, seed=2)
+    network.calibrate(x, y)  # not trained: scores are near one half
+    assert (network.accepts(x) & (y == 1)).sum() >= secrets.RECALL * y.sum()
 
 
 # --- pipeline ---
