@@ -200,6 +200,8 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 def fixed(rows: np.ndarray) -> pa.Array:
     """A binary column with the bytes of each row of a matrix."""
+    if not len(rows):
+        return pa.array([], pa.binary())
     data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
     at = np.arange(len(rows) + 1, dtype=np.int32) * data.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(data)])

@@ -162,8 +162,6 @@ def windows(texts: pa.Array, sizes: list[int] | None = None) -> tuple:
 
 def payload(words: Words, at: np.ndarray, size: np.ndarray, form: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Plain words and slots of each window in ``WINDOW`` places; what is beyond a window's size means nothing."""
-    if not len(at):
-        return pa.array([], pa.binary()), pa.array([], pa.binary())
     place = np.minimum(at[:, None] + np.arange(WINDOW), len(words.plain) - 1)
     slots = np.stack(words.slots)
     return common.fixed(words.plain[place]), common.fixed(slots[form[:, None], place])
