@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from polyloom.functions import wording
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def filled(text: str, **values) -> Column:
+    """The text with names in braces replaced by columns or strings."""
+    parts = re.split(r"\{(\w+)\}", text)
+    out = [F.lit(x) if i % 2 == 0 else values[x].cast("string") if isinstance(values[x], Column) else F.lit(str(values[x])) for i, x in enumerate(parts)]
+    return F.concat(*out) if len(out) > 1 else out[0]
+
+
 def site_status(raw: str | Column, known: str | Column, override: dict[str, str] | None = None) -> Column:
     """Site of a raw population code, and how it was found. ``known``: array of known sites. struct(site, status).
 
@@ -84,9 +95,9 @@ def score_class(score: str | Column) -> Column:
 
 
 def score_tier(score: str | Column) -> Column:
-    """Tiers closed on the left at .001, .501, .668, .751, .834."""
-    s = _col(score)
-    return F.when(s < 0.001, "0").when(s < 0.501, "1").when(s < 0.668, "2").when(s < 0.751, "3").when(s < 0.834, "4").when(s.isNotNull(), "5")
+    """Named tiers closed on the left at .001, .501, .668, .751, .834."""
+    s, t = _col(score), wording.TIERS
+    return F.when(s < 0.001, t[0]).when(s < 0.501, t[1]).when(s < 0.668, t[2]).when(s < 0.751, t[3]).when(s < 0.834, t[4]).when(s.isNotNull(), t[5])
 
 
 def group_status(mean_score, share_aaaa, low: float = 0.667, high: float = 0.30) -> Column:
@@ -96,8 +107,10 @@ def group_status(mean_score, share_aaaa, low: float = 0.667, high: float = 0.30)
 
 
 def conservation_quadrant(depletion, compatibility, deep: float = 0.5, fit: float = 0.4) -> Column:
+    """The strategy of a group; null where either value is."""
     d, p = _col(depletion) >= deep, _col(compatibility) >= fit
-    return F.when(d & p, "Enrich").when(d & ~p, "Rescue").when(~d & p, "Maintain").otherwise("Rebalance")
+    healthy, preventive, skew, urgent = wording.STRATEGIES
+    return F.when(~d & p, healthy).when(d & p, preventive).when(~d & ~p, skew).when(d & ~p, urgent)
 
 
 def traffic_light(compatibility, green: float = 0.40, amber: float = 0.20) -> Column:
@@ -121,15 +134,17 @@ def si_status(broken, total, least: int = 4, high: float = 0.25) -> Column:
 
 
 def target_copies(status, confidence, broken) -> Column:
-    """struct(functional, null, flag): copies of a null-aware genotype."""
+    """struct(functional, null_copies, flag): copies of a null-aware genotype."""
     s, c, k = _col(status), _col(confidence), F.coalesce(_col(broken), F.lit(0))
     row = lambda f, n, flag: F.struct(f.cast("int").alias("functional"), n.cast("int").alias("null_copies"), F.lit(flag).alias("flag"))
+    si, low, introduced, sc, thin, none, _ = wording.FLAGS
     return (
-        F.when(s == "SC", row(F.lit(0), F.lit(4), "all_null"))
-        .when((s == "pSI") & (c == "high"), row(4 - k, k, "null_aware"))
-        .when(s == "pSI", row(F.lit(4), F.lit(0), "low_confidence"))
-        .when(s == "SI", row(F.lit(4), F.lit(0), "functional"))
-        .otherwise(row(F.lit(4), F.lit(0), "unverified"))
+        F.when(s == "SI", row(F.lit(4), F.lit(0), si))
+        .when((s == "pSI") & (c == "low"), row(F.lit(4), F.lit(0), low))
+        .when((s == "pSI") & (c == "high") & (k > 0), row(4 - k, k, introduced))
+        .when(s == "SC", row(F.lit(0), F.lit(4), sc))
+        .when(s == "Insufficient_data", row(F.lit(4), F.lit(0), thin))
+        .otherwise(row(F.lit(4), F.lit(0), none))
     )
 
 
@@ -176,36 +191,55 @@ def biological_allele(allele, group) -> Column:
     return F.when(number == "", _col(allele)).otherwise(F.concat(F.lit("Synonymy_group_"), number))
 
 
-def qc_category(genotyped, raw, long_enough, functional, status) -> Column:
-    """Outcome of a sample by the first stage that fails."""
-    g, r, l_, f, s = map(_col, (genotyped, raw, long_enough, functional, status))
+def qc_category(ingroup, final, stage, loss, failure) -> Column:
+    """Outcome of a sample: of the ingroup, its state where it was genotyped, a candidate for escape, else what the laboratory has to repeat."""
+    i, f, s, l_, m = map(_col, (ingroup, final, stage, loss, failure))
     return (
-        F.when(g & (s == "SC"), "SI_escape")
-        .when(g, "Genotyped")
-        .when(r == 0, "No_reads")
-        .when(l_ == 0, "Too_short")
-        .when(f == 0, "No_functional_protein")
-        .when(s == "Insufficient_data", "Insufficient_data")
-        .otherwise("Filtered")
+        F.when(i.cast("string") == "0", "Outgroup")
+        .when((f == "Included") & (l_ == "Partial_translation_failure"), "Partial_translation_failure")
+        .when(f == "Included", "Functional")
+        .when((l_ == "Complete_loss") & (m == "premature_stop"), "SI_escape_candidate")
+        .when(s == "Step 9 — too_many_alleles", "Re_DNA_extraction")
+        .otherwise("Re_PCR")
     )
 
 
-def lab_action(stage) -> Column:
-    s = F.lower(_col(stage))
-    return F.when(s.contains("no_reads"), "Repeat DNA extraction and PCR").when(s.contains("short"), "Repeat PCR with long-range protocol").when(s.contains("functional"), "Re-sequence to confirm loss").when(s.contains("insufficient"), "Re-sequence at higher depth").otherwise("None")
+def lab_action(category, stage, gene: str = "target") -> Column:
+    """struct(action, recommended) of samples to repeat; null for the others."""
+    c, s = _col(category), F.coalesce(_col(stage), F.lit(""))
+    row = lambda a, r: F.struct(F.lit(a).alias("action"), filled(r, gene=gene).alias("recommended"))
+    out = F.when(c == "Re_DNA_extraction", row("Re-DNA-extraction", wording.NEW_DNA))
+    for part, text in wording.AGAIN:
+        out = out.when((c == "Re_PCR") & s.contains(part), row("Re-PCR", text))
+    return out
+
 
+def audit_decision(genotyped, raw, step4, step4b, step7b, has_4b, has_7b, label, reasons, ingroup, gene: str = "target", low: int = 3250, high: int = 4000) -> Column:
+    """struct(status, stage, reason): genotyped samples are included, the others excluded by the first stage that leaves nothing; the outgroup comes last.
 
-def audit_decision(genotyped, has_log, raw, long_enough, similar, clean, label, outgroup) -> Column:
-    g, log, r, l_, b, n, c, o = map(_col, (genotyped, has_log, raw, long_enough, similar, clean, label, outgroup))
+    ``has_4b``, ``has_7b``: whether the sample's library has that filter's log. ``label``: the class after translation, ``reasons`` its failures as ``key(n);key(n)``.
+    """
+    g, r, n4, n4b, n7b, l4b, l7b, c, f, i = map(_col, (genotyped, raw, step4, step4b, step7b, has_4b, has_7b, label, reasons, ingroup))
+    none = lambda n: F.coalesce(n, F.lit(0)) == 0
+    row = lambda status, stage, reason: F.struct(F.lit(status).alias("status"), stage.alias("stage"), reason.alias("reason"))
+    values = {"raw": r, "step4": n4, "step4b": n4b, "gene": gene, "low": low, "high": high}
+    excluded = lambda k: row("Excluded", F.lit(wording.STAGES[k][0]), filled(wording.STAGES[k][1], **values))
+    base = F.lit(None).cast("string")
+    for k, text in wording.CLASSES.items():
+        base = F.when(c == k, text).otherwise(base)
+    dominant = dominant_reason(F.coalesce(f, F.lit("")))
+    for k, text in wording.FAILURES.items():
+        base = F.when((c == "no_functional_proteins") & F.coalesce(dominant == k, F.lit(False)), text).otherwise(base)
+    failed = row("Excluded", F.concat(F.lit("Step 9 — "), c), F.concat(base, F.lit(" (Top failures: "), F.coalesce(f, F.lit("n/a")), F.lit(")")))
     return (
-        F.when(g, "Included")
-        .when(o, "Outgroup")
-        .when(r == 0, "No_raw_sequences")
-        .when(l_ == 0, "Length_filter")
-        .when(log & (b == 0), "Similarity_filter")
-        .when(log & (n == 0), "N_content_filter")
-        .when(c.isNotNull() & (c != "normal"), c)
-        .otherwise("Unknown")
+        F.when(g, row("Included", F.lit(""), F.lit("")))
+        .when(none(r), excluded("assembly"))
+        .when(none(n4), excluded("length"))
+        .when(l4b & none(n4b), excluded("similarity"))
+        .when(l7b & none(n7b), excluded("ambiguity"))
+        .when(c.isin(*wording.CLASSES), failed)
+        .when(i.cast("string") == "0", excluded("outgroup"))
+        .otherwise(excluded("unknown"))
     )
 
 
@@ -219,7 +253,7 @@ def dominant_reason(reasons: str | Column, share: float = 0.5) -> Column:
 def parsed_counts(text: str | Column, by: str = "+", form: str = r"([^+;]+)\((\d+)\)") -> Column:
     """``key(count)+key(count)`` as an array of struct(n, key)."""
     parts = F.split(_col(text), "[" + by + "]")
-    one = lambda p: F.struct(F.regexp_extract(p, form, 2).cast("int").alias("n"), F.trim(F.regexp_extract(p, form, 1)).alias("key"))
+    one = lambda p: F.struct(F.regexp_extract(p, form, 2).try_cast("int").alias("n"), F.trim(F.regexp_extract(p, form, 1)).alias("key"))
     return F.filter(F.transform(parts, one), lambda x: x["n"].isNotNull())
 
 
@@ -233,22 +267,56 @@ def bucket(value: str | Column, edges: list[float]) -> Column:
     return out
 
 
-def collapse_verdict(delta, median, low: float = 0.05) -> Column:
-    """Whether collapsing groups changes the positional entropy."""
-    d, m = _col(delta), _col(median)
-    return F.when(F.abs(d) < low, "no_change").when(d >= 0.5 * m, "strong_change").when(d > 0, "weak_change").otherwise("reversed")
+def collapse_verdict(full, collapsed, other, least: float = 0.05, share: float = 0.5) -> Column:
+    """What collapsing groups does to the median positional entropy: ``full`` and ``collapsed`` medians against the ``other`` species' one."""
+    f, c, o = map(_col, (full, collapsed, other))
+    negligible, substantial, partial, decreased = wording.VERDICTS
+    return F.when(F.abs(c - f) < least, negligible).when((c > f) & (c >= share * o), substantial).when(c > f, partial).otherwise(decreased)
+
 
+#: Thresholds of ``failure_mode``: reads below which a sample is under-sequenced, share of contigs dropped as chimeric, mean quality, N50, long reads.
+LOW_READS, MUCH_DROPPED, LOW_QUALITY, SHORT_N50, FEW_LONG = 10_000, 80, 10, 800, 50
 
-def failure_mode(reads, long_reads, mean_quality, contigs, in_range, functional) -> Column:
-    """Why re-sequencing failed, by the first rule that holds."""
-    r, l_, q, c, i, f = map(_col, (reads, long_reads, mean_quality, contigs, in_range, functional))
+
+def failure_mode(status, action, ok, removed, chimeric, dropped=None, unique=None, contigs=None, within=None, below=None, above=None, median=None, reads=None, quality=None, n50=None, long_reads=None, gene: str = "target", low: int = 3250, high: int = 4000) -> Column:
+    """struct(mode, action): why a re-sequenced sample has no call, by the first rule that holds. Columns left out are unknown (null) for all.
+
+    status: as ``si_status`` names it (null: not in its table); action: what the laboratory was asked to do; ok, removed, chimeric: haplotypes; dropped: percentage
+    of contigs that the chimera filter took; unique, contigs: after and before deduplication; within, below, above: unique contigs by the length filter's bounds.
+    """
+    given = (status, action, ok, removed, chimeric, dropped, unique, contigs, within, below, above, median, reads, quality, n50, long_reads)
+    st, act, k, rm, ch, dr, un, ca, wi, be, ab, me, re_, q, n, lg = (F.lit(None) if x is None else _col(x) for x in given)
+    st, act = st.cast("string"), act.cast("string")
+    number = lambda x: x.cast("double")
+    dr, un, ca, wi, be, ab, me, re_, q, n, lg = map(number, (dr, un, ca, wi, be, ab, me, re_, q, n, lg))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    clean, ch = zero(k) + zero(rm), zero(ch)
+    whole = lambda x: x.cast("bigint")
+    values = {"gene": gene, "low": low, "high": high, "dropped": F.bround(dr, 0).cast("bigint"), "unique": whole(un), "median": whole(zero(me)), "quality": F.format_string("%.1f", q), "n50": F.format_string("%,d", whole(n)), "long": whole(lg)}
+    row = lambda mode, text=None: F.struct(F.lit(mode).alias("mode"), filled(text or wording.MODES[mode], **values).alias("action"))
+    outside = (un > 0) & (wi == 0) & (ca > 0)
+    empty = ca == 0
     rules = [
-        (r.isNull(), "no_data"), (r == 0, "no_reads"), ((r < 50) & (q < 10), "few_poor_reads"), (r < 50, "few_reads"),
-        (l_ == 0, "no_long_reads"), ((l_ / r < 0.05) & (q < 10), "short_poor_reads"), (l_ / r < 0.05, "short_reads"), (q < 8, "poor_quality"),
-        (c.isNull() | (c == 0), "assembly_failed"), ((i == 0) & (c > 10), "fragmented"), (i == 0, "contigs_out_of_range"),
-        ((f == 0) & (i >= 4), "all_nonfunctional"), (f == 0, "few_nonfunctional"), ((f < 2) & (i >= 4), "mostly_nonfunctional"), (f < 2, "one_functional"), (f < 4, "partial_success"),
-    ]
-    out = F.when(*[rules[0][0], rules[0][1]])
-    for condition, name in rules[1:]:
-        out = out.when(condition, name)
-    return out.otherwise("success")
+        (st.isin("SI", "pSI", "SC") & (clean >= 4), row("none — SI call achieved")),
+        (st.isNull() | (st == "Not_in_SI_table"), row("not_in_SI_status_table")),
+        (act == "Re-DNA-extraction", row("DNA_contamination")),
+        (act == "Re-PCR", row("PCR_amplicon_failure")),
+        ((ch >= 2 * F.greatest(clean, F.lit(1))) & (ch >= 4), row("chimera_dominated")),
+        ((clean >= 1) & (clean < 4), row("partial_recovery")),
+        ((dr >= MUCH_DROPPED) & (un > 0), row("pipeline_chimera_filter_too_aggressive")),
+        ((ca > 0) & (un == 0), row("pipeline_dedup_collapsed_all_contigs")),
+        (outside & (be > 0) & (zero(ab) == 0), row("pipeline_step4_length_filter_too_short")),
+        (outside & (ab > 0) & (zero(be) == 0), row("pipeline_step4_length_filter_too_long")),
+        (outside, row("pipeline_step4_length_filter_mixed")),
+        (ca > 0, row("pipeline_downstream_filter")),
+        (empty & (re_ < LOW_READS), row("coverage_limited")),
+        (empty & (q < LOW_QUALITY), row("canu_assembly_failure_low_quality")),
+        (empty & (n < SHORT_N50), row("canu_assembly_failure_fragmented")),
+        (empty & (lg < FEW_LONG), row("canu_assembly_failure_no_long_reads")),
+        (empty, row("canu_assembly_failure")),
+        (re_ < LOW_READS, row("coverage_limited", wording.UNDER_SEQUENCED)),
+    ]
+    out = F.when(*rules[0])
+    for condition, value in rules[1:]:
+        out = out.when(condition, value)
+    return out.otherwise(row("unresolved"))

@@ -86,11 +86,14 @@ def apportioned(counts: DataFrame, target: str = "target", key: str = "individua
 
 
 def null_aware(copies: DataFrame, status: DataFrame) -> DataFrame:
-    """individual, composition and label of four copies with the null ones; individuals without a working copy are all null.
+    """individual, status, functional, null_copies, flag, composition, label: four copies of each genotyped individual with the null ones, and the self-compatible ones that were not genotyped, all null.
 
-    ``status``: individual, status, confidence, copies (broken).
+    ``status``: individual, status, confidence, copies (broken); an individual without one keeps its working copies.
     """
-    t = status.withColumn("t", labels.target_copies("status", "confidence", "copies")).select("individual", "status", "t.functional", "t.null_copies", "t.flag")
+    have = copies.select("individual").distinct()
+    t = have.join(status.select("individual", "status", "confidence", "copies"), "individual", "left").withColumn("t", labels.target_copies("status", "confidence", "copies")).select("individual", "status", "t.*")
+    added = status.where("status = 'SC'").join(have, "individual", "left_anti").select("individual", "status", F.lit(0).alias("functional"), F.lit(4).alias("null_copies"), F.lit(labels.wording.FLAGS[-1]).alias("flag"))
+    t = t.unionByName(added)
     own = apportioned(copies.join(t.select("individual", F.col("functional").alias("target")).where("target > 0"), "individual"))
     g = own.groupBy("individual").agg(F.sort_array(F.collect_list(F.struct("allele", "n"))).alias("rows"))
     out = t.join(g, "individual", "left")
@@ -106,9 +109,9 @@ def haplotype_status(logs: DataFrame) -> DataFrame:
     return c.withColumn("s", s).select("individual", "ok", "removed", "chimeric", "total", (F.col("removed") / F.col("total")).alias("share"), "s.status", "s.confidence", "s.copies")
 
 
-def best_hits(hits: DataFrame, coverage: float = 0.90, identity: float = 95.0) -> DataFrame:
-    """Queries whose best hit by bit score (first reference on ties) is long and alike enough."""
-    best = hits.groupBy("qseqid").agg(F.max_by(F.struct("sseqid", "pident", "length", "qlen", "bitscore"), F.struct(F.col("bitscore"), F.negative(F.xxhash64("sseqid")))).alias("h"))
+def best_hits(hits: DataFrame, coverage: float = 0.90, identity: float = 95.0, order: str = "sseqid") -> DataFrame:
+    """Queries whose best hit by bit score is long and alike enough. Of tied hits the first by ``order`` counts: the reference's id, or a column with the hit's place in its file."""
+    best = hits.groupBy("qseqid").agg(F.min_by(F.struct("sseqid", "pident", "length", "qlen", "bitscore"), F.struct((-F.col("bitscore")).alias("b"), F.col(order).alias("o"))).alias("h"))
     return best.select("qseqid", "h.*").where((F.col("length") / F.col("qlen") >= coverage) & (F.col("pident") >= identity))
 
 
@@ -122,7 +125,10 @@ def top_reasons(reasons: DataFrame, k: int = 3) -> DataFrame:
 def haplotype_sets(facts: DataFrame) -> DataFrame:
     """Older form: each individual's set of haplotypes as letters by first appearance within its contig."""
     w = Window.partitionBy("individual", "contig").orderBy("haplotype")
-    return facts.select("individual", "contig", "haplotype").distinct().withColumn("letter", F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.row_number().over(w), F.lit(1))).groupBy("individual", "contig").agg(F.array_join(F.sort_array(F.collect_list("letter")), "").alias("genotype"))
+    at = F.row_number().over(w) - 1  # after Z come AA, AB, ...
+    letter = F.concat(F.when(at >= 26, F.char((at / 26).cast("int") + 64)).otherwise(""), F.char(at % 26 + 65))
+    rows = facts.select("individual", "contig", "haplotype").distinct().withColumn("letter", letter)
+    return rows.groupBy("individual", "contig").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.length("letter").alias("n"), "letter"))), lambda x: x["letter"]), "").alias("genotype"))
 
 
 def dense_ids(df: DataFrame, column: str, prefix: str = "A") -> DataFrame:

@@ -21,18 +21,45 @@ def individual_states(spark, sf):
     return g.select("source", "total", "functional", labels.individual_class("total", "functional", "alleles", F.lit(False), "rate", most=3, least_rate=0.95).alias("state"))
 
 
-@query("""SELECT l_orderkey AS qseqid, l_partkey AS sseqid, round(l_extendedprice, 2) AS bitscore FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS pl FROM lineitem) WHERE pl = 1 AND l_quantity / 50.0 >= 0.9 AND 100 * (1 - l_discount) >= 95""")
+@query("""SELECT l_orderkey AS qseqid, l_partkey AS sseqid, floor(l_extendedprice / 20000) AS bitscore FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_extendedprice / 20000) DESC, l_linenumber, l_partkey) AS pl FROM lineitem) WHERE pl = 1 AND l_quantity / 50.0 >= 0.5 AND 100 * (1 - l_discount) >= 95""")
 def best_hits(spark, sf):
-    h = t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qseqid"), F.col("l_partkey").alias("sseqid"), (100 * (1 - F.col("l_discount"))).alias("pident"), F.col("l_quantity").alias("length"), F.lit(50.0).alias("qlen"), F.col("l_extendedprice").alias("bitscore"))
-    return genotype.best_hits(h).select("qseqid", "sseqid", F.round("bitscore", 2).alias("bitscore"))
+    """Scores in coarse steps, so that many are tied; the hit that comes first in its file counts."""
+    h = t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qseqid"), F.col("l_partkey").alias("sseqid"), (100 * (1 - F.col("l_discount"))).alias("pident"), F.col("l_quantity").alias("length"), F.lit(50.0).alias("qlen"), F.floor(F.col("l_extendedprice") / 20000).cast("double").alias("bitscore"), F.struct("l_linenumber", "l_partkey").alias("place"))
+    return genotype.best_hits(h, coverage=0.5, order="place").select("qseqid", "sseqid", "bitscore")
 
 
-@query("""WITH g AS (SELECT o_orderkey, o_orderstatus = 'F' AS genotyped, o_custkey % 3 = 0 AS has_log, count(l_orderkey) AS raw, count(*) FILTER (l_quantity >= 10) AS long_enough, count(*) FILTER (l_discount <= 0.05) AS similar_, count(*) FILTER (l_tax <= 0.04) AS clean FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT o_orderkey, CASE WHEN genotyped THEN 'Included' WHEN o_orderkey % 50 = 0 THEN 'Outgroup' WHEN raw = 0 THEN 'No_raw_sequences' WHEN long_enough = 0 THEN 'Length_filter' WHEN has_log AND similar_ = 0 THEN 'Similarity_filter' WHEN has_log AND clean = 0 THEN 'N_content_filter' ELSE 'Unknown' END AS decision FROM g""")
-def audit_decisions(spark, sf):
+_AUDIT = """WITH g AS (SELECT o_orderkey, o_custkey, o_orderkey % 50 AS o, o_orderstatus = 'F' AND o_custkey % 5 = 0 AS genotyped, o_custkey % 3 = 0 AS has_log, count(l_orderkey) FILTER (o_orderkey % 7 > 0) AS raw, count(*) FILTER (l_quantity >= 20) AS n4, count(*) FILTER (l_discount <= 0.05) AS n4b, count(*) FILTER (l_tax <= 0.04) AS n7b, CASE o_custkey % 7 WHEN 0 THEN 'no_functional_proteins' WHEN 1 THEN 'too_many_alleles' WHEN 2 THEN 'dropped_abundance_filter' WHEN 3 THEN 'no_sequences' WHEN 4 THEN 'normal' END AS label, CASE o_orderkey % 4 WHEN 0 THEN 'premature_stop(9);ambiguous_aa(2)' WHEN 1 THEN 'ambiguous_aa(5)' WHEN 2 THEN 'premature_stop(4);ambiguous_aa(2)' END AS reasons FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+d AS (SELECT *, CASE WHEN genotyped THEN '' WHEN raw = 0 THEN 'Stage 3 — no assembly' WHEN n4 = 0 THEN 'Step 4 — length filter' WHEN has_log AND n4b = 0 THEN 'Step 4b — BLAST coverage filter' WHEN has_log AND n7b = 0 THEN 'Step 7b — N-content filter' WHEN label <> 'normal' THEN 'Step 9 — ' || label WHEN o = 0 THEN 'Step 11 — outgroup filter' ELSE 'Unknown' END AS stage FROM g)
+"""
+
+
+def _audited(spark, sf):
     o, li = t.table(spark, sf, "orders"), t.table(spark, sf, "lineitem")
-    g = o.join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey", "o_orderstatus", "o_custkey").agg(F.count("l_orderkey").alias("raw"), F.count_if(F.col("l_quantity") >= 10).alias("long"), F.count_if(F.col("l_discount") <= 0.05).alias("similar"), F.count_if(F.col("l_tax") <= 0.04).alias("clean"))
-    return g.select("o_orderkey", labels.audit_decision(F.col("o_orderstatus") == "F", F.col("o_custkey") % 3 == 0, "raw", "long", "similar", "clean", F.lit(None).cast("string"), F.col("o_orderkey") % 50 == 0).alias("decision"))
+    g = o.join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey", "o_orderstatus", "o_custkey")
+    g = g.agg(F.count(F.when(F.col("o_orderkey") % 7 > 0, F.col("l_orderkey"))).alias("raw"), F.count_if(F.col("l_quantity") >= 20).alias("n4"), F.count_if(F.col("l_discount") <= 0.05).alias("n4b"), F.count_if(F.col("l_tax") <= 0.04).alias("n7b"))
+    of = lambda column, *names: F.get(F.array(*[F.lit(x) for x in names]), column)
+    g = g.withColumns({"label": of((F.col("o_custkey") % 7).cast("int"), "no_functional_proteins", "too_many_alleles", "dropped_abundance_filter", "no_sequences", "normal", None, None), "reasons": of((F.col("o_orderkey") % 4).cast("int"), "premature_stop(9);ambiguous_aa(2)", "ambiguous_aa(5)", "premature_stop(4);ambiguous_aa(2)", None)})
+    log = F.col("o_custkey") % 3 == 0
+    return g.withColumn("d", labels.audit_decision((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 5 == 0), "raw", "n4", "n4b", "n7b", log, log, "label", "reasons", F.when(F.col("o_orderkey") % 50 == 0, "0").otherwise("1")))
+
+
+@query(_AUDIT + """SELECT o_orderkey, CASE WHEN genotyped THEN 'Included' ELSE 'Excluded' END AS decision, stage, CASE WHEN genotyped THEN '' WHEN stage LIKE 'Stage 3%' THEN 'sample present in metadata but no haplotypes assembled by Canu — needs re-sequencing' WHEN stage LIKE 'Step 4 %' THEN raw || ' raw haps, 0 passed 3250–4000 bp length filter — likely fragmented or chimeric assembly; re-sequencing recommended' WHEN stage LIKE 'Step 4b%' THEN n4 || ' haps after Step 4, 0 passed coverage ≥ 0.90 / identity ≥ 95 vs canonical target — likely target paralogs / off-target; do NOT re-sequence (issue is sequence identity, not coverage)' WHEN stage LIKE 'Step 7b%' THEN n4b || ' haps after Step 4b, 0 passed N ≤ 9 — short Canu contigs filled with N''s by Step 7 backfill; re-sequencing may help if more reads recover longer contigs'
+WHEN stage LIKE 'Step 9%' THEN CASE label WHEN 'no_sequences' THEN 'no DNA sequences reached define_functional_proteins.py' WHEN 'too_many_alleles' THEN '>4 distinct proteins per individual — likely contamination / assembly artefact' WHEN 'dropped_abundance_filter' THEN 'functional proteins present but below min_count = 5 abundance filter' ELSE CASE o_orderkey % 4 WHEN 0 THEN 'all sequences carry premature stop codons — strong candidate for ongoing SI breakdown / self-compatibility escape; recommend controlled selfing test to phenotype' WHEN 1 THEN 'all sequences carry X residues from N-rich data — quality issue, NOT a biological SI escape; re-sequencing may help (would have been caught by Step 7b if applied)' WHEN 2 THEN 'mixed premature_stop + ambiguous_aa failures — both LoF mutations AND data-quality issues; interpret cautiously' ELSE 'all sequences failed translation / validation' END END || ' (Top failures: ' || coalesce(reasons, 'n/a') || ')'
+WHEN stage LIKE 'Step 11%' THEN 'Ingroup = 0 in metadata; intentionally excluded from SI analyses (NOT a quality issue)' ELSE 'no exclusion stage identified — investigate manually' END AS reason FROM d""")
+def audit_decisions(spark, sf):
+    return _audited(spark, sf).select("o_orderkey", F.col("d.status").alias("decision"), "d.stage", "d.reason")
+
+
+@query(_AUDIT + """, s AS (SELECT *, CASE o_custkey % 4 WHEN 0 THEN 'Functional' WHEN 1 THEN 'Partial_translation_failure' WHEN 2 THEN 'Complete_loss' ELSE 'NA' END AS loss FROM d),
+c AS (SELECT o_orderkey, stage, CASE WHEN o = 0 THEN 'Outgroup' WHEN genotyped THEN CASE WHEN loss = 'Partial_translation_failure' THEN loss ELSE 'Functional' END WHEN loss = 'Complete_loss' AND o_orderkey % 4 = 0 THEN 'SI_escape_candidate' WHEN stage = 'Step 9 — too_many_alleles' THEN 'Re_DNA_extraction' ELSE 'Re_PCR' END AS category FROM s)
+SELECT category, CASE category WHEN 'Re_PCR' THEN 'Re-PCR' WHEN 'Re_DNA_extraction' THEN 'Re-DNA-extraction' END AS action, CASE category WHEN 'Re_DNA_extraction' THEN 'Re-isolate tissue' WHEN 'Re_PCR' THEN CASE WHEN stage LIKE 'Stage 3%' THEN 'Re-PCR (no Canu as' WHEN stage LIKE 'Step 4 — length%' THEN 'Re-PCR (current pr' WHEN stage LIKE 'Step 4b%' THEN 'Re-PCR (current am' WHEN stage LIKE 'Step 7b%' THEN 'Re-PCR (short PCR ' WHEN stage LIKE '%dropped_abundance_filter%' THEN 'Re-PCR (low yield ' WHEN stage LIKE '%no_functional_proteins%' THEN 'Re-PCR (short / di' ELSE 'Re-PCR (see audit ' END END AS start, count(*) AS n FROM c GROUP BY ALL""")
+def qc_outcomes(spark, sf):
+    """Outcome category and what the laboratory is asked to do (the first words of it)."""
+    a = _audited(spark, sf)
+    loss = F.get(F.array(*[F.lit(x) for x in ("Functional", "Partial_translation_failure", "Complete_loss", "NA")]), (F.col("o_custkey") % 4).cast("int"))
+    c = a.withColumn("category", labels.qc_category(F.when(F.col("o_orderkey") % 50 == 0, "0").otherwise("1"), "d.status", "d.stage", loss, labels.dominant_reason(F.coalesce("reasons", F.lit("")))))
+    w = c.withColumn("w", labels.lab_action("category", "d.stage"))
+    return w.groupBy("category", "w.action", F.substring("w.recommended", 1, F.when(F.col("w.action") == "Re-PCR", 18).otherwise(17)).alias("start")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS individual, l_returnflag AS reason, count(*) AS n, min(l_linenumber) AS o FROM lineitem GROUP BY ALL) SELECT individual, string_agg(reason || '(' || n || ')', '; ' ORDER BY n DESC, o, reason) AS reasons FROM c GROUP BY individual""")
@@ -168,7 +195,7 @@ def length_summary(spark, sf):
     return profiles.length_summary(t.table(spark, sf, "documents").select("source", "n_chars"), "source", "n_chars", 500, 5000).select("source", "n", *r6("median"), "below", "within", "above")
 
 
-@query(cte("hap", "st") + """SELECT individual, CASE WHEN status = 'SC' THEN 'all_null' WHEN status = 'pSI' THEN CASE WHEN removed::DOUBLE / total >= 0.25 THEN 'null_aware' ELSE 'low_confidence' END WHEN status = 'SI' THEN 'functional' ELSE 'unverified' END AS flag, CASE WHEN ok = 0 THEN 'Complete_loss' WHEN ok / nullif(total, 0)::DOUBLE < 0.5 THEN 'Partial_translation_failure' ELSE 'Functional' END AS loss FROM st""")
+@query(cte("hap", "st") + """SELECT individual, CASE WHEN status = 'SI' THEN 'SI_canonical' WHEN status = 'pSI' AND removed::DOUBLE / total < 0.25 THEN 'SI_promoted_from_pSI_low' WHEN status = 'pSI' AND copies > 0 THEN 'pSI_null_introduced' WHEN status = 'SC' THEN 'SC_all_null_from_genotype_table' WHEN status = 'Insufficient_data' THEN 'Insufficient_kept_existing' ELSE 'No_SI_status' END AS flag, CASE WHEN ok = 0 THEN 'Complete_loss' WHEN ok / nullif(total, 0)::DOUBLE < 0.5 THEN 'Partial_translation_failure' ELSE 'Functional' END AS loss FROM st""")
 def copy_flags(spark, sf):
     s = genotype.haplotype_status(t.logs(spark, sf))
     return s.select("individual", labels.target_copies("status", "confidence", "copies")["flag"].alias("flag"), labels.loss_status("ok", F.when(F.col("total") > 0, F.col("ok") / F.col("total"))).alias("loss"))
@@ -185,11 +212,21 @@ def homozygous_carriers(spark, sf):
     return _aaaa(spark, sf).groupBy("allele").agg(F.count("*").alias("carriers"), F.count_distinct("lineage").alias("lineages"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS reads, count(*) FILTER (l_quantity >= 25) AS long_, avg(l_tax * 200) AS q, count(*) FILTER (l_discount > 0.05) AS contigs, count(*) FILTER (l_returnflag = 'N') AS r, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1)
-SELECT l_orderkey, CASE WHEN reads = 0 THEN 'no_reads' WHEN reads * 20 < 50 AND q < 10 THEN 'few_poor_reads' WHEN reads * 20 < 50 THEN 'few_reads' WHEN long_ = 0 THEN 'no_long_reads' WHEN long_ / reads < 0.05 AND q < 10 THEN 'short_poor_reads' WHEN long_ / reads < 0.05 THEN 'short_reads' WHEN q < 8 THEN 'poor_quality' WHEN contigs = 0 THEN 'assembly_failed' WHEN r = 0 AND contigs > 10 THEN 'fragmented' WHEN r = 0 THEN 'contigs_out_of_range' WHEN f = 0 AND r >= 4 THEN 'all_nonfunctional' WHEN f = 0 THEN 'few_nonfunctional' WHEN f < 2 AND r >= 4 THEN 'mostly_nonfunctional' WHEN f < 2 THEN 'one_functional' WHEN f < 4 THEN 'partial_success' ELSE 'success' END AS mode FROM g""")
+@query("""WITH g AS (SELECT o_orderkey AS id, o_custkey, count(*) FILTER (l_returnflag = 'N' AND l_quantity > 40) AS ok, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 44) AS rm, count(l_orderkey) FILTER (o_orderkey % 5 = 0) AS ch, o_custkey % 13 AS a, o_orderkey % 3 AS b, o_custkey % 2 AS c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+x AS (SELECT *, ok + rm AS clean, CASE WHEN ok + rm >= 4 THEN 'SI' WHEN id % 11 = 0 THEN NULL ELSE 'Insufficient_data' END AS st, CASE id % 9 WHEN 0 THEN 'Re-PCR' WHEN 1 THEN 'Re-DNA-extraction' END AS act, CASE WHEN a < 9 THEN a % 3 * 5 END AS contigs, CASE WHEN a < 9 THEN least(a % 3 * 5, b * 3) END AS uniq, CASE WHEN a = 2 THEN 85.5::DOUBLE END AS dropped, CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END AS within_, CASE WHEN id % 4 IN (1, 3) THEN 2 ELSE 0 END AS below, CASE WHEN id % 4 IN (2, 3) THEN 2 ELSE 0 END AS above, CASE WHEN a <> 12 THEN o_custkey * 200 END AS reads, 8 + id % 7 AS q, 700 + o_custkey % 200 AS n50, 40 + id % 20 AS lg FROM g)
+SELECT id, CASE WHEN st = 'SI' THEN 'none — SI call achieved' WHEN st IS NULL THEN 'not_in_SI_status_table' WHEN act = 'Re-DNA-extraction' THEN 'DNA_contamination' WHEN act = 'Re-PCR' THEN 'PCR_amplicon_failure' WHEN ch >= 2 * greatest(clean, 1) AND ch >= 4 THEN 'chimera_dominated' WHEN clean BETWEEN 1 AND 3 THEN 'partial_recovery' WHEN dropped >= 80 AND uniq > 0 THEN 'pipeline_chimera_filter_too_aggressive' WHEN contigs > 0 THEN CASE WHEN uniq = 0 THEN 'pipeline_dedup_collapsed_all_contigs' WHEN within_ = 0 AND below > 0 AND above = 0 THEN 'pipeline_step4_length_filter_too_short' WHEN within_ = 0 AND above > 0 AND below = 0 THEN 'pipeline_step4_length_filter_too_long' WHEN within_ = 0 THEN 'pipeline_step4_length_filter_mixed' ELSE 'pipeline_downstream_filter' END
+WHEN contigs = 0 THEN CASE WHEN reads < 10000 THEN 'coverage_limited' WHEN q < 10 THEN 'canu_assembly_failure_low_quality' WHEN n50 < 800 THEN 'canu_assembly_failure_fragmented' WHEN lg < 50 THEN 'canu_assembly_failure_no_long_reads' ELSE 'canu_assembly_failure' END WHEN reads < 10000 THEN 'coverage_limited' ELSE 'unresolved' END AS mode FROM x""")
 def failure_modes(spark, sf):
-    g = t.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("reads"), F.count_if(F.col("l_quantity") >= 25).alias("long"), F.avg(F.col("l_tax") * 200).alias("q"), F.count_if(F.col("l_discount") > 0.05).alias("contigs"), F.count_if(F.col("l_returnflag") == "N").alias("r"), F.count_if(F.col("l_returnflag") == "R").alias("f"))
-    return g.select("l_orderkey", labels.failure_mode(F.col("reads") * 20, F.col("long") * 20, "q", "contigs", "r", "f").alias("mode"))
+    o, li = t.table(spark, sf, "orders"), t.table(spark, sf, "lineitem")
+    id_, cust = F.col("o_orderkey"), F.col("o_custkey")
+    g = o.join(li, F.col("l_orderkey") == id_, "left").groupBy("o_orderkey", "o_custkey").agg(F.count_if((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 40)).alias("ok"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 44)).alias("rm"), F.count("l_orderkey").alias("all"))
+    a, b = cust % 13, id_ % 3
+    two = lambda *k: F.when((id_ % 4).isin(*k), 2).otherwise(0)
+    m = labels.failure_mode(
+        F.when(F.col("ok") + F.col("rm") >= 4, "SI").when(id_ % 11 == 0, None).otherwise("Insufficient_data"), F.when(id_ % 9 == 0, "Re-PCR").when(id_ % 9 == 1, "Re-DNA-extraction"), "ok", "rm", F.when(id_ % 5 == 0, F.col("all")).otherwise(0),
+        dropped=F.when(a == 2, 85.5), unique=F.when(a < 9, F.least(a % 3 * 5, b * 3)), contigs=F.when(a < 9, a % 3 * 5), within=two(0), below=two(1, 3), above=two(2, 3), median=F.lit(2100), reads=F.when(a != 12, cust * 200), quality=8 + id_ % 7, n50=700 + cust % 200, long_reads=40 + id_ % 20,
+    )
+    return g.select(id_.alias("id"), m["mode"].alias("mode"))
 
 
 @query()

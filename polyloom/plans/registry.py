@@ -104,7 +104,14 @@ def apportioned_copies(spark, sf):
     return genotype.apportioned(t.copies(spark, sf).join(s.select("individual", F.col("t.functional").alias("target")).where("target > 0"), "individual"))
 
 
-@query()
+@query(cte("facts", "copies", "hap", "st") + """, tg AS (SELECT c.individual, status, CASE WHEN status = 'SC' THEN 0 WHEN status = 'pSI' AND removed::DOUBLE / total >= 0.25 AND st.copies > 0 THEN 4 - st.copies ELSE 4 END AS target, CASE status WHEN 'SI' THEN 'SI_canonical' WHEN 'SC' THEN 'SC_all_null_from_genotype_table' WHEN 'Insufficient_data' THEN 'Insufficient_kept_existing' WHEN 'pSI' THEN CASE WHEN removed::DOUBLE / total < 0.25 THEN 'SI_promoted_from_pSI_low' WHEN st.copies > 0 THEN 'pSI_null_introduced' ELSE 'No_SI_status' END ELSE 'No_SI_status' END AS flag FROM (SELECT DISTINCT individual FROM copies) c LEFT JOIN st USING (individual)),
+q AS (SELECT individual, allele, n * target / sum(n) OVER (PARTITION BY individual)::DOUBLE AS quota, target FROM copies JOIN tg USING (individual) WHERE target > 0),
+l AS (SELECT *, floor(quota) AS low, target - sum(floor(quota)) OVER (PARTITION BY individual) AS rest, row_number() OVER (PARTITION BY individual ORDER BY round(quota - floor(quota), 9) DESC, allele) AS pl FROM q),
+k AS (SELECT individual, allele, CAST(low + CASE WHEN pl <= rest THEN 1 ELSE 0 END AS INTEGER) AS n FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY individual ORDER BY n DESC, allele) AS pos FROM k WHERE n > 0),
+g AS (SELECT individual, string_agg(allele || '(' || n || ')', '+' ORDER BY allele) AS c, string_agg(repeat(substr('ABCDEFGH', pos, 1), n), '' ORDER BY pos) AS lab FROM r GROUP BY individual)
+SELECT individual, status, target AS functional, 4 - target AS null_copies, flag, concat_ws('+', c, CASE WHEN target < 4 THEN 'Allele_NULL(' || (4 - target) || ')' END) AS composition, coalesce(lab, '') || repeat('0', 4 - target) AS label FROM tg LEFT JOIN g USING (individual)
+UNION ALL SELECT individual, status, 0, 4, 'SC_added_from_SI_status', 'Allele_NULL(4)', '0000' FROM st WHERE status = 'SC' AND individual NOT IN (SELECT individual FROM copies)""")
 def null_aware_genotypes(spark, sf):
     return genotype.null_aware(t.copies(spark, sf), genotype.haplotype_status(t.logs(spark, sf)))
 
@@ -218,14 +225,14 @@ def individual_compatibility(spark, sf):
     return diversity.individual_compatibility(g, "lineage", 0.1)
 
 
-@query(cte("facts", "copies", "geno", "score") + "SELECT genotype, round(score, 6) AS score, CASE WHEN score >= 0.917 THEN 'ABCD' WHEN score >= 0.75 THEN 'AABC' WHEN score >= 0.583 THEN 'AABB' WHEN score >= 0.25 THEN 'AAAB' ELSE 'AAAA' END AS class, CASE WHEN score < 0.001 THEN '0' WHEN score < 0.501 THEN '1' WHEN score < 0.668 THEN '2' WHEN score < 0.751 THEN '3' WHEN score < 0.834 THEN '4' ELSE '5' END AS tier, count(*) AS n FROM score GROUP BY ALL")
+@query(cte("facts", "copies", "geno", "score") + "SELECT genotype, round(score, 6) AS score, CASE WHEN score >= 0.917 THEN 'ABCD' WHEN score >= 0.75 THEN 'AABC' WHEN score >= 0.583 THEN 'AABB' WHEN score >= 0.25 THEN 'AAAB' ELSE 'AAAA' END AS class, CASE WHEN score < 0.001 THEN 'SC / homozygous_null (0.000)' WHEN score < 0.501 THEN 'AAAB / AB00 / AAB0 (0.500)' WHEN score < 0.668 THEN 'AABB (0.667)' WHEN score < 0.751 THEN 'ABC0 (0.750)' WHEN score < 0.834 THEN 'AABC (0.833)' ELSE 'ABCD (1.000)' END AS tier, count(*) AS n FROM score GROUP BY ALL")
 def score_classes(spark, sf):
     g = t.genotyped(spark, sf).withColumn("score", labels.class_score("genotype"))
     return g.groupBy("genotype", F.round("score", 6).alias("score"), labels.score_class("score").alias("class"), labels.score_tier("score").alias("tier")).agg(F.count("*").alias("n"))
 
 
 @query(cte("facts", "copies", "members", "own", "totals") + """, p AS (SELECT a.lineage, sum(a.p * b.p * pow(greatest(0, 1 - a.p - CASE WHEN a.allele <> b.allele THEN b.p ELSE 0 END), 4)) AS c, count(DISTINCT a.allele) AS k FROM totals a JOIN totals b ON a.lineage = b.lineage GROUP BY 1)
-SELECT lineage, round(1 - k / 59.0::DOUBLE, 6) AS depletion, CASE WHEN 1 - k / 59.0 >= 0.5 THEN CASE WHEN c >= 0.4 THEN 'Enrich' ELSE 'Rescue' END ELSE CASE WHEN c >= 0.4 THEN 'Maintain' ELSE 'Rebalance' END END AS strategy, CASE WHEN c >= 0.4 THEN 'green' WHEN c >= 0.2 THEN 'amber' ELSE 'red' END AS light, round(greatest(0, 1 - 8.0::DOUBLE / k), 6) AS benchmark FROM p""")
+SELECT lineage, round(1 - k / 59.0::DOUBLE, 6) AS depletion, CASE WHEN 1 - k / 59.0 >= 0.5 THEN 'Informed breeding + injection (' || CASE WHEN c >= 0.4 THEN 'preventive' ELSE 'urgent' END || ')' WHEN c >= 0.4 THEN 'HEALTHY (random mating)' ELSE 'Informed breeding (frequency skew)' END AS strategy, CASE WHEN c >= 0.4 THEN 'green' WHEN c >= 0.2 THEN 'amber' ELSE 'red' END AS light, round(greatest(0, 1 - 8.0::DOUBLE / k), 6) AS benchmark FROM p""")
 def conservation_strategy(spark, sf):
     tot = diversity.allele_totals(t.copies(spark, sf).join(t.members(spark, sf), "individual"), "lineage")
     d = diversity.compatibility(tot, "lineage").join(diversity.diversity(tot, "lineage"), "lineage").withColumn("depletion", diversity.depletion("richness"))
@@ -524,21 +531,39 @@ def bootstrap_compatibility(spark, sf):
     return simulation.bootstrap_compatibility(own, "lineage", replicates=200)
 
 
+def _plants(spark, sf, group: str):
+    """Genotypes with nulls by group: group, genotype, n."""
+    own = genotype.apportioned(t.copies(spark, sf).withColumn("target", F.lit(4))).withColumn("genotype", F.explode(F.array_repeat("allele", F.col("n"))))
+    four = own.groupBy("individual").agg(F.sort_array(F.collect_list("genotype")).alias("genotype")).join(t.members(spark, sf), "individual")
+    return four.groupBy(F.col(group).alias("group"), "genotype").agg(F.count("*").alias("n"))
+
+
 @query()
 def inheritance_simulation(spark, sf):
-    own = t.copies(spark, sf).join(t.members(spark, sf), "individual").groupBy(F.col("lineage").alias("group"), "allele").agg(F.sum("n").alias("n"))
-    runs = simulation.inheritance(own, replicates=3, generations=10, size=30)
-    first = profiles.first_passage(runs, ["scenario", "group", "replicate"], "generation", F.col("share_sc") > 0.1)
-    return profiles.passage_quantiles(first, ["scenario", "group"], horizon=10)
+    """Time to collapse of every lineage's whole population, over few replicates and generations, with a high mutation rate so that something happens."""
+    runs = simulation.inheritance(_plants(spark, sf, "lineage"), replicates=2, generations=12, rates=simulation.Rates(mutation=0.05))
+    return profiles.passage_quantiles(simulation.time_to_collapse(runs).withColumnRenamed("time_to_sc", "time"), ["scenario", "group"], horizon=12)
+
+
+@query()
+def inheritance_ribbons(spark, sf):
+    return simulation.ribbons(simulation.inheritance(_plants(spark, sf, "lineage"), replicates=3, generations=4, scenarios=("baseline", "high_drift")))
+
+
+def _viability_runs(spark, sf, scenarios: tuple[str, ...]):
+    own = _plants(spark, sf, "site").groupBy(F.col("group").alias("site")).agg(F.sort_array(F.collect_list(F.struct("genotype", "n"))).alias("genotypes"), F.sum("n").alias("census"))
+    sites = own.select("site", "genotypes", "census", F.lit(20.0).alias("fecundity"), F.lit(500.0).alias("banked"), F.lit(0.02).alias("area"), F.array(*map(F.lit, (0.6, 0.13, 0.25, 0.02))).alias("shares"), F.lit(2).alias("sc"), F.lit(0.4).alias("spread"), simulation.disaster_rate(F.lit("1999, 2004"), F.lit(12)).alias("disasters"))
+    return simulation.viability(sites, replicates=2, years=6, scenarios=scenarios)
 
 
 @query()
 def viability_model(spark, sf):
-    own = t.copies(spark, sf).join(t.members(spark, sf), "individual").groupBy(F.col("lineage").alias("site"), "allele").agg(F.sum("n").alias("n"))
-    own = own.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("allele", "n"))).alias("rows"))
-    sites = own.select("site", F.lit(30).alias("adults"), F.lit(500.0).alias("banked"), F.lit(20.0).alias("fecundity"), F.lit(80.0).alias("capacity"), F.array(*map(F.lit, (0.6, 0.13, 0.27, 0.0))).alias("shares"), "rows")
-    runs = simulation.viability(sites, replicates=2, years=6, scenarios=("baseline", "worst"))
-    return simulation.against_baseline(simulation.viability_summary(runs, (3, 6)))
+    return simulation.against_baseline(simulation.viability_summary(_viability_runs(spark, sf, ("baseline", "worst_case", "prediction", "maternal")), (3, 6)))
+
+
+@query()
+def viability_allele_losses(spark, sf):
+    return simulation.allele_losses(_viability_runs(spark, sf, ("baseline", "K_decline_1pct")), (3, 6))
 
 
 @query()
