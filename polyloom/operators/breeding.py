@@ -47,11 +47,12 @@ def offspring(crosses: DataFrame, leakage: float = 0.0, mode: str = "tetrasomic"
 
 
 def crossing_matrix(genotypes: DataFrame, leakage: float = 0.0) -> DataFrame:
-    """mother, father, compatibility of distinct genotypes of different individuals; an individual with itself is 0."""
-    g = genotypes.select("genotype").distinct()
-    pairs = g.select(F.col("genotype").alias("mother")).join(g.select(F.col("genotype").alias("father")))  # distinct genotypes only
+    """mother, father, compatibility of distinct genotypes; 0 for a genotype of one plant with itself. genotypes: a row for each plant."""
+    g = genotypes.groupBy("genotype").agg(F.count("*").alias("plants"))
+    pairs = g.select(F.col("genotype").alias("mother"), "plants").join(g.select(F.col("genotype").alias("father")))  # distinct genotypes only: a matrix is what is asked for
     f = gametes(pairs.withColumnRenamed("father", "genotype")).withColumn("ok", F.when(F.arrays_overlap("gamete", "mother"), leakage).otherwise(1.0))
-    return f.groupBy("mother", F.col("genotype").alias("father")).agg(F.sum(F.col("p") * F.col("ok")).alias("compatibility"))
+    p = f.groupBy("mother", "plants", F.col("genotype").alias("father")).agg(F.sum(F.col("p") * F.col("ok")).alias("p"))
+    return p.select("mother", "father", F.when((F.col("mother") == F.col("father")) & (F.col("plants") == 1), 0.0).otherwise(F.col("p")).alias("compatibility"))
 
 
 def cross_weights(crosses: DataFrame, target: DataFrame) -> DataFrame:
@@ -103,6 +104,12 @@ def rescue_options(fathers: DataFrame, mothers: DataFrame) -> DataFrame:
     return each.join(at, "site", "left").crossJoin(F.broadcast(total)).select("father", "site", (F.col("total") - F.coalesce("at_site", F.lit(0)) - F.col("known")).alias("mothers"))  # one row of totals
 
 
+def rescue_crosses(fathers: DataFrame, mothers: DataFrame) -> DataFrame:
+    """The same crosses themselves, mothers of one site and allele together: father, father_site, site, allele, n_mothers, first_mother. Fathers (AABC) and classes of mothers are paired, never plants."""
+    m = mothers.groupBy(F.col("site").alias("mother_site"), "allele").agg(F.count("*").alias("n_mothers"), F.min("individual").alias("first_mother"))
+    return fathers.select(F.col("individual").alias("father"), F.col("site").alias("father_site"), "alleles").join(m, (F.col("father_site") != F.col("mother_site")) & ~F.array_contains("alleles", F.col("allele"))).drop("alleles")
+
+
 def shared_alleles(crosses: DataFrame, sets: DataFrame) -> DataFrame:
     """Observed crosses with the number of alleles that both parents have; null where a parent isn't known. sets: individual, alleles."""
     m, f = sets.select(F.col("individual").alias("mother"), F.col("alleles").alias("am")), sets.select(F.col("individual").alias("father"), F.col("alleles").alias("af"))
@@ -135,17 +142,17 @@ def greedy(candidates: pd.DataFrame, limit: int, reuse: bool = False, per: dict[
     return candidates.loc[keep]
 
 
-def plan(candidates: DataFrame, order: list[str], limit: int, reuse: bool = False, per: dict[str, int] | None = None, ahead: int = 200) -> DataFrame:
+def plan(candidates: DataFrame, order: list[str], limit: int, reuse: bool = False, per: dict[str, int] | None = None) -> DataFrame:
     """A cross plan by hypothesis: of each the greedy pick over its candidates in order.
 
-    candidates: hypothesis, mother, father, group and the columns of ``order`` (``-name`` descending). A pick of ``limit`` pairs that
-    uses each parent once passes over pairs that share a parent with an earlier one; those are cut beforehand, each mother and
-    father keeping the ``ahead`` best of its own, so that what reaches the scan is bounded by parents and not by pairs.
+    candidates: hypothesis, mother, father, group (where ``per`` is given) and the columns of ``order`` (``-name`` descending). A pick of ``limit``
+    pairs uses 2 * limit parents at most, so a pair that it takes is among the first 2 * limit of its mother, and of its father (in its group):
+    each keeps those beforehand, and what reaches the scan is bounded by parents and not by pairs.
     """
     keys = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order] + [F.asc("mother"), F.asc("father")]
     c = candidates
     for parent in ("mother", "father"):
-        c = c.withColumn("at_", F.row_number().over(Window.partitionBy("hypothesis", parent).orderBy(*keys))).where(F.col("at_") <= ahead).drop("at_")
+        c = c.withColumn("at_", F.row_number().over(Window.partitionBy("hypothesis", parent, *(["group"] if per else [])).orderBy(*keys))).where(F.col("at_") <= 2 * limit).drop("at_")
     schema = c.schema
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
@@ -155,41 +162,6 @@ def plan(candidates: DataFrame, order: list[str], limit: int, reuse: bool = Fals
     return c.groupBy("hypothesis").applyInPandas(run, schema)
 
 
-def synonymy_plan(candidates: DataFrame, limit: int = 20) -> DataFrame:
-    """One cross for each pair of groups: first without using an individual again, then with. candidates: x, y, mother, father, d."""
-    schema = candidates.schema
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["x", "y", "d", "mother", "father"], kind="stable")
-        used, out, pending = set(), [], []
-        for _, own in t.groupby(["x", "y"], sort=True):
-            free = own[~own["mother"].isin(used) & ~own["father"].isin(used)]
-            if len(free):
-                row = free.iloc[0]
-                used |= {row["mother"], row["father"]}
-                out.append(row)
-            else:
-                pending.append(own.iloc[0])
-        return pd.DataFrame((out + pending)[:limit], columns=t.columns)
-
-    best = candidates.withColumn("at_", F.row_number().over(Window.partitionBy("x", "y").orderBy("d", "mother", "father"))).where("at_ <= 50").drop("at_")
-    return best.withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(lambda t: run(t.drop(columns="all_")), schema)
-
-
-def hidden_allele_plan(minor: DataFrame, mothers: DataFrame, distances: DataFrame, least: float = 0.04, limit: int = 10) -> DataFrame:
-    """For alleles without an AAAA carrier: the carrier with the fewest copies of other alleles, a mother of the same class whose allele is at least ``least`` away, and a control cross of that mother with a carrier of its main allele, control first.
-
-    minor: allele, individual, main, cls, n; mothers: individual, allele, cls.
-    """
-    d = distances.unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    m = mothers.select(F.col("individual").alias("mother"), F.col("allele").alias("b"), F.col("cls").alias("mc"))
-    c = minor.join(d.where(F.col("d") >= least), minor["main"] == d["a"]).join(m, "b").where("cls = mc and mother <> individual")
-    best = c.withColumn("at_", F.row_number().over(Window.partitionBy("allele").orderBy("n", F.desc("d"), "individual", "mother"))).where("at_ = 1")
-    best = best.orderBy("allele").limit(limit)
-    kinds = F.array(F.lit("control"), F.lit("test"))
-    return best.select("allele", F.posexplode(kinds).alias("at", "kind"), "mother", F.col("individual").alias("father"), "main", "d")
-
-
 def excluded_parents(crosses: DataFrame, excluded: DataFrame) -> DataFrame:
     """individual, crosses, as_mother, as_father, alleles: excluded individuals whose alleles a cross needs. crosses: cross, mother, father, alleles; excluded: individual, alleles."""
     c = crosses.select("cross", "mother", "father", F.explode("alleles").alias("allele"))

@@ -516,13 +516,32 @@ def rescue_options(spark, sf):
     return breeding.rescue_options(c.join(t.members(spark, sf), "individual").select("individual", "site", "alleles"), _aaaa(spark, sf).select("individual", "site", "allele"))
 
 
+def _plan_inputs(spark, sf):
+    """Parents, alleles with class and group, and distances of alleles: those of one group are equal, the nearer their numbers the nearer the groups."""
+    g = t.copies(spark, sf).groupBy("individual").agg(F.sort_array(F.collect_list(F.struct("allele", "n"))).alias("rows")).join(t.genotyped(spark, sf).select("individual", "genotype"), "individual")
+    parents = g.join(t.members(spark, sf).select("individual", "lineage"), "individual", "left").select(F.format_string("I%08d", "individual").alias("individual"), "lineage", "genotype", "rows")
+    k = F.substring("allele", 7, 2).cast("int")
+    alleles = t.table(spark, sf, "part").select(F.col("p_brand").alias("allele")).distinct().withColumn("k", k)
+    alleles = alleles.select("allele", "k", F.when(F.col("k") % 10 == 5, "FG02").otherwise("FG01").alias("cls"), F.when(F.col("k") % 10 < 4, F.concat(F.lit("Group_"), F.floor(F.col("k") / 10).cast("string"))).otherwise("Isolated").alias("grp"))
+    x, y = (alleles.select(F.col("allele").alias(c), F.col("k").alias("k" + c), F.col("grp").alias("g" + c)) for c in "ab")
+    d = x.join(y, F.col("a") < F.col("b")).select("a", "b", F.when((F.col("ga") == F.col("gb")) & (F.col("ga") != "Isolated"), 0.0).otherwise(F.abs(F.col("ka") - F.col("kb")) / 300).alias("d"))  # two brands, few
+    return parents, alleles.drop("k"), d
+
+
 @query()
 def cross_plan(spark, sf):
-    """Pairs of AAAA individuals of one allele, between lineages first. Only the first 24 of each allele and lineage can be among 12 picks of two."""
-    a = profiles.first_of_group(_aaaa(spark, sf), ["allele", "lineage"], [F.col("individual")], 24)
-    m, f = a.select(F.col("individual").alias("mother"), F.col("allele").alias("am"), F.col("lineage").alias("lm")), a.select(F.col("individual").alias("father"), F.col("allele").alias("af"), F.col("lineage").alias("lf"))
-    c = m.join(f, (F.col("am") == F.col("af")) & (F.col("mother") < F.col("father"))).select(F.lit("H0").alias("hypothesis"), "mother", "father", F.col("am").alias("group"), F.when(labels.pairing("lm", "lf") == "between-BL", 1).otherwise(0).alias("between"))
-    return breeding.plan(c, ["-between", "group"], limit=12, per={"*": 2})
+    """All hypotheses of the plan."""
+    from polyloom.operators import crossplan
+
+    return crossplan.whole_plan(*_plan_inputs(spark, sf))
+
+
+@query(cte("facts", "copies", "geno", "members") + """, f AS (SELECT individual, site, list(allele) AS alleles FROM copies JOIN geno USING (individual) JOIN members USING (individual) WHERE genotype = 'AABC' GROUP BY ALL), m AS (SELECT individual, site, min(allele) AS allele FROM copies JOIN geno USING (individual) JOIN members USING (individual) WHERE genotype = 'AAAA' GROUP BY ALL),
+c AS (SELECT site AS mother_site, allele, count(*) AS n_mothers, min(individual) AS first_mother FROM m GROUP BY ALL) SELECT f.individual AS father, f.site AS father_site, mother_site, allele, n_mothers, first_mother FROM f JOIN c ON f.site <> mother_site AND NOT list_contains(f.alleles, allele)""")
+def rescue_crosses(spark, sf):
+    g = t.genotyped(spark, sf).select("individual", "genotype").join(t.members(spark, sf).select("individual", "site"), "individual")
+    own = t.copies(spark, sf).join(g, "individual").groupBy("individual", "genotype", "site").agg(F.collect_set("allele").alias("alleles"))
+    return breeding.rescue_crosses(own.where("genotype = 'AABC'"), own.where("genotype = 'AAAA'").select("individual", "site", F.array_min("alleles").alias("allele")))
 
 
 @query()
