@@ -59,32 +59,45 @@ def fisher_p(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(q for x in range(max(0, r + k - n), min(r, k) + 1) if (q := p(x)) <= own * (1 + 1e-7)))
 
 
-def ranks(x: np.ndarray) -> np.ndarray:
-    """Average ranks."""
-    _, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
-    ends = np.cumsum(count)
-    return ((ends - count + 1 + ends) / 2)[inverse]
-
-
-def mann_whitney(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """U of the first sample and the two-sided p by the normal approximation, for ties and continuity corrected."""
-    n, m = len(x), len(y)
-    both = np.concatenate([x, y])
-    u = ranks(both)[:n].sum() - n * (n + 1) / 2
-    _, t = np.unique(both, return_counts=True)
+def _ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Average ranks of the distinct values (rows, ascending), from how often each sample (column) has them; and how often all have."""
+    ties = counts.sum(1)
+    ends = np.cumsum(ties)
+    return (ends - ties + 1 + ends) / 2, ties
+
+
+def mann_whitney_counts(counts: np.ndarray) -> tuple[float, float]:
+    """U of the first of two samples and the two-sided p by the normal approximation, for ties and continuity corrected. counts: distinct values x 2."""
+    rank, t = _ranked(counts)
+    n, m = counts.sum(0)
+    u = float(rank @ counts[:, 0]) - n * (n + 1) / 2
     sd = math.sqrt(n * m / 12 * (n + m + 1 - (t**3 - t).sum() / ((n + m) * (n + m - 1)))) if n + m > 1 else 0.0
     return float(u), 1.0 if sd == 0 else min(1.0, normal_p(max(0.0, abs(u - n * m / 2) - 0.5) / sd))
 
 
-def kruskal(groups: list[np.ndarray]) -> tuple[float, float]:
-    both = np.concatenate(groups)
-    n, r = len(both), ranks(both)
-    at = np.cumsum([0, *map(len, groups)])
-    h = 12 / (n * (n + 1)) * sum(r[a:b].sum() ** 2 / (b - a) for a, b in zip(at[:-1], at[1:], strict=True)) - 3 * (n + 1)
-    _, t = np.unique(both, return_counts=True)
+def kruskal_counts(counts: np.ndarray) -> tuple[float, float]:
+    """H and p. counts: distinct values x samples."""
+    rank, t = _ranked(counts)
+    size = counts.sum(0)
+    n = size.sum()
+    h = 12 / (n * (n + 1)) * ((rank @ counts) ** 2 / size).sum() - 3 * (n + 1)
     tie = 1 - (t**3 - t).sum() / (n**3 - n)
     h = h / tie if tie > 0 else 0.0
-    return float(h), chi2_p(h, len(groups) - 1)
+    return float(h), chi2_p(h, counts.shape[1] - 1)
+
+
+def counted(samples: list[np.ndarray]) -> np.ndarray:
+    """How often each sample has each distinct value."""
+    values = np.unique(np.concatenate(samples))
+    return np.stack([np.bincount(np.searchsorted(values, s), minlength=len(values)) for s in samples], 1).astype(float)
+
+
+def mann_whitney(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    return mann_whitney_counts(counted([x, y]))
+
+
+def kruskal(groups: list[np.ndarray]) -> tuple[float, float]:
+    return kruskal_counts(counted(groups))
 
 
 def saturation_fit(n: np.ndarray, s: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -169,11 +182,14 @@ def rank_tests(df: DataFrame, category: str, value: str, least: int = 2) -> Data
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(category).alias("c"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        own = {c: np.repeat(x["v"].to_numpy(), x["n"].to_numpy()) for c, x in t.groupby("c")}
-        own = {c: x for c, x in sorted(own.items()) if len(x) >= least}
-        out = [("kruskal", None, None, *kruskal(list(own.values())))] if len(own) > 1 else []
-        names = list(own)
-        out += [("mann_whitney", a, b, *mann_whitney(own[a], own[b])) for i, a in enumerate(names) for b in names[i + 1 :]]
+        wide = t.pivot_table(index="v", columns="c", values="n", aggfunc="sum", fill_value=0).sort_index()
+        wide = wide[[c for c in sorted(wide.columns) if wide[c].sum() >= least]]
+        n, names = wide.to_numpy(float), list(wide.columns)
+        out = [("kruskal", None, None, *kruskal_counts(n[n.sum(1) > 0]))] if len(names) > 1 else []
+        for i, a in enumerate(names):
+            for j in range(i + 1, len(names)):
+                two = n[:, [i, j]]
+                out.append(("mann_whitney", a, names[j], *mann_whitney_counts(two[two.sum(1) > 0])))
         return pd.DataFrame(out, columns=["test", "a", "b", "statistic", "p"])
 
     return counts.withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(run, "test string, a string, b string, statistic double, p double")

@@ -8,33 +8,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST = 5_000
+from polyloom.operators.shared import checkpoint_dir
+
+#: Alleles whose distances one task holds as a matrix (8 bytes a pair: 3.2 GB); more need a cluster method without all pairs.
+MOST = 20_000
 
 
 def linkage(d: np.ndarray) -> np.ndarray:
-    """Average linkage by nearest-neighbour search: rows (a, b, height, size), a < b; ties by the smaller cluster numbers. NaN distances count as the mean."""
+    """Average linkage by nearest-neighbour chains, in time and memory of n squared: rows (a, b, height, size), a < b, by height; clusters are numbered from n on in that order. NaN distances count as the mean."""
     n = len(d)
     d = np.array(d, float)
     if np.isnan(d).any():
         d[np.isnan(d)] = np.nanmean(d) if not np.isnan(d).all() else 0.0
     np.fill_diagonal(d, np.inf)
-    name, size = list(range(n)), np.ones(n)
+    size = np.ones(n)
     alive = np.ones(n, bool)
-    out = []
-    for step in range(n - 1):
-        at = np.flatnonzero(alive)
-        sub = d[np.ix_(at, at)]
-        i, j = np.unravel_index(int(np.argmin(sub)), sub.shape)
-        i, j = sorted((int(at[i]), int(at[j])))
-        a, b = sorted((name[i], name[j]))
-        out.append((a, b, float(d[i, j]), size[i] + size[j]))
+    chain: list[int] = []
+    merges = []  # two members, height
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            x = chain[-1]
+            y = int(np.argmin(d[x]))
+            if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+                y = chain[-2]
+                break
+            chain.append(y)
+        del chain[-2:]
+        i, j = sorted((x, y))
+        merges.append((i, j, float(d[i, j])))
         d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[:, i] = d[i]
         d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         alive[j] = False
-        name[i] = n + step
-    return np.array(out).reshape(-1, 4)
+    up, name, count = list(range(n)), list(range(n)), [1] * n
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for step, (i, j, h) in enumerate(sorted(merges, key=lambda m: (m[2], m[0], m[1]))):
+        i, j = root(i), root(j)
+        a, b = sorted((name[i], name[j]))
+        count[i] += count[j]
+        out.append((a, b, h, count[i]))
+        up[j], name[i] = i, n + step
+    return np.array(out, float).reshape(-1, 4)
 
 
 def cut(tree: np.ndarray, n: int, clusters: int | None = None, height: float | None = None) -> np.ndarray:
@@ -109,10 +134,7 @@ def clusters_by_threshold(merges: DataFrame, n: int, thresholds: list[float]) ->
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root (the smallest node that it reaches), by label steps and pointer jumps until nothing changes. edges: a, b; nodes: node."""
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpoint_dir(spark)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     now = nodes.select("node", F.col("node").alias("root")).distinct().checkpoint()
     while True:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyloom.functions import labels
+from polyloom.operators.shared import checkpoint_dir
 
 
 def named_proteins(seqs: DataFrame, order: str = "ord", least: int = 1, prefix: str = "protein_", digits: int = 3) -> DataFrame:
@@ -19,8 +20,9 @@ def named_proteins(seqs: DataFrame, order: str = "ord", least: int = 1, prefix:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """Global row numbers from 1 in an order: a range sort, then each partition's offset from the counts of those before it (one small row each)."""
-    placed = df.orderBy(*order).withColumn("part_", F.spark_partition_id()).withColumn("at_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    """Global row numbers from 1 in an order: a range sort that is written once, then each partition's offset from the counts of those before it (one small row each)."""
+    checkpoint_dir(df.sparkSession)
+    placed = df.orderBy(*order).withColumn("part_", F.spark_partition_id()).withColumn("at_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
     sizes = placed.groupBy("part_").agg((F.max("at_") + 1).alias("size_"))
     before = F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part_", before.alias("start_"))

@@ -93,25 +93,33 @@ def insertion_columns(cells: DataFrame, rows: DataFrame, key: str = "id") -> Dat
     return cells.join(rows, key, "left_semi").groupBy("pos").agg(F.bool_and(F.col("aa") == "-").alias("gap")).where("gap").select("pos")
 
 
+#: Sequences that are compared with as many others in one group of a join.
+BLOCK = 1000
+
+
+def _blocks(df: DataFrame, n: int, key: str):
+    """How many blocks, and each row's by a hash of its key."""
+    q = max(1, -(-n // BLOCK))
+    return q, df.withColumn("block_", F.pmod(F.xxhash64(key), F.lit(q)).cast("int"))
+
+
 def pairwise(seqs: DataFrame, skip: str = "-", empty: float | None = None) -> DataFrame:
-    """a < b and their p-distance over all pairs of distinct alleles. For reference sets of some thousands: rows are alleles, and the count is checked."""
-    n = seqs.count()
-    if n > 20_000:
-        raise ValueError(f"{n} sequences: pairwise distances are for sets of alleles; name or cluster them first")
-    parts = max(1, min(200, n * n // 20_000))
-    a, b = seqs.select(F.col("id").alias("a"), F.col("seq").alias("sa")).repartition(parts, "a"), seqs.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", p_distance("sa", "sb", skip, empty).alias("d"))
+    """a < b and their p-distance over all pairs of distinct alleles, as is asked for: of n there are n squared halves. Two blocks meet in one group, whatever n is."""
+    q, own = _blocks(seqs.select("id", "seq"), seqs.count(), "id")
+    a = own.select(F.col("id").alias("x"), F.col("seq").alias("sx"), F.col("block_").alias("i"), F.explode(F.sequence(F.col("block_"), F.lit(q - 1))).alias("j"))
+    b = own.select(F.col("id").alias("y"), F.col("seq").alias("sy"), F.col("block_").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block_"))).alias("i"))
+    pairs = a.join(b, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), p_distance("sx", "sy", skip, empty).alias("d"))
 
 
 def nearest(queries: DataFrame, references: DataFrame, skip: str = "-X", k: int = 2) -> DataFrame:
-    """For each query its ``k`` nearest references (ties by name): query, at, reference, d. References are a checked, small set."""
-    n = references.count()
-    if n > 20_000:
-        raise ValueError(f"{n} references")
-    q, r = queries.select(F.col("id").alias("query"), F.col("seq").alias("sq")), F.broadcast(references.select(F.col("id").alias("reference"), F.col("seq").alias("sr")))
-    d = q.crossJoin(r).select("query", "reference", p_distance("sq", "sr", skip).alias("d")).where("d is not null")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("d", "reference"))), 1, k)
-    return d.groupBy("query").agg(best.alias("best")).select("query", F.posexplode("best").alias("at", "x")).select("query", (F.col("at") + 1).alias("at"), "x.reference", "x.d")
+    """For each query its ``k`` nearest references (ties by name): query, at, reference, d. The k best of each block of references come first, then the k best of those."""
+    n, r = _blocks(references.select(F.col("id").alias("reference"), F.col("seq").alias("sr")), references.count(), "reference")
+    q = queries.select(F.col("id").alias("query"), F.col("seq").alias("sq"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block_"))
+    d = q.join(r, "block_").select("query", "block_", F.struct(p_distance("sq", "sr", skip).alias("d"), "reference").alias("x")).where("x.d is not null")
+    best = lambda x: F.slice(F.sort_array(x), 1, k)
+    d = d.groupBy("query", "block_").agg(best(F.collect_list("x")).alias("x")).groupBy("query").agg(best(F.flatten(F.collect_list("x"))).alias("best"))
+    return d.select("query", F.posexplode("best").alias("at", "x")).select("query", (F.col("at") + 1).alias("at"), "x.reference", "x.d")
 
 
 def medoids(distances: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql.window import Window
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, ord (place of the record in its file), id (first token), description (the rest), seq (lines joined)."""
-    lines = spark.read.text(path, lineSep=">").select(F.col("_metadata.file_path").alias("file"), F.col("value")).where(F.trim("value") != "")
+    """file, ord (place of the record in its file), id (first token), description (the rest), seq (lines joined). A record begins at a ``>`` that opens a line; a header may hold others."""
+    lines = spark.read.text(path, lineSep="\n>").select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^(?:\s*\n)?>", "").alias("value")).where(F.trim("value") != "")
     head = F.regexp_replace(F.split("value", "\n", 2)[0], "\r", "")
     seq = F.regexp_replace(F.coalesce(F.get(F.split("value", "\n", 2), F.lit(1)), F.lit("")), r"\s", "")
     order = F.row_number().over(Window.partitionBy("file").orderBy("n")).cast("long")
@@ -40,8 +41,8 @@ def header(spark: SparkSession, path: str, sep: str) -> list[str]:
     """Column names: without a BOM, a repeated one with its number."""
     line = spark.read.text(path).first()[0].lstrip("﻿")
     out: list[str] = []
-    for name in next(iter([re.split(re.escape(sep), line)])):
-        name = name.strip().strip('"')
+    for name in next(csv.reader([line], delimiter=sep)):
+        name = name.strip()
         out.append(name if name not in out else f"{name}_{out.count(name) + sum(x.startswith(name + '_') for x in out) + 1}")
     return out
 
@@ -69,30 +70,30 @@ def shadowed(paths: list[str], marker: str = "_Nfilt") -> list[str]:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, ord, seq, quality of every whole record; a file cut short ends with its last whole record."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").withColumn("n", F.monotonically_increasing_id())
+    """file, ord, seq, quality of every read. A file cut short (a broken gzip too) gives what can be read of it; the quality of its last read may be missing."""
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value").withColumn("n", F.monotonically_increasing_id())
     lines = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1)
     rows = lines.groupBy("file", F.floor(F.col("line") / 4).alias("ord")).agg(
         F.max(F.when(F.col("line") % 4 == 1, F.col("value"))).alias("seq"), F.max(F.when(F.col("line") % 4 == 3, F.col("value"))).alias("quality")
     )
-    return rows.where("quality is not null and length(seq) = length(quality)")
+    return rows.where("seq is not null")
 
 
 def read_stats(reads: DataFrame, long: int = 3000) -> DataFrame:
-    """For each file: reads, bases, median and tenth parts of length, N50, reads of ``long`` bases, mean quality by base and by read."""
-    score = F.aggregate(F.transform(F.split("quality", ""), lambda c: F.ascii(c) - 33), F.lit(0).cast("long"), lambda a, x: a + x)
-    r = reads.select("file", F.length("seq").alias("length"), score.alias("total"))
+    """For each file: reads, bases, median and tenth parts of length (whole numbers), N50, reads of ``long`` bases and their percentage, mean quality by base and by read (of the reads that have one)."""
+    quality = F.when(F.col("quality") != "", F.col("quality"))
+    score = F.aggregate(F.transform(F.split(quality, ""), lambda c: F.ascii(c) - 33), F.lit(0).cast("long"), lambda a, x: a + x)
+    r = reads.select("file", F.length("seq").alias("length"), score.alias("total"), F.length(quality).alias("scored"))
     stats = r.groupBy("file").agg(
         F.count("*").alias("reads"),
         F.sum("length").alias("bases"),
-        F.percentile("length", 0.5).alias("median"),
-        F.percentile("length", 0.1).alias("p10"),
-        F.percentile("length", 0.9).alias("p90"),
+        *[F.floor(F.percentile("length", q)).alias(n) for q, n in ((0.5, "median"), (0.1, "p10"), (0.9, "p90"))],
         F.count_if(F.col("length") >= long).alias("long_reads"),
-        (F.sum("total") / F.sum("length")).alias("quality_by_base"),
-        F.avg(F.col("total") / F.col("length")).alias("quality_by_read"),
+        (100 * F.avg((F.col("length") >= long).cast("double"))).alias("percent_long"),
+        F.round(F.sum("total") / F.sum("scored"), 2).alias("quality_by_base"),
+        F.round(F.avg(F.col("total") / F.col("scored")), 2).alias("quality_by_read"),
     )
-    return stats.join(n50(r, "file", "length"), "file")
+    return stats.join(n50(r, "file", "length"), "file", "left")
 
 
 def n50(df: DataFrame, group: str, length: str) -> DataFrame:

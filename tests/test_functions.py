@@ -88,6 +88,42 @@ def test_fasta(spark, tmp_path):
     assert {(r.id, r.seq) for r in files.read_fasta(spark, str(tmp_path / "out")).collect()} == {(r.id, r.seq) for r in rows}
 
 
+def test_fasta_headers_may_hold_a_mark(spark, tmp_path):
+    (tmp_path / "b.fasta").write_text("\n>x|a>b first > second\r\nAC\r\nGT\r\n>y\n>z\nTT\n")
+    rows = files.read_fasta(spark, str(tmp_path / "b.fasta")).orderBy("ord").collect()
+    assert [(r.id, r.description, r.seq) for r in rows] == [("x|a>b", "first > second", "ACGT"), ("y", "", ""), ("z", "", "TT")]
+
+
+def test_truncated_gzip_gives_what_can_be_read(spark, tmp_path):
+    import gzip
+    import random
+
+    r = random.Random(1)
+    text = "".join(f"@r{i}\n{''.join(r.choices('ACGT', k=80))}\n+\n{''.join(map(chr, r.choices(range(40, 70), k=80)))}\n" for i in range(4000)).encode()
+    whole = gzip.compress(text)
+    (tmp_path / "cut.fastq.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "whole.fastq.gz").write_bytes(whole)
+    got = {x.file.rsplit("/", 1)[1]: x for x in files.read_stats(files.read_fastq(spark, [str(tmp_path / "cut.fastq.gz"), str(tmp_path / "whole.fastq.gz")])).collect()}
+    assert got["whole.fastq.gz"].reads == 4000 and 1500 < got["cut.fastq.gz"].reads < 2500 and got["cut.fastq.gz"].n50 == 80
+
+
+def test_quoted_header(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"a, b",c\n"x, y",2\n')
+    df = files.read_table(spark, str(tmp_path / "q.csv"), ",", {"c": "int"})
+    assert df.columns == ["a, b", "c"] and tuple(df.first()) == ("x, y", 2)
+
+
+def test_sinks_refuse_to_replace(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1.23456), ("a", 2.0)], "k string, v double")
+    files.write_table(df, str(tmp_path / "t"), ["k"], {"v": 2})
+    with pytest.raises(Exception, match="exist"):
+        files.write_table(df, str(tmp_path / "t"), ["k"])
+    files.write_table(df, str(tmp_path / "t"), ["k"], overwrite=True)
+    assert [r.k for r in files.read_table(spark, str(next((tmp_path / "t").glob("part-*"))), "\t").collect()] == ["a", "b"]
+    exons = spark.createDataFrame([("gene", "1", "9"), ("exon", "50", "90"), ("exon", "5", "9"), ("exon", "1", "2")], "V3 string, V4 string, V5 string")
+    assert [r.V4 for r in files.exons(exons, 4).collect()] == ["5", "50"]
+
+
 def test_tables_and_reads(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿a,Tube #,Tube #\nx,1,2\ny,,3\n", encoding="utf-8")
     df = files.read_table(spark, str(tmp_path / "t.csv"), ",", {"Tube #": "int"})
@@ -97,7 +133,7 @@ def test_tables_and_reads(spark, tmp_path):
     assert files.shadowed(["L1.fasta", "L1_Nfilt.fasta", "L2.fasta"]) == ["L1_Nfilt.fasta", "L2.fasta"]
     (tmp_path / "r.fastq").write_text("@a\nACGT\n+\nIIII\n@b\nAC\n+\n!!\n@c\nACG\n+\n")
     s = files.read_stats(files.read_fastq(spark, str(tmp_path / "r.fastq")), long=4).first()
-    assert (s.reads, s.bases, s.long_reads, s.n50) == (2, 6, 1, 4) and s.quality_by_base == pytest.approx(160 / 6) and s.quality_by_read == 20
+    assert (s.reads, s.bases, s.long_reads, s.n50, s.median) == (3, 9, 1, 3, 3) and s.quality_by_base == 26.67 and s.quality_by_read == 20
     (tmp_path / "rep.txt").write_text("x\nFound 1,234 reads.\nFound 5 reads\n")
     assert files.report_count(spark, str(tmp_path / "rep.txt")).first().reads == 1234
     d = files.dense_depth(spark.createDataFrame([("c", 2, 5), ("c", 4, 7)], "contig string, pos int, depth int"))
@@ -132,6 +168,40 @@ def test_named_by_first_appearance(spark):
     assert got == {"b": (1, 3), "a": (2, 2), "c": (3, 1), "d": (4, 1)}
 
 
+def test_linkage_equals_plain_search():
+    r = np.random.default_rng(3)
+    for n in (2, 3, 9, 30):
+        x = r.random((n, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        groups, want = {i: [i] for i in range(n)}, []
+        while len(groups) > 1:  # the two groups with the least mean distance
+            h, a, b = min((d[np.ix_(groups[a], groups[b])].mean(), a, b) for a in groups for b in groups if a < b)
+            want.append((a, b, h, len(groups[a]) + len(groups[b])))
+            groups[n + len(want) - 1] = groups.pop(a) + groups.pop(b)
+        assert np.allclose(clusters.linkage(d), np.array(want))
+
+
+def test_pairs_and_nearest_in_blocks(spark, monkeypatch):
+    from polyloom.operators import profiles
+
+    r = np.random.default_rng(0)
+    seqs = {f"s{i:02d}": "".join(r.choice(list("ACG-"), 12)) for i in range(30)}
+    df = spark.createDataFrame(list(seqs.items()), "id string, seq string")
+
+    def distance(a, b):
+        pairs = [(x, y) for x, y in zip(a, b, strict=True) if x != "-" and y != "-"]
+        return sum(x != y for x, y in pairs) / len(pairs) if pairs else None
+
+    for block in (1000, 7):
+        monkeypatch.setattr(profiles, "BLOCK", block)
+        got = {(x.a, x.b): x.d for x in profiles.pairwise(df).collect()}
+        assert got == {(a, b): distance(seqs[a], seqs[b]) for a in seqs for b in seqs if a < b}
+        near = {}
+        for x in profiles.nearest(df.limit(5), df).orderBy("query", "at").collect():
+            near.setdefault(x["query"], []).append((x.d, x.reference))
+        assert all(v == sorted((distance(seqs[q], seqs[b]), b) for b in seqs if distance(seqs[q], seqs[b]) is not None)[:2] for q, v in near.items()) and len(near) == 5
+
+
 def test_linkage():
     d = np.array([[0, 1, 4, 5], [1, 0, 4, 5], [4, 4, 0, 2], [5, 5, 2, 0.0]])
     tree = clusters.linkage(d)
