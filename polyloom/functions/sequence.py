@@ -102,5 +102,36 @@ def column_map(reference_row: str) -> list[int]:
     return [i + 1 for i, c in enumerate(reference_row) if c != "-"]
 
 
+def length_between(seq: str | Column, least: int = 3250, most: int = 4000) -> Column:
+    """Both bounds included."""
+    return F.length(_col(seq)).between(least, most)
+
+
+def region(protein: str | Column, first: int, last: int) -> Column:
+    """Residues ``first`` to ``last`` (1-based, closed) of an aligned protein without gaps, X as a stop: the key by which haplotypes collapse to a range."""
+    return F.translate(F.regexp_replace(F.substring(_col(protein), first, last - first + 1), "-", ""), "X", "*")
+
+
+def translated_key(exon: str | Column, frame: int = 0) -> Column:
+    """The protein of an exon up to its first stop: the key by which haplotypes collapse by translation; null where nothing is left."""
+    p = F.substring_index(translate(exon, frame), "*", 1)
+    return F.when(p != "", p)
+
+
+def kmers(seq: str | Column, k: int = 11) -> Column:
+    """The distinct words of k letters."""
+    s = _col(seq)
+    return F.when(F.length(s) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+
+
+def oriented(seq: str | Column, reference: str | Column, k: int = 11) -> Column:
+    """struct(seq, reversed): the strand that shares more words with the reference; as it is where both share as many."""
+    s = _col(seq)
+    ref = kmers(F.regexp_replace(_col(reference), "-", ""), k)
+    back = reverse_complement(s)
+    other = F.size(F.array_intersect(kmers(back, k), ref)) > F.size(F.array_intersect(kmers(s, k), ref))
+    return F.when(other, F.struct(back.alias("seq"), F.lit(True).alias("reversed"))).otherwise(F.struct(s.alias("seq"), F.lit(False).alias("reversed")))
+
+
 def padded(seq: str | Column, to: str | Column) -> Column:
     return F.rpad(_col(seq), _col(to), "-")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyloom.functions import labels
 from polyloom.operators.breeding import plan
 
 COLUMNS = "hypothesis string, priority int, mother string, father string, mother_allele string, father_alleles array<string>, category string, d double, kind string"
@@ -41,6 +42,16 @@ def both_ways(distances: DataFrame) -> DataFrame:
     return distances.select("a", "b", "d").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
 
+def pair_classes(parents: DataFrame, alleles: DataFrame, distances: DataFrame) -> DataFrame:
+    """All pairs of AAAA plants, as classes: a <= b, lineage_a, lineage_b, pairs, d, category, pairing. Plants of one allele and lineage stand for each other; ``homozygotes`` has the members."""
+    n = homozygotes(parents).groupBy("allele", "lineage").agg(F.count("*").alias("n")).join(alleles.select("allele", "cls"), "allele")
+    side = lambda c: n.select(*[F.col(x).alias(f"{x}_{c}") for x in ("allele", "lineage", "cls", "n")])
+    d = distances.select("a", "b", "d").unionByName(alleles.select(F.col("allele").alias("a"), F.col("allele").alias("b"), F.lit(0.0).alias("d")))
+    p = d.join(side("a"), F.col("a") == F.col("allele_a")).join(side("b"), F.col("b") == F.col("allele_b")).where((F.col("a") != F.col("b")) | (F.col("lineage_a") <= F.col("lineage_b")))
+    pairs = F.when((F.col("a") == F.col("b")) & (F.col("lineage_a") == F.col("lineage_b")), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("bigint")
+    return p.select("a", "b", "lineage_a", "lineage_b", pairs.alias("pairs"), "d", labels.cross_category("cls_a", "cls_b", "d", NEAR).alias("category"), labels.pairing("lineage_a", "lineage_b").alias("pairing")).where("pairs > 0")
+
+
 def best_pairs(wanted: DataFrame, few: DataFrame) -> DataFrame:
     """For each wanted pair of alleles (a, b) one pair of carriers, of different lineages where there are such: the wanted columns, mother, father. ``few``: at least the first two carriers of each allele and lineage."""
     m = few.select(F.col("allele").alias("a"), F.col("individual").alias("mother"), F.col("lineage").alias("lm"))

@@ -152,3 +152,14 @@ def checked_patterns(genotypes: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"pattern and alleles disagree: {bad[0]}")
     return genotypes
+
+
+def collapsed(seqs: DataFrame, key, name: str = "id") -> DataFrame:
+    """Haplotypes with one key as one: key, n, representative (the first by name), members. Rows without a key are left out; ``key`` is a column expression such as ``sequence.region`` or ``sequence.translated_key``."""
+    return seqs.select(key.alias("key"), name).where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min(name).alias("representative"), F.sort_array(F.collect_list(name)).alias("members"))
+
+
+def with_references(haplotypes: DataFrame, references: DataFrame) -> DataFrame:
+    """id, seq, is_reference: references and haplotypes in one table; of equal ids the reference stays."""
+    own = haplotypes.join(references.select("id"), "id", "left_anti")
+    return references.select("id", "seq", F.lit(True).alias("is_reference")).unionByName(own.select("id", "seq", F.lit(False).alias("is_reference")))

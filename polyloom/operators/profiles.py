@@ -82,6 +82,12 @@ def pair_differences(cells: DataFrame) -> DataFrame:
     return g.select("pos", F.when(F.col("n") > 1, (F.col("n") * F.col("n") - F.col("q")) / (F.col("n") * (F.col("n") - 1))).alias("difference"))
 
 
+def variable_cells(cells: DataFrame, skip: str = "X", key: str = "id") -> DataFrame:
+    """id, pos, aa of the columns that hold more than one residue (those of ``skip`` do not count), in long form."""
+    many = cells.where(~F.col("aa").isin(*skip)).groupBy("pos").agg(F.count_distinct("aa").alias("k")).where("k > 1").select("pos")
+    return cells.join(many, "pos", "left_semi").select(key, "pos", "aa")
+
+
 def alignment_map(cells: DataFrame, row: str, key: str = "id") -> DataFrame:
     """Columns of one row with the number of its residue there: pos, residue, aa."""
     w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # one aligned row
@@ -180,9 +186,9 @@ def plateau(curve: DataFrame, x: str = "threshold", y: str = "clusters", half: i
 
 
 def collapsed_entropy(cells: DataFrame, groups: DataFrame, key: str = "id") -> DataFrame:
-    """Mean entropy over columns with every row, and with one row for each group (its representative): whole, collapsed, delta. groups: id, representative."""
+    """Median entropy over columns with every row, and with one row for each group (its representative): whole, collapsed, delta. groups: id, representative."""
     kept = cells.join(groups.where(F.col(key) == F.col("representative")).select(key), key, "left_semi")
-    whole, one = (entropy_profile(c).agg(F.avg("entropy").alias(n)) for c, n in ((cells, "whole"), (kept, "collapsed")))
+    whole, one = (entropy_profile(c).agg(F.median("entropy").alias(n)) for c, n in ((cells, "whole"), (kept, "collapsed")))
     return whole.crossJoin(one).withColumn("delta", F.col("collapsed") - F.col("whole"))  # one row each
 
 

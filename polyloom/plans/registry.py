@@ -596,4 +596,4 @@ def presence_clusters(spark, sf):
     return clusters.presence_clusters(t.copies(spark, sf), k=8)
 
 
-from polyloom.plans import more  # noqa: E402, F401  further queries add themselves
+from polyloom.plans import further, more  # noqa: E402, F401  further queries add themselves
