@@ -4,11 +4,12 @@ Two zstandard dictionaries are built from labelled good and labelled bad text. A
 piece is compressed with either dictionary, and the difference of the two sums over their total is its raw score; a logistic
 curve fitted on the training documents makes it a probability of label 1.
 
-Labels are fitted on a bounded sample (``SAMPLE`` documents of each label, ``PIECES`` pieces of each, both parameters); scoring reads whole texts.
+Labels are fitted on a bounded sample of labelled documents: of each label about ``SAMPLE``, and no more than together hold ``SAMPLE_BYTES`` (both
+parameters). Whole texts are read, there and in scoring.
 
 Defined results: a null or empty text gets the curve's value at difference 0; rows that repeat get equal scores; with only one
 label, or none, every score is the share of label 1 (0.5 without labels); rows without a label, or with a null one, train
-nothing; an empty table gives an empty table.
+nothing, nor do those with two labels; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from polyloom.llm import common
 
-SAMPLE = 1200
-PIECES = 8
+SAMPLE, SAMPLE_BYTES = 1200, 8 << 20
 PIECE_BYTES = 1024
 DICTIONARY_BYTES = 48 << 10
 LEVEL = 3
@@ -114,18 +115,18 @@ def train(rows: list[tuple[int, int, list[bytes]]]) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, keep, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[int, int, list[bytes]]]:
-    """The bounded training sample: about ``sample`` labelled documents of each label, of each at most ``PIECES`` evenly spaced pieces."""
+    """The bounded training sample: about ``sample`` labelled documents of each label, in the order of a hash of their ids until they hold ``SAMPLE_BYTES`` (the first in any case), whole."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & keep).groupBy(id_col).agg(F.max(label_col).alias("label_"), F.min(label_col).alias("least_"))
     known = common.bounded_sample(known.where("label_ = least_").select(F.col(id_col).alias("id_"), "label_"), "id_", sample, "label_")
     chosen = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(F.broadcast(known), "id_")  # a sample of a bounded number of rows
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label_").orderBy(F.xxhash64(F.col("id_").cast("string")), "id_", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
+    chosen = chosen.withColumn("before_", F.coalesce(size, F.lit(0))).where(F.col("before_") < SAMPLE_BYTES).drop("before_")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for text in common.texts(batch).to_pylist():
-                cut = pieces((text or "").encode())
-                pick = np.unique(np.linspace(0, len(cut) - 1, min(PIECES, len(cut))).astype(int)) if cut else []
-                out.append([cut[i] for i in pick])
+                out.append(pieces((text or "").encode()))
             return pa.RecordBatch.from_arrays([common.column(batch, "id_").cast(pa.int64()), common.column(batch, "label_").cast(pa.int64()), pa.array(out, pa.list_(pa.binary()))], names=["id_", "label_", "pieces"])
 
         return work

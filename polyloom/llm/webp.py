@@ -6,7 +6,7 @@ subtract-green and colour-indexing (palette) transforms. All images of a call go
 symbol of every image, so that the cost of Python is shared by thousands of images.
 
 The encoder writes valid streams for pixel arrays: palettes where few colours occur, a colour cache, back-references for longer
-repeats, prefix codes by Shannon lengths made complete; predictor, cross-colour and subtract-green on request.
+repeats, prefix codes by Shannon lengths made complete; predictor modes and cross-colour factors chosen by what they cost, or all transforms on request.
 """
 
 from __future__ import annotations
@@ -305,62 +305,178 @@ def predict(mode: int, left, top, top_right, top_left):
         return ((left + top_left) // 2 + (top + top_right) // 2) // 2
     if mode == 11:
         guess = left + top - top_left
-        return left if np.abs(guess - left).sum(-1) < np.abs(guess - top).sum(-1) else top
+        return np.where((np.abs(guess - left).sum(-1) < np.abs(guess - top).sum(-1))[..., None], left, top)
     if mode == 12:
         return np.clip(left + top - top_left, 0, 255)
     average = (left + top) // 2
     return np.clip(average + np.trunc((average - top_left) / 2).astype(np.int64), 0, 255)
 
 
-def _neighbours(c: np.ndarray, x: int, y: int, w: int):
-    flat = c.reshape(-1, 4)
-    at = y * w + x
-    return flat[at - 1], flat[at - w], flat[at - w + 1], flat[at - w - 1]
+_BLACK = np.array([255, 0, 0, 0], np.uint8)
+#: Modes that need no more than the pixel on the left, or the one above: whole rows of many images are done at once.
+BY_ROWS = (0, 1, 2, 14, 15)
 
 
-def _mode(modes: np.ndarray, x: int, y: int, w: int, size: int) -> int:
-    if x == 0 or y == 0:
-        return 0 if x == y == 0 else 1 if y == 0 else 2
-    return int(modes[(y >> size) * ((w + (1 << size) - 1) >> size) + (x >> size)])
+def _modes(data: np.ndarray) -> np.ndarray:
+    return data >> 8 & 15
 
 
-def inverse_predictor(pixels: np.ndarray, w: int, h: int, size: int, data: np.ndarray) -> np.ndarray:
-    modes = data >> 8 & 15
-    c = _channels(pixels).reshape(h, w, 4)
-    for y in range(h):
-        for x in range(w):
-            mode = _mode(modes, x, y, w, size)
-            guess = predict(mode, *_neighbours(c, x, y, w)) if x and y else np.array([255, 0, 0, 0]) if not x and not y else c[0, x - 1] if not y else c[y - 1, 0]
-            c[y, x] = (c[y, x] + guess) & 255
-    return _pixels(c.reshape(-1, 4))
+def inverse_predictors(jobs: list[tuple[np.ndarray, int, int, int, np.ndarray]]) -> list[np.ndarray]:
+    """Undo the predictor of many images (pixels, width, height, block size, mode image): those of one mode a row by rows, the others by pixels, all images of one width at once."""
+    out: list = [None] * len(jobs)
+    groups: dict[tuple[int, bool], list[int]] = {}
+    for i, (_, w, _, size, data) in enumerate(jobs):
+        groups.setdefault((w, w <= 1 << size and bool(np.isin(_modes(data), BY_ROWS).all())), []).append(i)
+    for (w, by_rows), own in groups.items():
+        own.sort(key=lambda i: -jobs[i][2])
+        height = np.array([jobs[i][2] for i in own])
+        c = np.zeros((len(own), int(height[0]), w, 4), np.uint8)
+        for k, i in enumerate(own):
+            c[k, : jobs[i][2]] = jobs[i][0].astype(">u4").view(np.uint8).reshape(-1, w, 4)
+        (_rows_back if by_rows else _pixels_back)(c, height, [jobs[i] for i in own])
+        for k, i in enumerate(own):
+            out[i] = c[k, : jobs[i][2]].reshape(-1).view(">u4").astype(np.uint32)
+    return out
+
+
+def _rows_back(c: np.ndarray, height: np.ndarray, jobs: list[tuple]) -> None:
+    """In place; images stand by falling height."""
+    mode = np.zeros(c.shape[:2], np.uint8)
+    for k, (_, _, h, size, data) in enumerate(jobs):
+        mode[k, :h] = np.repeat(_modes(data), 1 << size)[:h]
+    c[:, 0, 0] += _BLACK
+    c[:, 0] = np.cumsum(c[:, 0], axis=1, dtype=np.uint8)
+    for y in range(1, c.shape[1]):
+        n = int(np.searchsorted(-height, -y, "left"))
+        row, above, m = c[:n, y], c[:n, y - 1], mode[:n, y]
+        row[:, 0] += above[:, 0]
+        left, top = m == 1, m == 2
+        black = ~(left | top)
+        if black.all():
+            row[:, 1:] += _BLACK
+            continue
+        if black.any():
+            row[black, 1:] += _BLACK
+        if left.any():
+            row[left] = np.cumsum(row[left], axis=1, dtype=np.uint8)
+        if top.any():
+            row[top, 1:] += above[top, 1:]
+
+
+def _pixels_back(c: np.ndarray, height: np.ndarray, jobs: list[tuple]) -> None:
+    """In place; images stand by falling height."""
+    n, _, w, _ = c.shape
+    flat = c.reshape(n, -1, 4)
+    c[:, 0, 0] += _BLACK
+    c[:, 0] = np.cumsum(c[:, 0], axis=1, dtype=np.uint8)
+    for y in range(1, c.shape[1]):
+        n = int(np.searchsorted(-height, -y, "left"))
+        c[:n, y, 0] += c[:n, y - 1, 0]
+        for x in range(1, w):
+            mode = np.array([_modes(data)[(y >> size) * ((w + (1 << size) - 1) >> size) + (x >> size)] for _, _, _, size, data in jobs[:n]])
+            at = y * w + x
+            near = [flat[:n, at - k].astype(np.int64) for k in (1, w, w - 1, w + 1)]
+            for m in np.unique(mode):
+                own = np.flatnonzero(mode == m)
+                flat[own, at] += predict(int(m), *(z[own] for z in near)).astype(np.uint8)
 
 
 def forward_predictor(pixels: np.ndarray, w: int, h: int, size: int, data: np.ndarray) -> np.ndarray:
-    modes = data >> 8 & 15
+    modes = _modes(data)
     c = _channels(pixels).reshape(h, w, 4)
-    out = c.copy()
-    for y in range(h):
-        for x in range(w):
-            mode = _mode(modes, x, y, w, size)
-            guess = predict(mode, *_neighbours(c, x, y, w)) if x and y else np.array([255, 0, 0, 0]) if not x and not y else c[0, x - 1] if not y else c[y - 1, 0]
-            out[y, x] = (c[y, x] - guess) & 255
-    return _pixels(out.reshape(-1, 4))
+    guess = np.zeros_like(c)
+    guess[0, 0] = _BLACK
+    guess[0, 1:] = c[0, :-1]
+    guess[1:, 0] = c[:-1, 0]
+    if h > 1 and w > 1:
+        y, x = np.mgrid[1:h, 1:w]
+        mode = modes[(y >> size) * ((w + (1 << size) - 1) >> size) + (x >> size)]
+        flat = c.reshape(-1, 4)
+        near = [flat[y * w + x - k] for k in (1, w, w - 1, w + 1)]
+        for m in np.unique(mode):
+            own = mode == m
+            guess[1:, 1:][own] = predict(int(m), *(z[own] for z in near))
+    return _pixels(((c - guess) & 255).reshape(-1, 4))
+
+
+def _bits(values: np.ndarray, image: np.ndarray, images: int) -> np.ndarray:
+    """What the bytes of each row of (rows, width, channels) cost, in 64ths of a bit, under the distribution of their channel in their own image."""
+    out = np.zeros(len(values), np.int64)
+    total = np.bincount(image, minlength=images).astype(np.float32) * values.shape[1]
+    base = (image << 8).astype(np.int32)[:, None]
+    total = np.repeat(total, 256)
+    for k in range(values.shape[2]):
+        at = base + values[:, :, k]
+        n = np.bincount(at.ravel(), minlength=images << 8)
+        cost = np.round(np.log2(total / np.maximum(n, 1)) * 64).astype(np.int32)  # whole 64ths, so that no order of summing matters
+        out += cost[at].sum(1)
+    return out
 
 
-def cross_colour(pixels: np.ndarray, w: int, h: int, size: int, data: np.ndarray, inverse: bool) -> np.ndarray:
-    """Add (or subtract) to red and blue what their block's factors make of green and red."""
-    y, x = np.divmod(np.arange(w * h), w)
-    factor = data[(y >> size) * ((w + (1 << size) - 1) >> size) + (x >> size)]
-    signed = lambda v: ((v & 255).astype(np.int64) ^ 128) - 128
+def chosen_transforms(data: list[np.ndarray], width: np.ndarray, height: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For images of one width of at most a block: the pixels after predictor and cross-colour, the predictor's modes of each band of rows, and the cross-colour factors (all zero where none pays).
+
+    Of the modes black, left and top, and of red and blue with and without green, each band takes what costs the fewest bits.
+    """
+    w = int(width[0])
+    rows = np.concatenate(data).astype(">u4").view(np.uint8).reshape(-1, w, 4)
+    first = np.cumsum(height) - height
+    opens = np.zeros(len(rows), bool)
+    opens[first] = True
+    place = np.arange(len(rows)) - np.repeat(first, height)
+    band = np.flatnonzero(place % (1 << size) == 0)
+    of = np.repeat(np.arange(len(band)), np.diff(np.append(band, len(rows))))
+    image = np.repeat(np.arange(len(data)), height)
+    bits = lambda x: np.add.reduceat(_bits(x, image, len(data)), band)
+    above = np.roll(rows, 1, axis=0)
+    left = rows.copy()
+    left[:, 1:] -= rows[:, :-1]
+    edge = np.where(opens[:, None], rows[:, 0] - _BLACK, rows[:, 0] - above[:, 0])
+    ways = [rows - _BLACK, left, rows - above]
+    for x in ways:
+        x[:, 0] = edge
+        x[opens, 1:] = left[opens, 1:]
+    mode = np.argmin([bits(x) for x in ways], axis=0)
+    out = np.choose(mode[of][:, None, None], ways)
+    green = out[:, :, 2]
+    factor = np.zeros(len(band), np.int64)
+    for channel, shift in ((1, 0), (3, 8)):
+        own = out[:, :, channel]
+        without, with_ = (bits(x[:, :, None]) for x in (own, own - green))
+        pays = with_ + 8 * 64 < without
+        factor |= np.where(pays, 32 << shift, 0)
+        own -= np.where(pays[of][:, None], green, 0).astype(np.uint8)
+    cut = np.cumsum(height * w)[:-1]
+    many = -(-height // (1 << size))
+    split = lambda x: np.split(x.astype(np.uint32), np.cumsum(many)[:-1])
+    return np.split(out.reshape(-1).view(">u4").astype(np.uint32), cut), split(mode << 8), split(factor)
+
+
+def cross_colours(jobs: list[tuple[np.ndarray, int, int, int, np.ndarray]], inverse: bool) -> list[np.ndarray]:
+    """Add (or subtract) to red and blue what their block's factors make of green and red, for many images (pixels, width, height, block size, factors) at once."""
+    factor = []
+    for _, w, h, size, data in jobs:
+        y, x = np.divmod(np.arange(w * h), w)
+        factor.append(data[(y >> size) * ((w + (1 << size) - 1) >> size) + (x >> size)])
+    factor = np.concatenate(factor)
+    signed = lambda v: ((v & 255).astype(np.int32) ^ 128) - 128
     to_red, to_blue, red_to_blue = signed(factor), signed(factor >> 8), signed(factor >> 16)
-    c = _channels(pixels)
+    c = np.concatenate([j[0] for j in jobs]).astype(">u4").view(np.uint8).reshape(-1, 4).astype(np.int32)
     green = signed(c[:, 2])
     sign = 1 if inverse else -1
     before = c[:, 1].copy()
     c[:, 1] = (c[:, 1] + sign * (to_red * green >> 5)) & 255
     red = signed(c[:, 1] if inverse else before)
     c[:, 3] = (c[:, 3] + sign * ((to_blue * green >> 5) + (red_to_blue * red >> 5))) & 255
-    return _pixels(c)
+    return np.split(_pixels(c), np.cumsum([len(j[0]) for j in jobs])[:-1])
+
+
+def cross_colour(pixels: np.ndarray, w: int, h: int, size: int, data: np.ndarray, inverse: bool) -> np.ndarray:
+    return cross_colours([(pixels, w, h, size, data)], inverse)[0]
+
+
+def inverse_predictor(pixels: np.ndarray, w: int, h: int, size: int, data: np.ndarray) -> np.ndarray:
+    return inverse_predictors([(pixels, w, h, size, data)])[0]
 
 
 def subtract_green(pixels: np.ndarray, inverse: bool) -> np.ndarray:
@@ -432,16 +548,19 @@ def _decode(files: list[bytes]) -> list[np.ndarray]:
                     steps[i].append((kind, int(now[i]), k, x))
         open_ = open_[bits.read(open_, 1) == 1]
     out = read_pixels(bits, lane, now, height, True)
-    for i, own in enumerate(steps):
-        h = int(height[i])
-        for step in reversed(own):
+    while any(steps):  # the last transform of every image, then the one before it
+        last = {i: own.pop() for i, own in enumerate(steps) if own}
+        for kind, many in ((PREDICTOR, inverse_predictors), (CROSS_COLOUR, lambda jobs: cross_colours(jobs, True))):
+            own = [i for i, step in last.items() if step[0] == kind]
+            if own:
+                for i, x in zip(own, many([(out[i], last[i][1], int(height[i]), *last[i][2:]) for i in own]), strict=True):
+                    out[i] = x
+        for i, step in last.items():
             if step[0] == SUBTRACT_GREEN:
                 out[i] = subtract_green(out[i], True)
-            else:
-                kind, w, k, data = step
-                out[i] = inverse_predictor(out[i], w, h, k, data) if kind == PREDICTOR else cross_colour(out[i], w, h, k, data, True) if kind == CROSS_COLOUR else inverse_palette(out[i], w, h, k, data)
-        out[i] = out[i].reshape(h, int(width[i]))
-    return out
+            elif step[0] == PALETTE:
+                out[i] = inverse_palette(out[i], step[1], int(height[i]), *step[2:])
+    return [x.reshape(h, w) for x, h, w in zip(out, height.tolist(), width.tolist(), strict=True)]
 
 
 # --- writing --------------------------------------------------------------------------------------------------------
@@ -525,9 +644,11 @@ def write_codes(out: Writer, stream: np.ndarray, counts: np.ndarray) -> tuple[np
     out.put(s, 0, 1)
     out.put(s, 1, 1)
     out.put(s, symbol[one].astype(np.uint64), 8)
-    x = code_lengths(np.where(one[:, None], 0, counts))
     many = np.flatnonzero(~one)
+    x, code = np.zeros(counts.shape, np.int64), np.zeros(counts.shape, np.int64)
     if len(many):
+        x[many] = code_lengths(counts[many])
+        code[many] = codewords(x[many])
         s = stream[many]
         out.put(s, 0, 1)
         out.put(s, 19 - 4, 4)
@@ -556,11 +677,11 @@ def write_codes(out: Writer, stream: np.ndarray, counts: np.ndarray) -> tuple[np
         big = place < full[which]
         r = rest[which]
         z = zero[which]
-        code = np.where(big, 18, np.where(~z, flat[at][which], np.where(r >= 11, 18, np.where(r >= 3, 17, 0))))
-        extra = np.where(big, 127, np.where(code == 18, r - 11, np.where(code == 17, r - 3, 0)))
-        extra_bits = np.where(code == 18, 7, np.where(code == 17, 3, 0))
-        out.put(s[at[which] // width], (plain[code] | extra << 4).astype(np.uint64), 4 + extra_bits)
-    return codewords(x), x
+        named = np.where(big, 18, np.where(~z, flat[at][which], np.where(r >= 11, 18, np.where(r >= 3, 17, 0))))
+        extra = np.where(big, 127, np.where(named == 18, r - 11, np.where(named == 17, r - 3, 0)))
+        extra_bits = np.where(named == 18, 7, np.where(named == 17, 3, 0))
+        out.put(s[at[which] // width], (plain[named] | extra << 4).astype(np.uint64), 4 + extra_bits)
+    return code, x
 
 
 def to_prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -658,8 +779,11 @@ def write_pixels(out: Writer, images: list[np.ndarray], stream: np.ndarray, widt
     out.put(stream[i], value.astype(np.uint64), n)
 
 
-def encode(images: list[np.ndarray], *, cache_bits: int = 8, least: int = 4, palette: int = 16, transforms: tuple[int, ...] = (), block: int = 3) -> list[bytes]:
-    """WebP files of images (height x width, 0xAARRGGBB). ``palette``: most colours for which a palette is written; ``transforms`` are applied in order before."""
+def encode(images: list[np.ndarray], *, cache_bits: int = 8, least: int = 4, palette: int = 16, transforms: tuple[int, ...] | None = (), block: int = 3) -> list[bytes]:
+    """WebP files of images (height x width, 0xAARRGGBB). ``palette``: most colours for which a palette is written; ``transforms`` are applied in order before.
+
+    With ``transforms`` None, images of one width (a block at most) get a predictor with a mode chosen for each band of rows, and cross-colour where it pays, unless they get a palette.
+    """
     if not images:
         return []
     streams = np.arange(len(images))
@@ -670,7 +794,7 @@ def encode(images: list[np.ndarray], *, cache_bits: int = 8, least: int = 4, pal
     out.put(streams, 1, 1)
     out.put(streams, 0, 3)
     data = [np.ascontiguousarray(x, np.uint32).ravel() for x in images]
-    for kind in transforms:
+    for kind in transforms or ():
         out.put(streams, 1 | kind << 1, 3)
         if kind == SUBTRACT_GREEN:
             data = [subtract_green(x, False) for x in data]
@@ -709,6 +833,20 @@ def encode(images: list[np.ndarray], *, cache_bits: int = 8, least: int = 4, pal
                 row = -(-int(width[i]) // (1 << packed))
                 index = np.pad(index, ((0, 0), (0, (row << packed) - int(width[i])))).reshape(height[i], row, 1 << packed)
                 data[i] = (0xFF000000 | (index << (np.arange(1 << packed) * each)).sum(2) << 8).astype(np.uint32).ravel()
+    plain = np.setdiff1d(streams, few)
+    if transforms is None and len(plain) and (width == width[0]).all() and width[0] <= 1 << block:
+        made, modes, factors = chosen_transforms([data[i] for i in plain], width[plain], height[plain], block)
+        for i, x in zip(plain.tolist(), made, strict=True):
+            data[i] = x
+        out.put(plain, 1 | PREDICTOR << 1, 3)
+        out.put(plain, block - 2, 3)
+        write_pixels(out, modes, plain, np.ones(len(plain), np.int64), False, 0, 0)
+        paid = [k for k, f in enumerate(factors) if f.any()]
+        if paid:
+            own = plain[paid]
+            out.put(own, 1 | CROSS_COLOUR << 1, 3)
+            out.put(own, block - 2, 3)
+            write_pixels(out, [factors[k] for k in paid], own, np.ones(len(own), np.int64), False, 0, 0)
     out.put(streams, 0, 1)
     write_pixels(out, data, streams, width, True, cache_bits, least)
     files = []

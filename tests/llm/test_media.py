@@ -30,6 +30,48 @@ def test_round_trip(options):
         assert a.shape == b.shape and (a == b).all()
 
 
+def plain_inverse(pixels, w, h, size, modes):
+    """The predictor undone pixel by pixel, from the specification."""
+    c = webp._channels(pixels).reshape(h, w, 4)
+    for y in range(h):
+        for x in range(w):
+            if x and y:
+                f = c.reshape(-1, 4)
+                at = y * w + x
+                guess = webp.predict(int(modes[(y >> size) * ((w + (1 << size) - 1) >> size) + (x >> size)] >> 8 & 15), f[at - 1], f[at - w], f[at - w + 1], f[at - w - 1])
+            else:
+                guess = c[y, x - 1] if x else c[y - 1, x] if y else np.array([255, 0, 0, 0])
+            c[y, x] = (c[y, x] + guess) & 255
+    return webp._pixels(c.reshape(-1, 4))
+
+
+@pytest.mark.parametrize("known", [(0, 1, 2, 14), tuple(range(16))])
+def test_inverse_predictors_equal_the_plain_form(known):
+    r = np.random.default_rng(len(known))
+    jobs = []
+    for w, h, size in ((16, 40, 4), (16, 3, 4), (16, 1, 4), (5, 9, 2), (1, 20, 3), (16, 33, 2)):
+        n = -(-w // (1 << size)) * -(-h // (1 << size))
+        jobs.append((r.integers(0, 2**32, w * h, dtype=np.uint32), w, h, size, (r.choice(known, n) << 8).astype(np.uint32)))
+    for job, got in zip(jobs, webp.inverse_predictors(jobs), strict=True):
+        assert (got == plain_inverse(*job)).all()
+        assert (webp.forward_predictor(got, *job[1:]) == job[0]).all()
+
+
+def test_chosen_transforms_round_trip_and_depend_on_the_image_alone():
+    r = np.random.default_rng(9)
+    ramp = (np.add.outer(np.arange(64), np.arange(16)) * 0x01010101).astype(np.uint32)
+    green = r.integers(0, 256, (48, 16)).astype(np.uint32)
+    grey = green << 16 | green << 8 | green | 0xFF000000
+    text = [x for x in media.tiles(media.payload(("the quick brown fox " * 40 + "äöü 你好 ").encode() * 3))]
+    own = [ramp, grey, *text, r.integers(0, 2**32, (17, 16), dtype=np.uint32)]
+    files = webp.encode(own, transforms=None, block=4)
+    for a, b in zip(own, webp.decode(files), strict=True):
+        assert (a == b).all()
+    assert files == [webp.encode([x], transforms=None, block=4)[0] for x in own]
+    _, modes, factors = webp.chosen_transforms([x.ravel() for x in own[:2]], np.array([16, 16]), np.array([64, 48]), 4)
+    assert set(modes[0] >> 8) <= {1, 2} and factors[1].any()  # a ramp is predicted, grey is green alone
+
+
 def test_predictors_by_the_definition():
     left, top, top_right, top_left = (np.array(x) for x in ([10, 20, 30, 40], [50, 60, 70, 80], [90, 100, 110, 120], [130, 140, 150, 160]))
     assert webp.predict(0, left, top, top_right, top_left).tolist() == [255, 0, 0, 0]
