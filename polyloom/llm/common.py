@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyloom.operators.shared import checkpoint_dir
+
 #: Rows and bytes in one Arrow batch between Spark and a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Bytes of text a Python worker works on at once; a longer text is a slice of its own.
@@ -25,12 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="polyloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    """The folder that driver and executors share. Where none is set it is a local one in local mode, as in tests, and an error elsewhere."""
+    return checkpoint_dir(spark)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ stands unchanged. Seeds are looked for exactly; around each hit the regex librar
 and reports span and edits. Texts are lower-cased (A-Z) and runs of other characters than word characters become one space first.
 
 Defined results: a null text counts as empty (no words, no labels, score 0); of overlapping matches of one notice the one with
-fewer edits stays; repeated rows give equal results; a text is always searched whole; other columns are left alone.
+fewer edits stays; repeated rows give equal results; a text is always searched whole; an empty table gives an empty table; other columns are left out.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -44,6 +45,23 @@ def seeds(notice: bytes, edits: int) -> list[tuple[int, bytes]]:
     return [(a, notice[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+class Apart:
+    """Spans that do not overlap, by start."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether the span meets none that is there; if so it is kept."""
+        i = bisect.bisect_left(self.starts, b)
+        if i and self.ends[i - 1] > a:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, ...]] = NOTICES, per_edit: int = PER_EDIT):
         gap = rb"[^0-9a-z\x80-\xff]+"
@@ -80,16 +98,11 @@ class Scanner:
                 m = pattern.search(plain, a, b)
                 if m:
                     found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            best: list[tuple[int, int, int]] = []
-            for a, b, e in sorted(set(found), key=lambda x: (x[2], x[0])):
-                if all(b <= s or t <= a for s, t, _ in best):
-                    best.append((a, b, e))
-            out += [(label, a, b, e, len(notice)) for a, b, e in best]
+            apart = Apart()
+            out += [(label, a, b, e, len(notice)) for a, b, e in sorted(set(found), key=lambda x: (x[2], x[0])) if apart.add(a, b)]
         # where notices overlap, those nearest to the text stay: "version 2" is within the edits of "version 3"
-        kept: list[tuple[str, int, int, int, int]] = []
-        for x in sorted(out, key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
-            if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
-                kept.append(x)
+        apart = Apart()
+        kept = [x for x in sorted(out, key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])) if apart.add(x[1], x[2])]
         return sorted(kept, key=lambda x: (x[1], x[0]))
 
 
