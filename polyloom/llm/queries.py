@@ -23,8 +23,9 @@ def op2_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(crc(F.col("doc_id")) % 4 != 2))
-    found = language.predict(docs, model, spans=False)
-    return found.select("doc_id", (crc(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score", "n_words")
+    found = language.predict(docs, model)
+    spans = F.array_join(F.transform("lang_spans", lambda x: F.concat_ws(":", x["lang"], x["first"].cast("string"), (x["first"] + x["words"]).cast("string"))), ",")
+    return found.select("doc_id", (crc(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score", "n_words", spans.alias("spans"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
