@@ -585,10 +585,23 @@ def viability_allele_losses(spark, sf):
     return simulation.allele_losses(_viability_runs(spark, sf, ("baseline", "K_decline_1pct")), (3, 6))
 
 
+def _strategy_runs(spark, sf):
+    from polyloom.operators import strategies
+
+    plants = _plants(spark, sf, "lineage").groupBy("genotype").agg(F.sum("n").alias("n"))
+    return strategies.compare(plants, generations=3, trials=2, size=16)
+
+
 @query()
 def strategy_comparison(spark, sf):
-    own = t.copies(spark, sf).groupBy("allele").agg(F.sum("n").alias("n"))
-    return simulation.strategies(own, generations=4, trials=2, size=24).groupBy("strategy", "generation").agg(F.avg("variance").alias("variance"), F.avg("mean_score").alias("mean_score"), F.avg("extinct").alias("extinct"))
+    return _strategy_runs(spark, sf).groupBy("strategy", "generation").agg(*[F.avg(c).alias(c) for c in ("variance", "mean_score", "compatibility", "share_aaaa")], F.avg("extinct").alias("extinct"))
+
+
+@query()
+def collapse_prediction(spark, sf):
+    from polyloom.operators import strategies
+
+    return strategies.collapse_times(_strategy_runs(spark, sf).withColumn("n_alleles", F.lit(20)))
 
 
 @query()
