@@ -241,9 +241,13 @@ def variable_columns(spark, sf):
     return profiles.variable_columns(_cells(spark, sf), most_gaps=1.0, top=25)
 
 
-@query()
+@query(cte("facts", "copies", "members", "hap", "st") + """, nu AS (SELECT individual, lineage, 'NULL' AS allele, 4 AS n FROM st JOIN members USING (individual) WHERE status = 'SC'), u AS (SELECT individual, lineage, allele, n FROM copies JOIN members USING (individual) WHERE individual NOT IN (SELECT individual FROM nu) UNION ALL SELECT * FROM nu),
+e AS (SELECT lineage, individual, count(*) FILTER (allele <> 'NULL') AS k, coalesce(sum(n) FILTER (allele = 'NULL'), 0) AS nulls, sum(n) AS whole FROM u GROUP BY ALL), d AS (SELECT lineage, 1 / sum(p * p) AS effective FROM (SELECT lineage, sum(n) / sum(sum(n)) OVER (PARTITION BY lineage)::DOUBLE AS p FROM u GROUP BY lineage, allele) GROUP BY lineage),
+s AS (SELECT lineage, count(*) FILTER (status = 'SI') AS n_si, count(*) FILTER (status = 'pSI') AS n_psi, count(*) FILTER (status = 'SC') AS n_sc FROM st JOIN members USING (individual) GROUP BY lineage)
+SELECT lineage, n, round(mean_null, 6) AS mean_null, round(share_null, 6) AS share_null, round(share_het, 6) AS share_het, n_si, n_psi, n_sc, round(effective, 6) AS effective FROM (SELECT lineage, count(*) AS n, avg(nulls) AS mean_null, sum(nulls) / sum(whole)::DOUBLE AS share_null, count(*) FILTER (k > 1) / count(*) FILTER (k > 0)::DOUBLE AS share_het FROM e GROUP BY lineage) JOIN s USING (lineage) JOIN d USING (lineage)""")
 def null_aware_summary(spark, sf):
     s = genotype.haplotype_status(t.logs(spark, sf)).join(t.members(spark, sf), "individual")
     c = t.copies(spark, sf).join(t.members(spark, sf), "individual").select("individual", "lineage", "allele", "n")
     nulls = s.where("status = 'SC'").select("individual", "lineage", F.lit("NULL").alias("allele"), F.lit(4).cast("bigint").alias("n"))
-    return diversity.null_aware_summary(c.join(nulls, "individual", "left_anti").unionByName(nulls), s, "lineage")
+    x = diversity.null_aware_summary(c.join(nulls, "individual", "left_anti").unionByName(nulls), s, "lineage")
+    return x.select("lineage", "n", *r6("mean_null", "share_null", "share_het"), "n_si", "n_psi", "n_sc", *r6("effective"))

@@ -219,12 +219,6 @@ def equilibrium_distance(spark, sf):
     return d.select(F.round("variance", 9).alias("variance"), F.round("chi2", 9).alias("chi2"), "extinct", "endangered")
 
 
-@query()
-def individual_compatibility(spark, sf):
-    g = _genotypes(spark, sf).withColumnRenamed("genotype", "alleles").join(t.members(spark, sf), "individual")
-    return diversity.individual_compatibility(g, "lineage", 0.1)
-
-
 @query(cte("facts", "copies", "geno", "score") + "SELECT genotype, round(score, 6) AS score, CASE WHEN score >= 0.917 THEN 'ABCD' WHEN score >= 0.75 THEN 'AABC' WHEN score >= 0.583 THEN 'AABB' WHEN score >= 0.25 THEN 'AAAB' ELSE 'AAAA' END AS class, CASE WHEN score < 0.001 THEN 'SC / homozygous_null (0.000)' WHEN score < 0.501 THEN 'AAAB / AB00 / AAB0 (0.500)' WHEN score < 0.668 THEN 'AABB (0.667)' WHEN score < 0.751 THEN 'ABC0 (0.750)' WHEN score < 0.834 THEN 'AABC (0.833)' ELSE 'ABCD (1.000)' END AS tier, count(*) AS n FROM score GROUP BY ALL")
 def score_classes(spark, sf):
     g = t.genotyped(spark, sf).withColumn("score", labels.class_score("genotype"))
@@ -479,23 +473,37 @@ def _genotypes(spark, sf):
     return genotype.four_copies(c).groupBy("individual").agg(F.array_sort(w).alias("genotype")).where("size(genotype) = 4")
 
 
-@query()
+_FOUR = """WITH cp AS (SELECT l_orderkey AS individual, p_type AS allele, count(DISTINCT l_partkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY individual ORDER BY n DESC, allele) AS pl, count(*) OVER (PARTITION BY individual) AS k, max(n) OVER (PARTITION BY individual) AS top FROM cp), s AS (SELECT *, max(CASE WHEN pl = 2 THEN n END) OVER (PARTITION BY individual) AS second FROM r),
+f AS (SELECT individual, allele, CASE k WHEN 1 THEN 4 WHEN 2 THEN CASE WHEN top >= 2 * second THEN CASE WHEN pl = 1 THEN 3 ELSE 1 END ELSE 2 END WHEN 3 THEN CASE WHEN pl = 1 THEN 2 ELSE 1 END ELSE 1 END AS n FROM s WHERE pl <= 4),
+gt AS (SELECT individual, list_sort(flatten(list(list_transform(range(n), lambda i: allele)))) AS g FROM f GROUP BY individual), gd AS (SELECT g, array_to_string(g, '+') AS name, count(*) AS plants FROM gt GROUP BY g),
+ga AS (SELECT name, g, list_sort([g[i], g[j]]) AS gam, count(*) / 6.0::DOUBLE AS p FROM gd, (VALUES (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)) t(i, j) GROUP BY ALL)
+"""
+
+
+@query(_FOUR + ", " + t.SQL["members"] + ", w AS (SELECT lineage, g, count(*) AS w FROM gt JOIN members USING (individual) GROUP BY ALL), q AS (SELECT a.lineage, sum(x) AS whole, sum(CASE WHEN len(list_filter(fg, lambda z: NOT list_contains(mg, z))) >= 2 THEN x ELSE 0 END) AS free FROM (SELECT a.lineage, a.g AS mg, b.g AS fg, CASE WHEN a.g = b.g THEN a.w * (b.w - 1) ELSE a.w * b.w END AS x FROM w a JOIN w b ON a.lineage = b.lineage) a GROUP BY 1) SELECT lineage, round(CASE WHEN whole > 0 THEN free / whole + 0.1 * (1 - free / whole) ELSE 0 END, 9) AS compatibility FROM q")
+def individual_compatibility(spark, sf):
+    g = _genotypes(spark, sf).withColumnRenamed("genotype", "alleles").join(t.members(spark, sf), "individual")
+    return diversity.individual_compatibility(g, "lineage", 0.1).select("lineage", F.round("compatibility", 9).alias("compatibility"))
+
+
+@query(_FOUR + "SELECT name AS genotype, array_to_string(gam, '+') AS gamete, p FROM ga")
 def gamete_distribution(spark, sf):
     return breeding.gametes(_genotypes(spark, sf).select("genotype").distinct()).withColumn("gamete", F.array_join("gamete", "+")).withColumn("genotype", F.array_join("genotype", "+"))
 
 
-@query()
+@query(_FOUR + ", made AS (SELECT m.name || ' x ' || f.name AS \"cross\", list_sort(list_concat(m.gam, f.gam)) AS o, sum(m.p * f.p * CASE WHEN list_has_any(f.gam, m.g) THEN 0.1::DOUBLE ELSE 1 END) AS q FROM ga m JOIN ga f ON m.name < f.name GROUP BY ALL) SELECT \"cross\", array_to_string(o, '+') AS genotype, round(q / sum(q) OVER (PARTITION BY \"cross\"), 9) AS p, round(sum(q) OVER (PARTITION BY \"cross\"), 9) AS compatibility FROM made")
 def cross_offspring(spark, sf):
     g = _genotypes(spark, sf).select("genotype").distinct().withColumn("name", F.array_join("genotype", "+"))
     a, b = g.select(F.col("name").alias("i"), F.col("genotype").alias("mother")), g.select(F.col("name").alias("j"), F.col("genotype").alias("father"))
     c = a.join(b, F.col("i") < F.col("j")).select(F.concat_ws(" x ", "i", "j").alias("cross"), "mother", "father")
-    return breeding.offspring(c, leakage=0.1).withColumn("genotype", F.array_join("genotype", "+"))
+    return breeding.offspring(c, leakage=0.1).select("cross", F.array_join("genotype", "+").alias("genotype"), F.round("p", 9).alias("p"), F.round("compatibility", 9).alias("compatibility"))
 
 
-@query()
+@query(_FOUR + "SELECT m.name AS mother, f.name AS father, round(CASE WHEN m.name = f.name AND m.plants = 1 THEN 0 ELSE coalesce(sum(f.p) FILTER (NOT list_has_any(f.gam, m.g)), 0) END, 9) AS compatibility FROM gd m JOIN ga f ON true GROUP BY m.name, f.name, m.plants")
 def crossing_matrix(spark, sf):
     m = breeding.crossing_matrix(_genotypes(spark, sf))
-    return m.select(F.array_join("mother", "+").alias("mother"), F.array_join("father", "+").alias("father"), "compatibility")
+    return m.select(F.array_join("mother", "+").alias("mother"), F.array_join("father", "+").alias("father"), F.round("compatibility", 9).alias("compatibility"))
 
 
 @query(cte("facts", "copies") + "SELECT allele, count(DISTINCT individual) AS carriers, round(sum(n) / (SELECT sum(n) FROM copies)::DOUBLE, 9) AS p FROM copies GROUP BY allele HAVING count(DISTINCT individual) <= 2 OR sum(n) / (SELECT sum(n) FROM copies)::DOUBLE < 0.04")

@@ -305,3 +305,22 @@ def test_published_chi_square_and_chao1(spark):
     x = diversity.uniform_chi2(t, "level").first()
     assert x.x2 == pytest.approx(4405.19268635724, abs=1e-6) and x.df == 48
     assert diversity.chao1(t, "level").first().chao1_ceiling == 54
+
+
+@needs_tables
+def test_published_null_aware_genotypes(spark):
+    """Copies of the genotype table and the status table give the published null-aware one: label, composition and flag."""
+    z = published(spark, "Individual", "Allele_composition", "Genotype", "N_total_proteins").withColumnRenamed("Individual", "individual")
+    c = genotype.parsed_composition(z, "Allele_composition")
+    s = published(spark, "SI_status", "pSI_confidence", "Sample_ID", "n_haps_OK", copies_nonfunctional="int")
+    s = s.select(F.col("Sample_ID").alias("individual"), F.col("SI_status").alias("status"), F.col("pSI_confidence").alias("confidence"), F.col("copies_nonfunctional").alias("copies"))
+    got = {r.individual: (r.label, r.flag, r.null_copies, tuple(sorted(r.composition.split("+")))) for r in genotype.null_aware(c, s).collect()}
+    want = published(spark, "Individual", "Genotype_class_flag", "Allele_composition", "N_distinct_functional_alleles", N_null_copies="int").collect()
+    assert len(want) == 368 and got == {r.Individual: (r.Genotype, r.Genotype_class_flag, r.N_null_copies, tuple(sorted(r.Allele_composition.split("+")))) for r in want}
+
+
+@needs_tables
+def test_published_strategies_and_scores(spark):
+    g = published(spark, "Individual", "Genotype_Pattern", "GFS_class", "Method", GFS="double")
+    for r in g.select("GFS", "GFS_class", "Genotype_Pattern", labels.class_score("Genotype_Pattern").alias("s"), labels.score_class("GFS").alias("c")).collect():
+        assert r.s == pytest.approx(r.GFS, abs=1e-3) and r.GFS_class.startswith(r.c)
