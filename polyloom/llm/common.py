@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import functools
 import uuid
@@ -31,13 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table written to the shared folder."""
+    """Cut the lineage with a table written to the shared folder; the tables of a session go when its driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/polyloom/{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark).rstrip('/')}/polyloom/{spark.sparkContext.applicationId}"
+    if own not in _FOLDERS:
+        _FOLDERS.add(own)
+        atexit.register(_forget, spark, own)
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+_FOLDERS: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Delete a session's folder, if its JVM is still there to do it."""
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, by: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``limit`` bytes of the column ``by``."""
     column = batch.column(batch.schema.get_field_index(by))
