@@ -49,8 +49,9 @@ def test_repeatable(spark, sf, name):
     assert first == again
 
 
-def test_entry_without_training_data(tmp_path):
-    """The rest imports and lists its queries where the training-data folders are gone."""
+@pytest.mark.parametrize("pipeline_there", [True, False])
+def test_entry_without_training_data(tmp_path, pipeline_there):
+    """The rest imports and lists its queries where the training-data folders are gone, with the pipeline's file or without."""
     import shutil
     import subprocess
     import sys
@@ -58,5 +59,7 @@ def test_entry_without_training_data(tmp_path):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{here}/polyloom", tmp_path / "polyloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    if pipeline_there and os.path.exists(f"{here}/corpus_pipeline.py"):
+        shutil.copy(f"{here}/corpus_pipeline.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLE_SQL))], out.stderr
