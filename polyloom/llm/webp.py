@@ -86,7 +86,7 @@ class Codes:
                 table = (alone[own] << 4)[:, None]
             else:
                 x = lengths[own].astype(np.int64)
-                order = np.argsort(np.where(x == 0, 99, x), axis=1, kind="stable")
+                order = np.argsort(np.where(x == 0, 99, x).astype(np.uint8), axis=1, kind="stable")
                 sorted_ = np.take_along_axis(x, order, 1)
                 times = np.where(sorted_ > 0, np.int64(1) << np.maximum(d - sorted_, 0), 0)
                 if (times.sum(1) != 1 << d).any():
@@ -568,6 +568,14 @@ def _decode(files: list[bytes]) -> list[np.ndarray]:
 _DEPTH = 12  # Shannon lengths of at most 4096 counts
 
 
+def by_small(keys: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of numbers below ``most``, sixteen bits at a time (which numpy sorts by counting)."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    if most > 1 << 16:
+        order = order[np.argsort((keys >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 class Writer:
     """Tokens (stream, value, bits) in the order of writing within a stream, packed at the end."""
 
@@ -580,7 +588,7 @@ class Writer:
 
     def packed(self) -> list[bytes]:
         stream, value, n = (np.concatenate(x) for x in zip(*self.tokens, strict=True))
-        order = np.argsort(stream, kind="stable")
+        order = by_small(stream, self.streams)
         stream, value, n = stream[order], value[order], n[order]
         size = (np.bincount(stream, n, self.streams).astype(np.int64) + 7) // 8
         begin = np.cumsum(size) - size
@@ -612,23 +620,30 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
             if not len(rows):
                 continue
             own = x[rows] == d
-            take = own & (np.cumsum(own, 1) <= (slack[rows] >> (_DEPTH - d))[:, None])
+            take = own & (np.cumsum(own, 1, dtype=np.int16) <= (slack[rows] >> (_DEPTH - d))[:, None])
             x[rows] -= take
             slack[rows] -= take.sum(1) << (_DEPTH - d)
     return x
 
 
+#: The reversed values of each length, one after the other, and where those of a length begin.
+_ALL_REVERSED = np.concatenate(_REVERSED)
+_REVERSED_AT = np.array([(1 << n) - 1 for n in range(16)])
+
+
 def codewords(lengths: np.ndarray) -> np.ndarray:
     """The canonical codes of each row, bits reversed as they are written."""
+    rows = len(lengths)
+    order = np.argsort(lengths.astype(np.uint8), axis=1, kind="stable")
+    own = np.take_along_axis(lengths, order, 1)
+    count = np.bincount((np.arange(rows)[:, None] * 16 + lengths).ravel(), minlength=rows * 16).reshape(rows, 16)
+    start = np.cumsum(count, 1) - count
+    first = np.zeros((rows, 16), np.int64)
+    for d in range(2, _DEPTH + 1):
+        first[:, d] = first[:, d - 1] + count[:, d - 1] << 1
+    value = np.take_along_axis(first - start, own, 1) + np.arange(lengths.shape[1])
     out = np.zeros(lengths.shape, np.int64)
-    code = np.zeros(len(lengths), np.int64)
-    for d in range(1, _DEPTH + 1):
-        code <<= 1
-        own = lengths == d
-        rank = np.cumsum(own, 1) - 1
-        value = code[:, None] + rank
-        out[own] = _REVERSED[d][value[own]]
-        code += own.sum(1)
+    np.put_along_axis(out, order, np.where(own > 0, _ALL_REVERSED[np.where(own > 0, value, 0) + _REVERSED_AT[own]], 0), 1)
     return out
 
 
@@ -705,9 +720,10 @@ def repeats(pixel: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarra
     with np.errstate(over="ignore"):
         for i in range(least):
             key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + pixel[i : i + len(key)]
-        key = key * np.uint64(0x9E3779B97F4A7C15) + image[: len(key)].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    same = (key[order][1:] == key[order][:-1]) & (image[order][1:] == image[order][:-1])
+        key = key * np.uint64(0x9E3779B97F4A7C15)
+    order = by_small((key >> np.uint64(48)).astype(np.int64) | image[: len(key)] << 16, len(begin) << 16)
+    own, whose = key[order], image[order]
+    same = (own[1:] == own[:-1]) & (whose[1:] == whose[:-1])
     back = np.full(len(key), -1, np.int64)
     back[order[1:][same]] = order[:-1][same]
     free = 0
@@ -740,7 +756,7 @@ def write_pixels(out: Writer, images: list[np.ndarray], stream: np.ndarray, widt
     slot = np.zeros(len(pixel), np.int64)
     if cache_bits:
         slot = ((pixel.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
-        order = np.argsort(image * (1 << cache_bits) + slot, kind="stable")
+        order = by_small(image * (1 << cache_bits) + slot, len(images) << cache_bits)
         o = order
         hit[o[1:]] = (image[o[1:]] == image[o[:-1]]) & (slot[o[1:]] == slot[o[:-1]]) & (pixel[o[1:]] == pixel[o[:-1]])
     p, i = pixel[kept].astype(np.int64), image[kept]
