@@ -14,8 +14,8 @@ from polyloom.operators.shared import checkpoint_dir
 MOST = 20_000
 
 
-def linkage(d: np.ndarray) -> np.ndarray:
-    """Average linkage by nearest-neighbour chains, in time and memory of n squared: rows (a, b, height, size), a < b, by height; clusters are numbered from n on in that order. NaN distances count as the mean."""
+def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
+    """Average or Ward's linkage by nearest-neighbour chains, in time and memory of n squared: rows (a, b, height, size), a < b, by height; clusters are numbered from n on in that order. NaN distances count as the mean."""
     n = len(d)
     d = np.array(d, float)
     if np.isnan(d).any():
@@ -38,7 +38,12 @@ def linkage(d: np.ndarray) -> np.ndarray:
         del chain[-2:]
         i, j = sorted((x, y))
         merges.append((i, j, float(d[i, j])))
-        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        if method == "ward":
+            with np.errstate(invalid="ignore"):
+                d[i] = np.sqrt(((size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * d[i, j] ** 2) / (size[i] + size[j] + size))
+            d[i, ~alive] = np.inf
+        else:
+            d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[:, i] = d[i]
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
@@ -111,20 +116,56 @@ def average_linkage(distances: DataFrame) -> DataFrame:
     return distances.withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(run, "step int, left int, right int, height double, size int")
 
 
-def clustered(distances: DataFrame, clusters: int | None = None, height: float | None = None, gap: bool = False) -> DataFrame:
+def clustered(distances: DataFrame, clusters: int | None = None, height: float | None = None, gap: bool = False, method: str = "average") -> DataFrame:
     """id, cluster (numbered by the smallest member)."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(t["a"]) | set(t["b"]))
         if len(ids) > MOST:
             raise ValueError(f"{len(ids)} alleles")
-        tree = linkage(_matrix(ids, t))
+        tree = linkage(_matrix(ids, t), method)
         at = largest_gap(tree[:, 2]) if gap else height
         return pd.DataFrame({"id": ids, "cluster": cut(tree, len(ids), clusters, at)})
 
     return distances.withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(run, "id string, cluster int")
 
 
+def silhouettes(distances: DataFrame, members: DataFrame) -> DataFrame:
+    """id, cluster, own (mean distance to its cluster's others), other (least mean distance to another cluster), silhouette: (other - own) / the larger; 0 for a cluster of one. members: id, cluster."""
+    both = distances.select("a", "b", "d").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    m = members.select("id", "cluster")
+    mean = both.join(m.select(F.col("id").alias("b"), F.col("cluster").alias("c")), "b").groupBy(F.col("a").alias("id"), "c").agg(F.avg("d").alias("mean"))
+    x = m.join(mean, "id").groupBy("id", "cluster").agg(F.min(F.when(F.col("c") == F.col("cluster"), F.col("mean"))).alias("own"), F.min(F.when(F.col("c") != F.col("cluster"), F.col("mean"))).alias("other"))
+    return x.withColumn("silhouette", F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).when(F.greatest("own", "other") == 0, 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other")))
+
+
+def cluster_numbers(distances: DataFrame, most: int, method: str = "ward") -> DataFrame:
+    """clusters (2 to ``most``), silhouette (mean over all ids), within (sum over clusters of the squared distances of their pairs over their size): for choosing a number by the best silhouette or the elbow."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(t["a"]) | set(t["b"]))
+        if len(ids) > MOST:
+            raise ValueError(f"{len(ids)} alleles")
+        tree = linkage(_matrix(ids, t), method)
+        return pd.DataFrame([(x, k, int(c)) for k in range(2, min(most, len(ids)) + 1) for x, c in zip(ids, cut(tree, len(ids), k), strict=True)], columns=["id", "k", "cluster"])
+
+    cuts = distances.withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(run, "id string, k int, cluster int")
+    both = distances.select("a", "b", "d").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    p = both.join(cuts.select(F.col("id").alias("a"), "k", "cluster"), "a").join(cuts.select(F.col("id").alias("b"), "k", F.col("cluster").alias("c")), ["b", "k"])
+    mean = p.groupBy("k", F.col("a").alias("id"), "cluster", "c").agg(F.avg("d").alias("mean"))
+    x = mean.groupBy("k", "id", "cluster").agg(F.min(F.when(F.col("c") == F.col("cluster"), F.col("mean"))).alias("own"), F.min(F.when(F.col("c") != F.col("cluster"), F.col("mean"))).alias("other"))
+    s = x.withColumn("s", F.when(F.col("own").isNull() | F.col("other").isNull() | (F.greatest("own", "other") == 0), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))).groupBy("k").agg(F.avg("s").alias("silhouette"))
+    size = cuts.groupBy("k", "cluster").agg(F.count("*").alias("n"))
+    w = p.where("cluster = c").groupBy("k", "cluster").agg((F.sum(F.col("d") ** 2) / 2).alias("ss")).join(size, ["k", "cluster"]).groupBy("k").agg(F.sum(F.col("ss") / F.col("n")).alias("within"))
+    return s.join(w, "k", "left").select(F.col("k").alias("clusters"), "silhouette", F.coalesce("within", F.lit(0.0)).alias("within"))
+
+
+def individual_classes(copies: DataFrame, classes: DataFrame) -> DataFrame:
+    """individual, classes (sorted, of its alleles), n_alleles, n_classed (those whose class is known). classes: allele, cls."""
+    c = copies.select("individual", "allele").distinct().join(classes.select("allele", "cls"), "allele", "left")
+    return c.groupBy("individual").agg(F.array_join(F.sort_array(F.collect_set("cls")), "+").alias("classes"), F.count("*").alias("n_alleles"), F.count("cls").alias("n_classed"))
+
+
 def clusters_by_threshold(merges: DataFrame, n: int, thresholds: list[float]) -> DataFrame:
     """threshold, clusters: n less the merges up to it (heights of average linkage never fall)."""
     t = merges.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")

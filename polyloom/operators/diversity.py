@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,6 +106,38 @@ def accumulation_curve(carriers: DataFrame, group: str, most: int = 400) -> Data
     return r.groupBy(group, "n").agg(F.sum(1 - F.col("gone")).alias("alleles"))
 
 
+def ln_factorial(n: str | Column) -> Column:
+    """Natural logarithm of n! of a whole number: a table below 20, Stirling's series (to 1e-12) from there."""
+    x = (F.col(n) if isinstance(n, str) else n).cast("double")
+    table = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(20)])
+    series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(x < 20, F.get(table, x.cast("int"))).otherwise(series)
+
+
+def accumulation_spread(carriers: DataFrame, group: str, sizes: list[int]) -> DataFrame:
+    """group, n, mean, sd: distinct alleles among n of a group's individuals drawn at random, exactly: no permutations.
+
+    The variance is the sum over pairs of alleles of the probability that both are missed less the product of missing either, which needs how many
+    individuals carry one or the other. An individual has few alleles, so its pairs are few. carriers: group, individual, allele, distinct.
+    """
+    own = carriers.select(group, "individual", "allele").distinct()
+    people = own.groupBy(group).agg(F.count_distinct("individual").alias("people"))
+    one = own.groupBy(group, "allele").agg(F.count("*").alias("m"))
+    a, b = one.select(group, F.col("allele").alias("a"), F.col("m").alias("ma")), one.select(group, F.col("allele").alias("b"), F.col("m").alias("mb"))
+    both = own.withColumnRenamed("allele", "a").join(own.withColumnRenamed("allele", "b"), [group, "individual"]).groupBy(group, "a", "b").agg(F.count("*").alias("k"))
+    p = a.join(b, group).join(both, [group, "a", "b"], "left").withColumn("either", F.col("ma") + F.col("mb") - F.coalesce("k", F.lit(0)))  # pairs of a group's alleles
+    p = p.groupBy(group, "ma", "mb", "either").agg(F.count("*").alias("times"), F.count_if(F.col("a") == F.col("b")).alias("same")).join(people, group).withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where("n <= people")
+    lf = ln_factorial
+
+    def missed(m: Column) -> Column:
+        rest = F.col("people") - m - F.col("n")
+        return F.when(rest < 0, 0.0).otherwise(F.exp(lf(F.col("people") - m) - lf(F.greatest(rest, F.lit(0))) - lf("people") + lf(F.col("people") - F.col("n"))))
+
+    x, y, z = missed(F.col("ma")), missed(F.col("mb")), missed(F.col("either"))
+    g = p.groupBy(group, "n").agg(F.sum(F.col("times") * (z - x * y)).alias("v"), F.sum(F.col("same") * (1 - x)).alias("mean"))
+    return g.select(group, "n", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("v"))).alias("sd"))
+
+
 def accumulation_slopes(curve: DataFrame, group: str, ends: int = 5) -> DataFrame:
     """Mean step of the first and last ``ends`` steps, and the late one as a share of the first."""
     w = Window.partitionBy(group).orderBy("n")

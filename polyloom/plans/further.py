@@ -245,6 +245,33 @@ def consensus_richness(spark, sf):
     return n.select("lineage", diversity.consensus_richness("x", "y", "z").alias("k"))
 
 
+@query(cte("facts", "copies") + ", x AS (SELECT individual, allele, CASE WHEN CAST(substr(allele, 7, 1) AS INTEGER) < 3 THEN 'I' WHEN CAST(substr(allele, 7, 1) AS INTEGER) < 5 THEN 'II' END AS cls FROM copies) SELECT individual, coalesce(string_agg(DISTINCT cls, '+' ORDER BY cls), '') AS classes, count(*) AS n_alleles, count(cls) AS n_classed FROM x GROUP BY individual")
+def individual_classes(spark, sf):
+    k = F.substring("allele", 7, 1).cast("int")
+    c = t.copies(spark, sf).select("allele").distinct().select("allele", F.when(k < 3, "I").when(k < 5, "II").alias("cls"))
+    return clusters.individual_classes(t.copies(spark, sf), c)
+
+
+@query("WITH s AS (SELECT item_id::VARCHAR AS id, string_split(text, '') AS seq, item_id % 5 AS cluster FROM benchmark), x AS (SELECT id, unnest(seq) AS c, generate_subscripts(seq, 1) AS i FROM s), d AS (SELECT a.id AS a, b.id AS b, count(*) FILTER (a.c <> b.c) / count(*)::DOUBLE AS d FROM x a JOIN x b ON a.i = b.i AND a.id <> b.id WHERE a.c <> '-' AND b.c <> '-' GROUP BY a.id, b.id), m AS (SELECT a AS id, s.cluster, o.cluster AS c, avg(d) AS mean FROM d JOIN s ON s.id = a JOIN s o ON o.id = b GROUP BY ALL), z AS (SELECT id, cluster, min(mean) FILTER (c = cluster) AS own, min(mean) FILTER (c <> cluster) AS other FROM m GROUP BY ALL) SELECT id, cluster, round(coalesce((other - own) / greatest(own, other), 0), 6) AS silhouette FROM z")
+def silhouettes(spark, sf):
+    from polyloom.plans.registry import _alleles
+
+    own = t.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), (F.col("item_id") % 5).alias("cluster"))
+    return clusters.silhouettes(profiles.pairwise(_alleles(spark, sf)), own).select("id", "cluster", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query()
+def cluster_numbers(spark, sf):
+    from polyloom.plans.registry import _alleles
+
+    return clusters.cluster_numbers(profiles.pairwise(_alleles(spark, sf)), 6)
+
+
+@query()
+def accumulation_spread(spark, sf):
+    return diversity.accumulation_spread(t.copies(spark, sf).join(t.members(spark, sf), "individual").select("site", "individual", "allele"), "site", [1, 5, 10, 20])
+
+
 @query()
 def overlap_tests(spark, sf):
     s = t.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("na"), F.count_distinct("l_suppkey").alias("nb"))

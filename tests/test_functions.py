@@ -181,6 +181,25 @@ def test_linkage_equals_plain_search():
         assert np.allclose(clusters.linkage(d), np.array(want))
 
 
+def test_ward_and_numbers_of_clusters(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(c, 0.05, (6, 2)) for c in ((0, 0), (1, 0), (0, 1))])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    groups, want = {i: [i] for i in range(18)}, []
+    while len(groups) > 1:  # the two groups whose union adds least to the squares within
+        cost = lambda a, b: 2 * len(groups[a]) * len(groups[b]) / (len(groups[a]) + len(groups[b])) * ((x[groups[a]].mean(0) - x[groups[b]].mean(0)) ** 2).sum()
+        h, a, b = min((cost(a, b), a, b) for a in groups for b in groups if a < b)
+        want.append((a, b, h**0.5, len(groups[a]) + len(groups[b])))
+        groups[18 + len(want) - 1] = groups.pop(a) + groups.pop(b)
+    assert np.allclose(clusters.linkage(d, "ward"), np.array(want))
+    rows = spark.createDataFrame([(f"{i:02d}", f"{j:02d}", float(d[i, j])) for i in range(18) for j in range(i + 1, 18)], "a string, b string, d double")
+    got = {y.clusters: y for y in clusters.cluster_numbers(rows, 5).collect()}
+    assert max(got, key=lambda k: got[k].silhouette) == 3 and got[2].within > 10 * got[3].within
+    own = clusters.clustered(rows, clusters=3, method="ward")
+    s = clusters.silhouettes(rows, own).agg(F.avg("silhouette")).first()[0]
+    assert s == pytest.approx(got[3].silhouette) and s > 0.8
+
+
 def test_pairs_and_nearest_in_blocks(spark, monkeypatch):
     from polyloom.operators import profiles
 
@@ -253,8 +272,13 @@ def test_rarefaction_is_the_mean_of_permutations(spark):
     rows = [("g", a, sum(a in s for s in carriers.values()), 40) for a in sorted(set().union(*carriers.values()))]
     df = spark.createDataFrame(rows, "g string, allele string, carriers long, people long")
     exact = diversity.rarefied_richness(df, "g", 10).first().rarefied
-    mc = simulation.accumulation(carriers, 2000, 1)
-    assert exact == pytest.approx(mc["mean"][9], abs=0.05)
+    names = sorted(carriers)
+    runs = np.array([[len(set().union(*(carriers[names[i]] for i in order[:k]))) for k in (3, 10)] for order in (r.permutation(40) for _ in range(4000))])
+    assert exact == pytest.approx(runs[:, 1].mean(), abs=0.05)
+    long = spark.createDataFrame([("g", i, a) for i, s in carriers.items() for a in s], "g string, individual string, allele string")
+    spread = {x.n: x for x in diversity.accumulation_spread(long, "g", [3, 10, 40]).collect()}
+    assert spread[10].mean == pytest.approx(exact) and spread[40].sd == pytest.approx(0, abs=1e-5)
+    assert [spread[k].sd for k in (3, 10)] == pytest.approx(runs.std(0), rel=0.06)
     curve = {x.n: x.alleles for x in diversity.accumulation_curve(df, "g").collect()}
     assert curve[10] == pytest.approx(exact) and curve[40] == pytest.approx(len(rows))
 
