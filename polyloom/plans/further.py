@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from polyloom.functions import labels, sequence
@@ -9,6 +11,8 @@ from polyloom.operators import breeding, clusters, crossplan, diversity, genotyp
 from polyloom.plans import tables as t
 from polyloom.plans.registry import _plan_inputs, query, r6
 from polyloom.plans.tables import cte
+from polyloom.operators.shared import checkpoint_dir
+from polyloom.sources import files
 
 # --- names and samples ---
 
@@ -134,6 +138,61 @@ def padded_rows(spark, sf):
     return d.crossJoin(F.broadcast(d.agg(F.max(F.length("seq")).alias("most")))).select("id", sequence.padded("seq", "most").alias("seq"))  # one row
 
 
+# --- readers, over files that they write into the shared folder ---
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/polyloom-files/{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey::VARCHAR || '|>' || p_size AS id, 'count=' || p_size || ' of > ' || p_brand AS description, p_name || '-' || p_type AS seq FROM part")
+def fasta_round_trip(spark, sf):
+    """Headers with marks in them, written and read again (white space is no part of a sequence)."""
+    path = _folder(spark)
+    p = t.table(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit("|>"), F.col("p_size").cast("string")).alias("id"), F.concat(F.lit("count="), F.col("p_size").cast("string"), F.lit(" of > "), "p_brand").alias("description"), F.concat_ws("-", "p_name", "p_type").alias("seq"))
+    files.write_fasta(p.withColumn("seq", F.translate("seq", " ", "~")), path)
+    return files.read_fasta(spark, path).select("id", "description", F.translate("seq", "~", " ").alias("seq"))
+
+
+@query("SELECT count(*) AS reads, sum(length(p_type)) AS bases, count(*) FILTER (length(p_type) >= 20) AS long_reads, round(sum(length(p_type) * (7 + p_size % 20)) / sum(length(p_type))::DOUBLE, 2) AS quality FROM part")
+def fastq_statistics(spark, sf):
+    path = _folder(spark)
+    t.table(spark, sf, "part").select(F.concat_ws("\n", F.concat(F.lit("@r"), F.col("p_partkey").cast("string")), F.translate("p_type", " ", "N"), F.lit("+"), F.expr("repeat(char(p_size % 20 + 40), length(p_type))")).alias("value")).write.text(path)
+    s = files.read_stats(files.read_fastq(spark, path), long=20)
+    whole = files.read_fastq(spark, path).select(F.sum(F.aggregate(F.transform(F.split("quality", ""), lambda c: F.ascii(c) - 33), F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
+    return s.agg(F.sum("reads").alias("reads"), F.sum("bases").alias("bases"), F.sum("long_reads").alias("long_reads")).crossJoin(F.broadcast(whole)).select("reads", "bases", "long_reads", F.round(F.col("total") / F.col("bases"), 2).alias("quality"))  # one row each
+
+
+@query("SELECT p_partkey AS k, p_name AS name, round(p_retailprice, 1) AS price, CASE WHEN p_size % 5 > 0 THEN p_size END AS size FROM part")
+def table_round_trip(spark, sf):
+    """Typed columns, missing values and rounding of the table sink and reader."""
+    path = _folder(spark)
+    p = t.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") % 5 > 0, F.col("p_size")).alias("size"))
+    files.write_table(p, path, ["k"], {"price": 1}, sep=",")
+    return files.require_columns(files.read_table(spark, path, ",", {"k": "bigint", "price": "double", "size": "int"}), ["k", "size"])
+
+
+@query("SELECT 1000 + max(s_suppkey) AS reads FROM supplier")
+def report_count(spark, sf):
+    """The first number of a report, here of one file."""
+    path = _folder(spark)
+    s = t.table(spark, sf, "supplier").agg(F.max("s_suppkey").alias("k")).select(F.concat(F.lit("x\n -- Found "), F.format_number(F.col("k") + 1000, 0), F.lit(" reads.\nFound 7 reads")).alias("value"))
+    s.coalesce(1).write.text(path)
+    return files.report_count(spark, path).select("reads")
+
+
+@query("WITH d AS (SELECT l_suppkey AS contig, l_linenumber * 3 AS pos, max(l_partkey) AS depth FROM lineitem GROUP BY ALL), m AS (SELECT contig, max(pos) AS n FROM d GROUP BY contig) SELECT m.contig, p.pos, coalesce(d.depth, 0) AS depth FROM m, LATERAL (SELECT unnest(range(1, n + 1)) AS pos) p LEFT JOIN d ON d.contig = m.contig AND d.pos = p.pos")
+def dense_depth(spark, sf):
+    li = t.table(spark, sf, "lineitem")
+    return files.dense_depth(li.groupBy(F.col("l_suppkey").alias("contig"), (F.col("l_linenumber") * 3).alias("pos")).agg(F.max("l_partkey").alias("depth")))
+
+
+@query("SELECT p_partkey AS k, p_size AS start FROM part WHERE p_size % 3 = 0 AND 5 + p_partkey % 20 >= 12")
+def long_exons(spark, sf):
+    p = t.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 3 == 0, "exon").otherwise("gene").alias("V3"), F.col("p_size").cast("string").alias("V4"), (F.col("p_size") + 4 + F.col("p_partkey") % 20).cast("string").alias("V5"))
+    return files.exons(p, 12).select("k", F.col("V4").cast("int").alias("start"))
+
+
 # --- alignments: customers are rows, months of a year are columns ---
 
 _ALIGNED = "c AS (SELECT o_custkey % 40 AS id, o_orderkey % 60 AS pos, CASE WHEN min(o_totalprice) < 20000 THEN '-' ELSE substr('ACDEFGHIKL', CAST(min(o_orderkey) % (1 + o_orderkey % 60 % 4) AS INTEGER) + 1, 1) END AS aa FROM orders GROUP BY o_custkey % 40, o_orderkey % 60)"

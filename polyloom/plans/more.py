@@ -123,9 +123,11 @@ def first_of_group(spark, sf):
     return profiles.first_of_group(t.table(spark, sf, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 3).select("c_nationkey", "c_custkey")
 
 
-@query(_SETS + ", p AS (SELECT allele, min(site) AS site FROM s GROUP BY allele HAVING count(*) = 1) SELECT site, count(*) AS private FROM p GROUP BY site")
+@query(cte("facts", "members") + ", s AS (SELECT DISTINCT site, protein || '-' || (individual % 60) AS allele FROM facts JOIN members USING (individual)), p AS (SELECT allele, min(site) AS site FROM s GROUP BY allele HAVING count(*) = 1) SELECT site, count(*) AS private FROM p GROUP BY site")
 def private_alleles(spark, sf):
-    return sets.private_alleles(_site_sets(spark, sf), "site")
+    """Parts with a number of the order, so that some stand at one site only."""
+    f = t.facts(spark, sf).join(t.members(spark, sf), "individual")
+    return sets.private_alleles(f.select("site", F.concat_ws("-", F.col("protein").cast("string"), (F.col("individual") % 60).cast("string")).alias("allele")).distinct(), "site")
 
 
 @query(cte("facts") + """, c AS (SELECT DISTINCT individual AS mother, individual + 1 AS father, allele FROM facts), e AS (SELECT individual, allele FROM facts JOIN orders ON o_orderkey = individual WHERE o_orderstatus = 'P' GROUP BY ALL), h AS (SELECT mother, father, e.individual, c.allele FROM c JOIN e ON e.allele = c.allele AND (e.individual = mother OR e.individual = father))
