@@ -7,7 +7,8 @@ Long texts are cut into chunks that are worked side by side and joined exactly b
 The model is fitted on a bounded sample (``SAMPLE`` labelled documents of each language, a parameter). Prediction reads whole texts.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; equal totals of two languages go to the first by
-name; rows that repeat get equal results; without any labelled row all texts are ``und``; other columns are left alone.
+name; rows that repeat get equal results; without any labelled row all texts are ``und``; an empty table
+gives an empty table; other columns are left out.
 """
 
 from __future__ import annotations

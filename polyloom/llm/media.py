@@ -5,7 +5,8 @@ green, blue), 16 pixels a row; every ``ROWS`` rows are an image of their own, an
 carries its length). Every image that needs no palette has a predictor, its modes chosen for each band of 16 rows, and cross-colour where it
 pays, by the image's own bytes; reading inverts them. So no image is ever large, long texts are worked side by side, and a text has no greatest length.
 
-Defined results: a null text counts as empty (64 zero bytes); equal texts get equal files and features; rows that repeat stay.
+Defined results: a null text counts as empty (64 zero bytes); equal texts get equal files and features; rows that repeat stay; an empty
+table gives an empty table; other columns are left out.
 """
 
 from __future__ import annotations
