@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyloom.operators.shared import running
+
 
 def upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
@@ -144,11 +146,15 @@ def fisher_p_value(a, b, c, d) -> Column:
 
 
 def average_rank(df: DataFrame, value: str, group: str | None = None, name: str = "rank") -> DataFrame:
-    """Average ranks within a group, by windows: the first rank of a value and half its ties."""
+    """Average ranks (within a group): the first rank of a value and half its ties. Distinct values with their counts are what is sorted."""
     keys = [group] if group else []
     ties = df.groupBy(*keys, value).agg(F.count("*").alias("ties_"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    at = ties.withColumn(name, F.coalesce(F.sum("ties_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("ties_") + 1) / 2).drop("ties_")
+    if group:
+        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        ties = ties.withColumn("before_", F.coalesce(F.sum("ties_").over(w), F.lit(0)))
+    else:
+        ties = running(ties, [value], "ties_", "before_")
+    at = ties.withColumn(name, F.col("before_") + (F.col("ties_") + 1) / 2).drop("ties_", "before_")
     return df.join(at, [*keys, value])
 
 

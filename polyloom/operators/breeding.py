@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polyloom.operators.genotype import numbered
+
 # The pairs of four copies, and the three ways to part four copies into two pairs.
 PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
 PARTITIONS = (((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2)))
@@ -69,12 +71,13 @@ def rare_alleles(copies: DataFrame, carriers: int = 2, share: float = 0.02) -> D
 
 
 def elites(copies: DataFrame, scores: DataFrame, share: float = 0.10) -> DataFrame:
-    """The top share of individuals by score times the sum of 1 / allele frequency. The cut is a percentile, not a global sort."""
+    """The top share of individuals (one at least) by score times the sum of 1 / allele frequency, those with 0 left out; ties by individual. Places come from a range sort."""
     total = copies.agg(F.sum("n").alias("total"))
     p = copies.groupBy("allele").agg(F.sum("n").alias("a")).crossJoin(F.broadcast(total)).select("allele", (F.col("a") / F.col("total")).alias("p"))
-    v = copies.select("individual", "allele").distinct().join(p, "allele").groupBy("individual").agg(F.sum(1 / F.col("p")).alias("rarity")).join(scores, "individual").withColumn("value", F.col("score") * F.col("rarity"))
-    edge = v.agg(F.percentile("value", 1 - share).alias("edge"))
-    return v.crossJoin(F.broadcast(edge)).where("value >= edge").select("individual", "value")
+    v = copies.select("individual", "allele").distinct().join(p, "allele").groupBy("individual").agg(F.sum(1 / F.col("p")).alias("rarity")).join(scores, "individual")
+    v = numbered(v.select("individual", (F.col("score") * F.col("rarity")).alias("value")).withColumn("by_", -F.round("value", 9)), ["by_", "individual"], "place_")
+    most = v.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("most_"))  # one row
+    return v.crossJoin(F.broadcast(most)).where("place_ <= most_ and value > 0").select("individual", "value")
 
 
 def homozygote_pairs(parents: DataFrame, distances: DataFrame, near: float = 0.04) -> DataFrame:

@@ -212,15 +212,20 @@ def pan_group_alleles(copies: DataFrame, group: str, share: float = 0.8) -> Data
     return copies.groupBy("allele").agg(F.count_distinct(group).alias("n_groups")).crossJoin(F.broadcast(groups)).where("n_groups >= need").select("allele", "n_groups")
 
 
+#: Parts into which a group's pairs are dealt.
+SALTS = 32
+
+
 def individual_compatibility(genotypes: DataFrame, group: str, leakage: float = 0.0) -> DataFrame:
     """Share of ordered pairs of two individuals where the mother accepts a gamete of the father: one with no allele of hers. Below two individuals 0.
 
     Pairs are of distinct genotypes, weighted by how many individuals have each. genotypes: individual, group, alleles (four, sorted).
     """
     g = genotypes.groupBy(group, "alleles").agg(F.count("*").alias("w"))
-    m, f = g.select(group, F.col("alleles").alias("mother"), F.col("w").alias("wm")), g.select(group, F.col("alleles").alias("father"), F.col("w").alias("wf"))
+    m = g.select(group, F.col("alleles").alias("mother"), F.col("w").alias("wm"), F.pmod(F.xxhash64("alleles"), F.lit(SALTS)).alias("salt"))  # a group's mothers in many parts
+    f = g.select(group, F.col("alleles").alias("father"), F.col("w").alias("wf"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
     free = F.size(F.filter("father", lambda a: ~F.array_contains(F.col("mother"), a))) >= 2
-    pairs = m.join(f, group).withColumn("weight", F.when(F.col("mother") == F.col("father"), F.col("wm") * (F.col("wf") - 1)).otherwise(F.col("wm") * F.col("wf")))
+    pairs = m.join(f, [group, "salt"]).withColumn("weight", F.when(F.col("mother") == F.col("father"), F.col("wm") * (F.col("wf") - 1)).otherwise(F.col("wm") * F.col("wf")))
     p = pairs.groupBy(group).agg((F.sum(F.when(free, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("p"), F.sum("weight").alias("pairs"))
     return p.select(group, F.when(F.col("pairs") > 0, F.col("p") + leakage * (1 - F.col("p"))).otherwise(0.0).alias("compatibility"))
 

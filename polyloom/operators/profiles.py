@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyloom.functions.sequence import RESIDUES, p_distance
+from polyloom.operators.shared import running
 
 
 def coverage_report(depth: DataFrame, contig: str = "contig", pos: str = "pos", value: str = "depth", size: int = 200, least: float = 20, even: float = 0.2) -> DataFrame:
@@ -139,10 +140,11 @@ def medoids(distances: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def least_threshold(df: DataFrame, x: str, passed: str, target: float = 0.9, least: int = 10) -> DataFrame:
-    """The smallest x such that at least ``target`` of the rows at or above it pass, from ``least`` rows on. Rows are summed by value of x first."""
+    """The smallest x such that at least ``target`` of the rows at or above it pass, from ``least`` rows on. Rows are summed by value of x first, the sums run over a range sort."""
     g = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("n"), F.sum(F.col(passed).cast("long")).alias("k"))
-    w = Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, 0)  # one row for each distinct value
-    return g.withColumn("all", F.sum("n").over(w)).withColumn("good", F.sum("k").over(w)).where((F.col("all") >= least) & (F.col("good") >= target * F.col("all"))).agg(F.min(x).alias("threshold"))
+    r = running(g, [F.desc(x)], "n", "n_above").select(x, (F.col("n_above") + F.col("n")).alias("all"))
+    k = running(g, [F.desc(x)], "k", "k_above").select(x, (F.col("k_above") + F.col("k")).alias("good"))
+    return r.join(k, x).where((F.col("all") >= least) & (F.col("good") >= target * F.col("all"))).agg(F.min(x).alias("threshold"))
 
 
 def dose_response(df: DataFrame, bin_: str, value: str, passed: str) -> DataFrame:

@@ -291,7 +291,7 @@ def leakage_and_effective_size(spark, sf):
     return g.select("lineage", F.round(diversity.estimated_leakage("share"), 6).alias("leakage"), F.round(diversity.effective_size("n", "share"), 6).alias("effective"))
 
 
-@query(cte("facts", "copies", "geno", "score") + """, f AS (SELECT allele, sum(n) / sum(sum(n)) OVER ()::DOUBLE AS p FROM copies GROUP BY allele), v AS (SELECT individual, score * sum(1 / p) AS value FROM copies JOIN f USING (allele) JOIN score USING (individual) GROUP BY individual, score) SELECT individual, round(value, 6) AS value FROM v WHERE value >= (SELECT quantile_cont(value, 0.9) FROM v)""")
+@query(cte("facts", "copies", "geno", "score") + """, f AS (SELECT allele, sum(n) / sum(sum(n)) OVER ()::DOUBLE AS p FROM copies GROUP BY allele), v AS (SELECT individual, score * sum(1 / p) AS value FROM copies JOIN f USING (allele) JOIN score USING (individual) GROUP BY individual, score) SELECT individual, round(value, 6) AS value FROM (SELECT *, row_number() OVER (ORDER BY round(value, 9) DESC, individual) AS pl, count(*) OVER () AS n FROM v) WHERE pl <= greatest(1, floor(n * 0.1)) AND value > 0""")
 def elites(spark, sf):
     s = t.genotyped(spark, sf).select("individual", labels.class_score("genotype").alias("score"))
     return breeding.elites(t.copies(spark, sf), s).select("individual", F.round("value", 6).alias("value"))
