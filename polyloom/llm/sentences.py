@@ -7,12 +7,12 @@ backward, until it has them; a text of fewer than ``RUN`` sentences is one run,
 that a run other than the first of its kind (by document, then place) covers are removed. Cutting, lengthening, one-run texts and
 other scripts' stops are what ``whole`` adds; the query asks for it.
 
-The first of each kind comes from a partial aggregation and the rest from an equi-join that Spark may split where a run is
-frequent; no group is ever gathered.
+The runs are written once. The first of each kind comes from a partial aggregation and the rest from an equi-join; runs of more than ``HOT``
+places are few (counted first), so that their firsts are sent to all rows and no task has all rows of one. No group is ever gathered.
 
 Defined results: null and empty texts and those without words have no run and stay as they are; a run that repeats within a document is removed
 after its first place; of equal documents the smallest id keeps its text; repeated rows with one id count as one document;
-rows with a null id keep their text and do not count.
+rows with a null id keep their text and do not count; ids are whole numbers; an empty table gives an empty table; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ RUN = 3
 LEAST_WORDS = 8
 #: Words above which a sentence is cut, and grams of ``GRAM`` words of which the first least in ``SPAN`` is a cut.
 LONG, GRAM, SPAN = 24, 2, 8
+#: Places of a run beyond which its rows are not brought together.
+HOT = 4096
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
 _ENDS = np.array([chr(b) in ".!?\n" for b in range(256)])
 # Stops of other scripts.
@@ -131,10 +133,16 @@ def repeated_runs(docs: DataFrame, *, run: int = RUN, least: int = LEAST_WORDS,
         return work
 
     known = docs.where("doc_id is not null")
-    every = common.map_arrow(known, make, "h bigint, doc_id bigint, sentence int, count int")
+    every = common.materialise(common.map_arrow(known, make, "h bigint, doc_id bigint, sentence int, count int"))
     first = every.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sentence")).alias("first")).where("n > 1")
-    first = first.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.sentence").alias("first_sentence"))
-    return every.join(first, "h").where("doc_id <> first_doc or sentence <> first_sentence").select("doc_id", "sentence", "count", "first_doc")
+    first = common.materialise(first.select("h", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.sentence").alias("first_sentence")))
+    hot = first.where(F.col("n") > HOT).drop("n")
+    if hot.count() <= common.SMALL_IDS:  # the rows of frequent runs stay where they are
+        rest = every.join(F.broadcast(hot.select("h")), "h", "left_anti").join(first.where(F.col("n") <= HOT).drop("n"), "h")
+        found = rest.unionByName(every.join(F.broadcast(hot), "h"))
+    else:
+        found = every.join(first.drop("n"), "h")
+    return found.where("doc_id <> first_doc or sentence <> first_sentence").select("doc_id", "sentence", "count", "first_doc")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least: int = LEAST_WORDS, only_changed: bool = False, whole: bool = False) -> DataFrame:
@@ -142,7 +150,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Without ``whole``, only runs of just ``run`` sentences between ASCII stops that have ``least`` words count: exact copies with shorter runs stay.
     """
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))  # ids are whole numbers
     found = repeated_runs(own, run=run, least=least, whole=whole).groupBy("doc_id").agg(F.collect_set(F.col("sentence").cast("bigint") * (1 << 31) + F.col("count")).alias("places"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
     both = own.join(found, "doc_id", "inner" if only_changed else "left")
 

@@ -28,6 +28,23 @@ def test_sentence_copies_of_any_shape_are_removed(spark):
     assert all(rows[i].text == texts[i] for i in (0, 2, 4, 6, 8))
 
 
+def test_frequent_runs_and_ties(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    common_ = " ".join(f"{word()} {word()} {word()}." for _ in range(4))
+    texts = [f"{word()} {word()} {word()}. {common_} {word()} {word()}." for _ in range(40)] + ["", None, common_, common_]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for hot in (4096, 3):
+        monkeypatch.setattr(sentences, "HOT", hot)
+        found.append(sorted(map(str, sentences.remove_repeats(docs, whole=True).collect())))
+    monkeypatch.setattr("polyloom.llm.common.SMALL_IDS", 0)
+    found.append(sorted(map(str, sentences.remove_repeats(docs, whole=True).collect())))
+    assert found[0] == found[1] == found[2]
+    rows = {x.doc_id: x for x in sentences.remove_repeats(docs, whole=True).collect()}
+    assert common_ in rows[0].text and not any(common_ in (rows[i].text or "") for i in range(1, 44)) and rows[42].text == rows[43].text == ""
+
+
 # --- 8 ---
 
 
