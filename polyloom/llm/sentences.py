@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from polyloom.llm import common
 
 RUN = 3
-LEAST_WORDS = 8
+#: Words of a run: in full, and in the plain rule.
+LEAST_WORDS, PLAIN_WORDS = 25, 8
 #: Words above which a sentence is cut, and grams of ``GRAM`` words of which the first least in ``SPAN`` is a cut.
 LONG, GRAM, SPAN = 24, 2, 8
 #: Places of a run beyond which its rows are not brought together.
@@ -121,8 +122,9 @@ def runs(hashes: np.ndarray, size: np.ndarray, rows: np.ndarray, run: int, least
     return out, text[first], first - low[first], count
 
 
-def repeated_runs(docs: DataFrame, *, run: int = RUN, least: int = LEAST_WORDS, whole: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, run: int = RUN, least: int | None = None, whole: bool = False) -> DataFrame:
     """doc_id, sentence, count, first_doc of every run that is not the first of its kind."""
+    least = least if least is not None else LEAST_WORDS if whole else PLAIN_WORDS
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,10 +147,10 @@ def repeated_runs(docs: DataFrame, *, run: int = RUN, least: int = LEAST_WORDS,
     return found.where("doc_id <> first_doc or sentence <> first_sentence").select("doc_id", "sentence", "count", "first_doc")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least: int = LEAST_WORDS, only_changed: bool = False, whole: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least: int | None = None, only_changed: bool = False, whole: bool = False) -> DataFrame:
     """The documents with their text less the sentences that repeat; id, text, n_sentences, n_removed, first_docs (where they stand first).
 
-    Without ``whole``, only runs of just ``run`` sentences between ASCII stops that have ``least`` words count: exact copies with shorter runs stay.
+    Without ``whole``, only runs of just ``run`` sentences between ASCII stops that have ``least`` (``PLAIN_WORDS``) words count: exact copies with shorter runs stay.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))  # ids are whole numbers
     found = repeated_runs(own, run=run, least=least, whole=whole).groupBy("doc_id").agg(F.collect_set(F.col("sentence").cast("bigint") * (1 << 31) + F.col("count")).alias("places"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))

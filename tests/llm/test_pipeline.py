@@ -38,6 +38,19 @@ def test_stages_on_awkward_and_empty(spark, sf, awkward, nothing, stage):
     assert stage(spark, awkward, sf).count() >= (0 if stage is corpus_pipeline.quality_filter else 5)
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_on_repeated_rows_and_other_columns(spark, sf, awkward, stage):
+    """Rows that repeat (ids too) get equal results; the near-duplicate stage keeps one of them."""
+    once = [tuple(r) for r in stage(spark, awkward, sf).collect()]
+    twice = [tuple(r) for r in stage(spark, awkward.unionByName(awkward), sf).collect()]
+    if stage is corpus_pipeline.near_duplicates:
+        assert {r[:2] for r in twice if r[1]} == {r[:2] for r in once if r[1]} and len({r[1] for r in twice if r[1] and r[1].strip()}) == len([r for r in twice if r[1] and r[1].strip()])
+    elif stage is not corpus_pipeline.quality_filter:
+        assert sorted(map(str, twice)) == sorted(map(str, once * 2))
+    else:
+        assert len(twice) % 2 == 0 and {r[0] for r in twice} <= set(range(len(awkward.collect())))
+
+
 def test_contract():
     names = list(entry_point.queries())
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from polyloom.llm import decontaminate, queries, sentences, suffixes
@@ -63,7 +64,7 @@ def brute_sentences(texts, run, least):
 def test_sentences_equal_brute_force(spark, sf, planted):
     for texts in (planted[0], {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}):
         docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-        want = brute_sentences(texts, sentences.RUN, sentences.LEAST_WORDS)
+        want = brute_sentences(texts, sentences.RUN, sentences.PLAIN_WORDS)
         rows = {r.doc_id: r for r in sentences.remove_repeats(docs).collect()}
         assert rows.keys() == texts.keys()
         assert {i for i, r in rows.items() if r.n_removed} == want.keys()
@@ -72,6 +73,51 @@ def test_sentences_equal_brute_force(spark, sf, planted):
         assert all(rows[i].text == texts[i] for i in texts if i not in want)
 
 
+def brute_whole(texts, run, least):
+    """doc_id -> kept sentences (by place) of those that change, by the definition of whole runs over the sentences as they are cut."""
+    seen, gone, count = {}, {}, {}
+    for i in sorted(texts):
+        h, size, *_ = sentences.sentences(pa.array([texts[i]], pa.string()))
+        h, size = h.tolist(), size.tolist()
+        m = count[i] = len(h)
+        own, runs = min(run, m), set()
+        for a in range(m):
+            b = a + own
+            while b <= m and sum(size[a:b]) < least:
+                b += 1
+            if b <= m:
+                runs.add((a, b))
+            b, c = a + 1, a + 1 - own
+            while c >= 0 and sum(size[c:b]) < least:
+                c -= 1
+            if c >= 0:
+                runs.add((c, b))
+        keys = [(tuple(h[a:b]), a, b) for a, b in runs]
+        if m and sum(size) < least:
+            keys.append((("whole", *h), 0, m))
+        for key, a, b in sorted(keys, key=lambda x: x[1:]):
+            if seen.setdefault(key, (i, a)) != (i, a):
+                gone.setdefault(i, set()).update(range(a, b))
+    return {i: (count[i], len(g)) for i, g in gone.items()}
+
+
+def test_whole_sentences_equal_brute_force(spark, sf, planted):
+    for texts in (planted[0], {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}):
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        rows = {r.doc_id: (r.n_sentences, r.n_removed) for r in sentences.remove_repeats(docs, whole=True, only_changed=True).collect()}
+        assert rows == brute_whole(texts, sentences.RUN, sentences.LEAST_WORDS)
+
+
+def test_sentence_query_leaves_clean_documents_and_catches_long_repeats(spark):
+    """Over the query's own table: documents with a 50-word passage of an earlier document are changed, those without any 50-word repeat hardly ever."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    changed = {r.doc_id for r in queries.op2_sentence_dedup(spark, sf).collect()}
+    repeats = set(later_windows(texts, 50))
+    short = {i for i, t in texts.items() if t and any(j < i and texts[j] == t for j in texts)}
+    assert len(repeats & changed) >= 0.97 * len(repeats) and len(changed - repeats - short) <= 0.03 * (len(texts) - len(repeats))
+
+
 def test_sentence_query_finds_planted(spark, planted):
     texts, holders = planted
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

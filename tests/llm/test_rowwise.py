@@ -217,6 +217,31 @@ def test_license_fuzzy_and_awkward(spark, awkward, nothing):
     assert license.scan(awkward).count() == len(AWKWARD) and license.scan(nothing).count() == 0
 
 
+def test_license_notices_with_edits_equal_plain_search():
+    """Labels of texts with edited notices against the bounded-error search over the whole text, without seeds."""
+    import random
+
+    import regex
+
+    r, scanner = random.Random(7), license.Scanner()
+    patterns = [(label, regex.compile(b"(?b)(?:" + regex.escape(own, special_only=True) + b"){e<=" + str(edits).encode() + b"}")) for label, own, edits, *_ in scanner.notices]
+    some = 0
+    for _ in range(60):
+        label, own, edits, *_ = r.choice(scanner.notices)
+        text = bytearray(own)
+        for _ in range(r.randint(0, edits + 2)):
+            i = r.randrange(len(text))
+            r.choice([lambda: text.__setitem__(i, r.choice(b"xyz")), lambda: text.insert(i, r.choice(b"xyz")), lambda: text.__delitem__(i)])()
+        whole = b"some words before " + bytes(text) + b" and after it"
+        want = {x for x, p in patterns if p.search(whole)}
+        got = {x[0] for x in scanner.fuzzy(whole)}
+        assert got <= want and bool(got) == bool(want)  # where notices overlap the nearest alone is reported
+        best = min(((sum(m.fuzzy_counts) / len(n), x) for (x, p), (_, n, *_) in zip(patterns, scanner.notices, strict=True) if (m := p.search(whole))), default=None)
+        assert best is None or best[1] in got
+        some += bool(want)
+    assert some > 20
+
+
 def test_license_seeds_lose_nothing():
     """Every match within the edits holds a seed: against the plain fuzzy search over the whole text."""
     scanner, r = license.Scanner(), random.Random(4)

@@ -31,7 +31,7 @@ def test_sentence_copies_of_any_shape_are_removed(spark):
 def test_frequent_runs_and_ties(spark, monkeypatch):
     r = random.Random(6)
     word = lambda: "".join(r.choices("abcdefghij", k=6))
-    common_ = " ".join(f"{word()} {word()} {word()}." for _ in range(4))
+    common_ = " ".join(f"{word()} {word()} {word()}." for _ in range(12))
     texts = [f"{word()} {word()} {word()}. {common_} {word()} {word()}." for _ in range(40)] + ["", None, common_, common_]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = []
