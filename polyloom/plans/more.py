@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from polyloom.functions import labels, sequence
 from polyloom.operators import breeding, diversity, genotype, profiles, quality, sets
 from polyloom.plans import tables as t
-from polyloom.plans.registry import _CELLS, _DEPTH, _SETS, _aaaa, _cells, _depth, _site_sets, query, r6
+from polyloom.plans.registry import _CELLS, _DEPTH, _aaaa, _cells, _depth, query, r6
 from polyloom.plans.tables import cte
 
 _SRC = "g AS (SELECT source, count(*) AS total, count(*) FILTER (length(text) >= 500) AS functional, count(DISTINCT lang) AS alleles, count(*) FILTER (length(text) >= 500) / count(*)::DOUBLE AS rate FROM documents GROUP BY source)"
