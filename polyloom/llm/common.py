@@ -77,10 +77,14 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            for part in slices(batch, by, limit) if by else [batch]:
-                yield work(part)
+        pool = pa.default_memory_pool()  # Spark uses its workers again: what ``make`` sets is set back
+        try:
+            work = make()
+            for batch in batches:
+                for part in slices(batch, by, limit) if by else [batch]:
+                    yield work(part)
+        finally:
+            pa.set_memory_pool(pool)
         give_back()
 
     return df.mapInArrow(run, schema)
@@ -246,11 +250,12 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, "left_anti")
 
 
-def bounded_sample(df: DataFrame, key: str, n: int, groups: str | None = None) -> DataFrame:
-    """About n rows (of each group) that a hash of ``key`` picks; all rows where there are no more. One count over ``key`` alone comes first."""
+def bounded_sample(df: DataFrame, key: str, n: int | Callable[[int], int], groups: str | None = None) -> DataFrame:
+    """About n rows (of each group) that a hash of ``key`` picks; all rows where there are no more. One count over ``key`` alone comes first; without groups n may depend on it."""
     unit = (F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
     if groups is None:
-        return df.where(unit < min(1.0, n / max(1, df.select(key).count())))
+        total = max(1, df.select(key).count())
+        return df.where(unit < min(1.0, (n(total) if callable(n) else n) / total))
     share = {r[groups]: min(1.0, n / r["count"]) for r in df.groupBy(groups).count().collect()}
     keep = F.lit(False)
     for value, part in share.items():

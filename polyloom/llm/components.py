@@ -8,24 +8,47 @@ from pyspark.sql import functions as F
 from polyloom.llm import common
 
 
+#: Edges of one node beyond which they are not brought together: there are few such nodes (counted first), and their least neighbours are sent to all edges.
+MANY = 256
+
+
+#: Rows of edges in a partition: a small graph is worked in few tasks, so that no round writes hundreds of files.
+ROWS = 100_000
+
+
+def with_least(both: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges, each with the least neighbour m of its u. least: u, m, k_ (edges of u), already written."""
+    hot = least.where(F.col("k_") > MANY).drop("k_")
+    if not 0 < hot.count() <= common.SMALL_IDS:
+        return both.join(least.drop("k_"), "u")
+    rest = both.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.where(F.col("k_") <= MANY).drop("k_"), "u")
+    return rest.unionByName(both.join(F.broadcast(hot), "u"))
+
+
+def pairs(df: DataFrame, *ways: tuple[str, str]) -> DataFrame:
+    """Edges (u, v) from each row's columns, taken in these ways."""
+    x = F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ways])).alias("x")
+    return df.select(x).select("x.u", "x.v")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """From edges (a, b) of ids: node, component (the smallest id it reaches). Nodes without an edge are not in it; loops and repeats do no harm."""
     common.shared_dir(edges.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    before = None
+    state = lambda: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state()
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        parts = max(1, -(-before[0] // ROWS))
+        both = pairs(e.coalesce(parts), ("u", "v"), ("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k_")).coalesce(parts).checkpoint()
+        large = with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         # small star: every edge points from the larger node to the smaller
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
-        e = linked.select("u", F.col("m").alias("v")).unionByName(linked.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        linked = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        e = pairs(linked, ("u", "m"), ("v", "m")).where("u <> v").distinct().coalesce(parts).checkpoint()
+        now = state()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return pairs(e, ("u", "v"), ("v", "v")).select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()

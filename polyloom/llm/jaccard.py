@@ -7,14 +7,15 @@
 3. Inverted lists over those tokens. Lists of one class are dropped. In a short list every pair passes size, position and a
    bitmap bound (all three exact); the survivors join their classes into clusters. All classes of a long list join one cluster.
 4. Within a cluster, cut into blocks, DivideSkip finds every pair that reaches its required overlap: the short lists of a
-   query's tokens are merged and counted, the long ones probed by binary search. Each block reports a spanning forest of its links.
+   query's tokens are merged (by a sort that merges ascending runs) and counted, the long ones probed by binary search. Each block reports a spanning forest of its links.
 5. Connected components of the links.
 
 Copies are never expanded into pairs; a block's report is at most its number of classes. No pair is dropped: every step
 before 4 only rules out pairs that cannot reach the threshold.
 
 Defined results: a null text counts as empty, an empty set links with nothing (its component is its own id); a text of fewer
-words than a shingle is one shingle; repeated rows give repeated results; a null id keeps its row, with a null component.
+words than a shingle is one shingle; repeated rows give repeated results; a null id keeps its row, with a null component; ids are
+whole numbers; an empty table gives an empty table; other columns are left out (``one_of_each`` keeps them).
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from polyloom.llm.components import components
 K = 5
 #: The threshold as a fraction: 100 * intersection >= 80 * union.
 NUMERATOR, DENOMINATOR = 80, 100
-#: Documents whose shingles show which tokens are frequent (only for the order), and in how many of them a token is.
-SAMPLE, FREQUENT, MOST_FREQUENT = 8000, 3, 1_000_000
+#: Documents whose shingles show which tokens are frequent (only for the order): one in ``ONE_IN``, between the two bounds; in how many of them a token is, and how many are kept.
+SAMPLE, MOST_SAMPLE, ONE_IN, FREQUENT, MOST_FREQUENT = 8000, 400_000, 50, 3, 1_000_000
+#: Bits of the largest bitmap.
+MOST_BITS = 1 << 15
 #: Lists up to this long are searched pair by pair.
 SHORT = 128
 #: Parts that a long list is dealt into.
@@ -71,8 +74,8 @@ def shingle_sets(column: pa.Array, k: int = K) -> list[np.ndarray]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """At least two bits for a token, a power of two in all."""
-    size = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    """At least two bits for a token, a power of two in all, ``MOST_BITS`` at most: a posting's size doesn't grow with its text, and the bound holds for any size."""
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(6, int(2 * len(tokens) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -88,7 +91,7 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def frequent_tokens(docs: DataFrame, k: int, sample: int = SAMPLE) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
     """Sorted tokens that stand in several documents of a bounded sample; at most MOST_FREQUENT, 8 bytes each."""
 
     def make():
@@ -99,7 +102,7 @@ def frequent_tokens(docs: DataFrame, k: int, sample: int = SAMPLE) -> np.ndarray
 
         return work
 
-    chosen = common.bounded_sample(docs.where("text is not null"), "doc_id", sample)
+    chosen = common.bounded_sample(docs.where("text is not null"), "doc_id", lambda n: min(MOST_SAMPLE, max(SAMPLE, n // ONE_IN)))
     rows = common.map_arrow(chosen, make, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     rows = rows.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
@@ -275,6 +278,15 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy(), at - at[0]
 
 
+def merged(entries: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """From ascending lists one after the other: the entries that stand in ``least`` of them or more, and in how many. A stable sort merges ascending runs, as a heap would, a vector at a time."""
+    entries = np.sort(entries, kind="stable")
+    start = np.flatnonzero(np.append(True, entries[1:] != entries[:-1]))
+    count = np.diff(np.append(start, len(entries)))
+    keep = count >= least
+    return entries[start[keep]], count[keep]
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs at the threshold, found by DivideSkip; with ``side``, only pairs of different sides."""
     n = np.array([len(s) for s in sets], np.int64)
@@ -301,14 +313,13 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
         size = count[short]
         ends = np.cumsum(size)
         at = np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(lists_at[short], size)
-        merged = np.bincount(members[at], minlength=m)[:q]
-        able = (merged >= t - long) & (DENOMINATOR * np.minimum(n[:q], n[q]) >= NUMERATOR * np.maximum(n[:q], n[q]))
+        able, total = merged(members[at], t - long)
+        ok = (able < q) & (DENOMINATOR * np.minimum(n[able], n[q]) >= NUMERATOR * np.maximum(n[able], n[q]))
         if side is not None:
-            able &= side[:q] != side[q]
-        able = np.flatnonzero(able)
+            ok &= side[able] != side[q]
+        able, total = able[ok], total[ok]
         if not len(able):
             continue
-        total = merged[able].copy()
         for x in probed.tolist():
             entries = members[lists_at[x] : lists_at[x + 1]]
             place = np.searchsorted(entries, able)
@@ -384,8 +395,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     short = active.where(F.col("length") <= SHORT).join(base.select(F.col("doc_id").alias("rep"), "bits"), "rep").select("token", "rep", "n", "pos", "bits")
     found = short.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(candidates, "a bigint, b bigint")
     long = active.where(F.col("length") > SHORT).select("token", "rep", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"))
-    hubs = long.groupBy("token").agg(F.min("rep").alias("hub")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    hubs = long.groupBy("token", "salt").agg(F.min("rep").alias("hub"))  # each part of a list has a hub of its own, and the hubs are linked
     stars = long.join(hubs, ["token", "salt"]).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    stars = stars.unionByName(hubs.join(hubs.groupBy("token").agg(F.min("hub").alias("a")), "token").select("a", F.col("hub").alias("b")))
     clusters = components(found.unionByName(stars)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     members = clusters.join(classes.select("rep", "n"), "rep").checkpoint()
     sets = token_sets(docs, members.select("rep"), k)

@@ -91,6 +91,41 @@ def test_components(spark):
     assert all(rows[a] == rows[b] for a, b in edges) and components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    from polyloom.llm import components as module
+
+    monkeypatch.setattr(module, "MANY", 5)
+    r = random.Random(4)
+    edges = [(1000, i) for i in range(200)] + [(5, 3000 + i) for i in range(40)] + [(7000 + r.randrange(60), 7000 + r.randrange(60)) for _ in range(90)] + [(3001, 9000)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    rows = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert rows == {x: root(x) for e in edges for x in e if e[0] != e[1]}
+
+
+def test_merged_lists_equal_counting():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        lists = [np.unique(r.integers(0, 40, r.integers(1, 30))) for _ in range(r.integers(1, 12))]
+        entries, least = np.concatenate(lists), int(r.integers(1, 6))
+        count = np.bincount(entries, minlength=40)
+        who, n = jaccard.merged(entries, least)
+        assert who.tolist() == np.flatnonzero(count >= least).tolist() and n.tolist() == count[count >= least].tolist()
+
+
+def test_long_texts_have_bounded_bitmaps():
+    tokens = np.unique(np.random.default_rng(1).integers(0, 2**63, 60_000, dtype=np.uint64))
+    assert len(jaccard.bitmap(tokens)) == jaccard.MOST_BITS // 8 and len(jaccard.bitmap(tokens[:10])) == 8
+
+
 def test_bitmap_bound_never_exceeds_difference():
     r = np.random.default_rng(3)
     for _ in range(200):
