@@ -1,11 +1,14 @@
 """Exact n-gram Jaccard join by T-occurrence search, and its connected components.
 
 1. Each text becomes the set of the 64-bit hashes of its five-word shingles. Texts with equal sets are one class from here on.
-2. A pair at the threshold t shares a token among the first n - ceil(t * n) + 1 of either set, in any order that all sets share.
-   The order here puts tokens that a bounded sample shows to be frequent last (DivideSkip: long lists are not merged, they are
-   probed), the rest by hash. Only this order depends on the sample; the result does not.
-3. Inverted lists over those tokens. Lists of one class are dropped. In a short list every pair passes size, position and a
-   bitmap bound (all three exact); the survivors join their classes into clusters. All classes of a long list join one cluster.
+2. A pair at the threshold t shares ``COMMON`` tokens among the first n - ceil(t * n) + ``COMMON`` of either set, in any order that
+   all sets share. (Different sets at the threshold share four at least.) The order here puts tokens that a bounded sample shows to
+   be frequent last (DivideSkip: long lists are not merged, they are probed), the rest by hash. Only this order depends on the
+   sample; the result does not.
+3. Inverted lists over those tokens, packed into buckets of tokens. Lists of one class are dropped. Pairs pass bounds of size and
+   position, and one by bitmap (all exact): those of lists up to ``PAIRED`` are counted over all lists and, from ``COMMON`` on, meet
+   their bitmaps once; the postings of longer lists carry bitmaps. What is left joins its classes into clusters. All classes of a
+   list beyond ``SHORT`` join one cluster.
 4. Within a cluster, cut into blocks, DivideSkip finds every pair that reaches its required overlap: the short lists of a
    query's tokens are merged (by a sort that merges ascending runs) and counted, the long ones probed by binary search. Each block reports a spanning forest of its links.
 5. Connected components of the links.
@@ -34,11 +37,17 @@ K = 5
 #: The threshold as a fraction: 100 * intersection >= 80 * union.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Documents whose shingles show which tokens are frequent (only for the order): one in ``ONE_IN``, between the two bounds; in how many of them a token is, and how many are kept.
-SAMPLE, MOST_SAMPLE, ONE_IN, FREQUENT, MOST_FREQUENT = 8000, 400_000, 50, 3, 1_000_000
+SAMPLE, MOST_SAMPLE, ONE_IN, FREQUENT, MOST_FREQUENT = 8000, 800_000, 25, 3, 1_000_000
 #: Bits of the largest bitmap.
 MOST_BITS = 1 << 15
-#: Lists up to this long are searched pair by pair.
-SHORT = 128
+#: Tokens that the prefixes of a pair share, 4 at most.
+COMMON = 3
+#: Lists up to ``PAIRED`` give out their pairs; those up to ``SHORT`` are searched pair by pair with bitmaps.
+PAIRED, SHORT = 16, 256
+#: Postings of a bucket.
+BUCKET = 400_000
+#: Ids that are sent to the Python workers as a sorted array, 8 bytes each, so that no text is shuffled.
+SORTED_IDS = 4_000_000
 #: Parts that a long list is dealt into.
 SALTS = 32
 #: Classes and tokens of a block.
@@ -50,7 +59,8 @@ def least_overlap(a, b):
 
 
 def prefix_length(n):
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    """No set of under four tokens links with another."""
+    return np.where(n < 4, 0, n - -(-NUMERATOR * n // DENOMINATOR) + COMMON)
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -74,11 +84,10 @@ def shingle_sets(column: pa.Array, k: int = K) -> list[np.ndarray]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """At least two bits for a token, a power of two in all, ``MOST_BITS`` at most: a posting's size doesn't grow with its text, and the bound holds for any size."""
-    size = 1 << min(MOST_BITS.bit_length() - 1, max(6, int(2 * len(tokens) - 1).bit_length()))
-    bits = np.zeros(size, np.uint8)
-    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    """Parities of the tokens at each place; a bit or more for a token, a power of two in all, ``MOST_BITS`` at most. A token that only one set has changes one bit, so the bound holds for any size."""
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(6, int(len(tokens) - 1).bit_length()))
+    bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
 def signature(tokens: np.ndarray) -> tuple[int, int]:
@@ -125,12 +134,12 @@ def prepared(docs: DataFrame, frequent: np.ndarray, k: int) -> DataFrame:
                 n = len(s)
                 if n:
                     flag = is_hot[first : first + n]
-                    p = prefix_length(n)
+                    p = int(prefix_length(n))
                     cold = s[~flag][:p]
                     prefixes.append(cold if len(cold) == p else np.concatenate([cold, s[flag][: p - len(cold)]]))
                 first += n
             sizes = np.array([len(s) for s in sets], np.int64)
-            rows = np.concatenate([[0], np.cumsum(np.where(sizes > 0, prefix_length(sizes), 0))])
+            rows = np.concatenate([[0], np.cumsum(prefix_length(sizes))])
             sig = [signature(s) for s in sets]
             return pa.RecordBatch.from_arrays(
                 [
@@ -209,22 +218,28 @@ class Forest:
 
 
 def folded(flat: np.ndarray, first: np.ndarray, words: np.ndarray, rows: np.ndarray, to: int) -> np.ndarray:
-    """The bitmaps of ``rows`` folded to ``to`` 64-bit words; a fold is the disjunction of the halves."""
+    """The bitmaps of ``rows`` folded to ``to`` 64-bit words; a fold is the exclusive disjunction of the halves."""
     out = np.zeros((len(rows), to), np.uint64)
     for w in np.unique(words[rows]):
         own = np.flatnonzero(words[rows] == w)
         x = flat[first[rows[own]][:, None] + np.arange(w)]
         while x.shape[1] > to:
-            x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
         out[own] = x
     return out
 
 
+def placed(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which pairs of postings size and position allow to reach the threshold."""
+    a, b = n[i], n[j]
+    return (DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)) & (np.minimum(pos[i], pos[j]) + np.minimum(a - pos[i], b - pos[j]) >= least_overlap(a, b))
+
+
 def possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, flat: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Which pairs of postings size, position and bitmap allow to reach the threshold."""
     a, b = n[i], n[j]
     need = least_overlap(a, b)
-    ok = (DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)) & (1 + np.minimum(pos[i], pos[j]) + np.minimum(a - pos[i], b - pos[j]) - 1 >= need)
+    ok = placed(i, j, n, pos)
     left = np.flatnonzero(ok)
     to = np.minimum(words[i[left]], words[j[left]])
     for w in np.unique(to):
@@ -237,6 +252,104 @@ def possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, flat:
     return ok
 
 
+def packed(buckets: int):
+    """From prefixes (rep, n, prefix): the postings of a batch in each bucket, as columns of bytes. A bucket is told by a token's upper 24 bits, and the lower 40 tell its tokens apart: two that fall together only make a list longer."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prefix = common.column(batch, "prefix")
+        size = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        token = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        row = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+        rep = common.column(batch, "rep").to_numpy()
+        least = int(rep.min()) if len(rep) else 0
+        narrow = lambda x: x.astype(next(t for t in (np.uint16, np.uint32, np.uint64) if not len(x) or int(x.max()) <= np.iinfo(t).max))
+        values = [(token & np.uint64(0xFFFFFFFF)).astype(np.uint32), (token >> np.uint64(32)).astype(np.uint8), narrow((rep.view(np.uint64) - np.int64(least).view(np.uint64)))[row], narrow(common.column(batch, "n").to_numpy())[row], narrow(pos)]
+        ends = np.append(at, len(order))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[order[at]]), pa.array(np.full(len(at), least), pa.int64()), *(_bytes(v[order], ends) for v in values)],
+            names=["bucket", "least", "low", "high", "rep", "n", "pos"],
+        )
+
+    return work
+
+
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the values between the ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """token (the lower 40 bits), rep, n, pos of a bucket's rows."""
+    out: dict[str, list] = {c: [] for c in ("token", "rep", "n", "pos")}
+    for least, low, high, *rest in zip(*(t.column(c).to_pylist() for c in ("least", "low", "high", "rep", "n", "pos")), strict=True):
+        count = len(high)
+        out["token"].append(np.frombuffer(low, np.uint32) | (np.frombuffer(high, np.uint8).astype(np.int64) << 32))
+        rep, n, pos = (np.frombuffer(x, f"u{len(x) // count}") for x in rest)
+        out["rep"].append((rep.astype(np.uint64) + np.int64(least).view(np.uint64)).view(np.int64))
+        out["n"].append(n.astype(np.int64))
+        out["pos"].append(pos.astype(np.int64))
+    return tuple(np.concatenate(x) for x in out.values())
+
+
+LISTED = "kind int, x bigint, y bigint, c int, n int, pos int"
+
+
+def listed(paired: int, short: int):
+    """From packed postings sorted by bucket: (0, a, b, lists) for the pairs of lists up to ``paired`` long that size and position allow, and
+    (1, token, rep, length, n, pos) for the postings of longer lists; up to ``short`` only for those with a partner by size and position."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, runs in sorted_runs(batches, ["bucket"]):
+            for x, y in zip(runs[:-1], runs[1:], strict=True):
+                part = t.slice(x, y - x)
+                bucket = int(part.column("bucket")[0].as_py())
+                token, rep, n, pos = unpacked(part)
+                order = np.argsort(token, kind="stable")
+                token, rep, n, pos = token[order], rep[order], n[order], pos[order]
+                start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+                size = np.diff(np.append(start, len(token)))
+                keys, keep = [], np.repeat(size > short, size)
+                for m in np.unique(size[(size > 1) & (size <= short)]):
+                    own = start[size == m]
+                    i0, j0 = np.triu_indices(int(m), 1)
+                    step = max(1, 400_000 // len(i0))
+                    for k in range(0, len(own), step):
+                        i, j = (own[k : k + step, None] + i0).ravel(), (own[k : k + step, None] + j0).ravel()
+                        ok = (rep[i] != rep[j]) & placed(i, j, n, pos)
+                        i, j = i[ok], j[ok]
+                        if m <= paired:
+                            keys.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1))
+                        else:
+                            keep[i] = keep[j] = True
+                pair = np.concatenate([*keys, np.zeros((0, 2), np.int64)])
+                pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+                first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1))) if len(pair) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(pair)))
+                none = np.zeros(len(first), np.int32)
+                yield _listed(0, pair[first, 0], pair[first, 1], count, none, none)
+                yield _listed(1, token[keep] | (np.int64(bucket) << 40), rep[keep], np.repeat(size, size)[keep], n[keep], pos[keep])
+
+    return work
+
+
+def _listed(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["kind", "x", "y", "c", "n", "pos"])
+
+
+def met(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """From pairs (a, b, na, nb, bits_a, bits_b): those that the bitmaps allow to reach the threshold."""
+    m = batch.num_rows
+    n = np.concatenate([common.column(batch, c).to_numpy() for c in ("na", "nb")]).astype(np.int64)
+    data, at = _binary(pa.chunked_array([common.column(batch, "bits_a"), common.column(batch, "bits_b")]))
+    ok = possible(np.arange(m), np.arange(m, 2 * m), n, np.zeros(2 * m, np.int64), data.view(np.uint64), at[:-1] // 8, np.diff(at) // 8)
+    return pa.RecordBatch.from_arrays([common.column(batch, c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+
+
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From postings (token, rep, n, pos, bits) sorted by token: for each list a spanning forest of the pairs that are possible."""
     for t, runs in sorted_runs(batches, ["token"]):
@@ -369,17 +482,28 @@ def blocks(members: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """rep and its tokens (8 bytes each) for the documents of ``ids``; these are sent to all executors only where their number is small."""
-    few = ids.count() <= common.SMALL_IDS
-    chosen = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi")
+    """rep and its tokens (8 bytes each) for the documents of ``ids``. Few ids are sent to all executors, more of them as a sorted array; only beyond ``SORTED_IDS`` texts are shuffled."""
+    number, chosen, shared = ids.count(), docs, None
+    if number <= common.SMALL_IDS:
+        chosen = docs.join(F.broadcast(ids), docs["doc_id"] == ids["rep"], "left_semi")
+    elif number <= SORTED_IDS:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("rep").to_numpy()))
+        chosen = docs.where("doc_id is not null")
+    else:
+        chosen = docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi")
 
     def make():
+        wanted = shared.value if shared else None
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if wanted is not None:
+                own = common.column(batch, "doc_id").to_numpy()
+                batch = batch.filter(pa.array(wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own))
             return pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), pa.array([s.tobytes() for s in shingle_sets(common.texts(batch), k)], pa.binary())], names=["rep", "tokens"])
 
         return work
 
-    return common.map_arrow(chosen, make, "rep bigint, tokens binary").dropDuplicates(["rep"]) if not few else common.map_arrow(chosen, make, "rep bigint, tokens binary")
+    return common.map_arrow(chosen, make, "rep bigint, tokens binary")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -388,12 +512,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     base = common.materialise(prepared(docs, frequent_tokens(docs, k), k))
     classes = base.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    own = base.select(F.col("doc_id").alias("rep"), "n", "prefix").join(classes.select("rep"), "rep").select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    lengths = own.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    active = common.materialise(own.join(lengths, "token"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    short = active.where(F.col("length") <= SHORT).join(base.select(F.col("doc_id").alias("rep"), "bits"), "rep").select("token", "rep", "n", "pos", "bits")
-    found = short.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(candidates, "a bigint, b bigint")
+    copies = base.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("rep"))
+    sets = base.where("n >= 4 and doc_id is not null").select(F.col("doc_id").alias("rep"), "n", "prefix")
+    total = base.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
+    buckets = 1 + total * (DENOMINATOR - NUMERATOR) // (DENOMINATOR * BUCKET)
+    postings = common.map_arrow(common.without(sets, copies, "rep"), lambda: packed(buckets), "bucket int, least bigint, low binary, high binary, rep binary, n binary, pos binary", by=None)
+    lists = common.materialise(postings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(listed(min(PAIRED, SHORT), SHORT), LISTED))
+    bits = base.select(F.col("doc_id").alias("rep"), "n", "bits")
+    close = lists.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON).drop("c")
+    close = close.join(bits.toDF("a", "na", "bits_a"), "a").join(bits.toDF("b", "nb", "bits_b"), "b")
+    close = common.map_arrow(close, lambda: met, "a bigint, b bigint", by=None)
+    active = lists.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("rep"), F.col("c").alias("length"), "n", "pos")
+    short = active.where(F.col("length") <= SHORT).join(bits.select("rep", "bits"), "rep").select("token", "rep", "n", "pos", "bits")
+    found = short.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(candidates, "a bigint, b bigint").unionByName(close)
     long = active.where(F.col("length") > SHORT).select("token", "rep", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"))
     hubs = long.groupBy("token", "salt").agg(F.min("rep").alias("hub"))  # each part of a list has a hub of its own, and the hubs are linked
     stars = long.join(hubs, ["token", "salt"]).select(F.col("hub").alias("a"), F.col("rep").alias("b"))

@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from polyloom.llm import jaccard, queries
+from polyloom.llm import common, jaccard, queries
 from polyloom.llm.components import components
 
 from .conftest import AWKWARD
@@ -136,3 +138,43 @@ def test_bitmap_bound_never_exceeds_difference():
         first, to = np.array([0, len(x)]), min(len(x), len(y))
         apart = np.bitwise_count(jaccard.folded(flat, first, words, np.array([0]), to) ^ jaccard.folded(flat, first, words, np.array([1]), to)).sum()
         assert apart <= len(np.setxor1d(a, b))
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    time.sleep(0.5)
+    rows = sc.statusStore().executorList(False)
+    return sum(rows.apply(i).totalShuffleWrite() for i in range(rows.size()))
+
+
+def test_shared_passages_of_long_texts_shuffle_little(spark):
+    """Long texts that share half of their passages with the next: their shared tokens carry no bitmaps, however many partitions they are dealt to."""
+    r = random.Random(5)
+    passages = [" ".join(f"w{r.randrange(10**6)}" for _ in range(1000)) for _ in range(41)]
+    texts = {i: f"{a} {b}" for i, (a, b) in enumerate(zip(passages[:-1], passages[1:], strict=True))}
+    docs = common.materialise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    before = shuffled(spark)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        got = found(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == {i: (1996, i) for i in texts}
+    assert shuffled(spark) - before < 4 * sum(map(len, texts.values()))
+
+
+def test_packed_postings_come_back():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 5, 300, 0, 70_000)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    ids = [-7, 3, 2**62, 9, -(2**63)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), common.lists(np.concatenate(sets).view(np.int64), at, pa.int64())], names=["rep", "n", "prefix"])
+    t = pa.Table.from_batches([jaccard.packed(7)(batch)])
+    got = set()
+    for i in range(t.num_rows):
+        token, *rest = (x.tolist() for x in jaccard.unpacked(t.slice(i, 1)))
+        got |= {(t.column("bucket")[i].as_py(), *row) for row in zip(token, *rest, strict=True)}
+    assert got == {((x >> 40) % 7, x & (1 << 40) - 1, ids[k], len(s), p) for k, s in enumerate(sets) for p, x in enumerate(s.tolist())}
