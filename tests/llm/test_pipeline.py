@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from polyloom.llm import common, secrets
+from polyloom.llm import common, jaccard, secrets
 
 from .test_jaccard import brute
 
@@ -56,3 +56,15 @@ def test_contract():
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
     assert set(entry_point.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "BPE encoding and decoding"]
+
+
+def test_near_duplicates_of_many_ids_keep_texts_in_place(spark, sf, monkeypatch):
+    """Where more ids are compared than a join sends out, stage 2 gives the same rows and its plan shuffles no text for them."""
+    docs = common.table(spark, sf, "documents")
+    ids = docs.where("doc_id % 2 = 0").selectExpr("doc_id AS rep")
+    whole = docs.select("doc_id", "text")
+    want = {(r.rep, bytes(r.tokens)) for r in jaccard.token_sets(whole, ids, jaccard.K).collect()}
+    monkeypatch.setattr(common, "SMALL_IDS", 1)
+    sets = jaccard.token_sets(whole, ids, jaccard.K)
+    assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+    assert {(r.rep, bytes(r.tokens)) for r in sets.collect()} == want
