@@ -178,3 +178,49 @@ def test_packed_postings_come_back():
         token, *rest = (x.tolist() for x in jaccard.unpacked(t.slice(i, 1)))
         got |= {(t.column("bucket")[i].as_py(), *row) for row in zip(token, *rest, strict=True)}
     assert got == {((x >> 40) % 7, x & (1 << 40) - 1, ids[k], len(s), p) for k, s in enumerate(sets) for p, x in enumerate(s.tolist())}
+
+
+@pytest.mark.parametrize("rows", [100_000, 40])
+def test_components_read_no_more_rows_than_nodes_allow(spark, monkeypatch, rows):
+    """All pairs of a group: what the rounds read grows with its nodes. Few rows a task make the rounds run."""
+    from polyloom.llm import components as module
+
+    monkeypatch.setattr(module, "ROWS", rows)
+    monkeypatch.setattr(module, "MANY", 5)
+    read, pairs = [], module.pairs
+
+    def counted(df, *ways):
+        if df.columns == ["u", "v"]:
+            read.append(df.count())
+        return pairs(df, *ways)
+
+    monkeypatch.setattr(module, "pairs", counted)
+    edges = [(7 * a, 7 * b) for a in range(1, 150) for b in range(a)] + [(5000 + i, 5001 + i) for i in range(100)] + [(9000, 9000)]
+    random.Random(2).shuffle(edges)
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {7 * a: 0 for a in range(150)} | {5000 + i: 5000 for i in range(101)}
+    assert max(read) <= 4 * len(got)
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (50, 20), (50, 60), (3000, 2500)])
+def test_stars_of_a_task(monkeypatch, n, m):
+    from polyloom.llm import components as module
+
+    monkeypatch.setattr(module, "ROWS", 30)
+    r = np.random.default_rng(n)
+    ids = np.unique(r.integers(-(2**63), 2**63 - 1, n))
+    edges = ids[r.integers(0, len(ids), (m, 2))]
+    up = {int(i): int(i) for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges.tolist():
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"]) for x in np.array_split(edges, 7)]
+    rows = [x for t in module.stars(iter(batches)) for x in zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True)]
+    assert sorted(rows) == sorted((x, root(x)) for x in up if root(x) != x)
+    assert [t.num_rows for t in module.stars(iter([]))] == [0]
