@@ -68,3 +68,23 @@ def test_near_duplicates_of_many_ids_keep_texts_in_place(spark, sf, monkeypatch)
     sets = jaccard.token_sets(whole, ids, jaccard.K)
     assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
     assert {(r.rep, bytes(r.tokens)) for r in sets.collect()} == want
+
+
+def test_links_of_a_cut_cluster_are_contracted_before_the_rounds(spark, monkeypatch):
+    """160 near copies in 20 blocks: each pair of blocks reports a forest, and the rounds read no more rows than there are copies."""
+    from polyloom.llm import components
+
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    read, pairs = [], components.pairs
+
+    def counted(df, *ways):
+        if df.columns == ["u", "v"]:
+            read.append(df.count())
+        return pairs(df, *ways)
+
+    monkeypatch.setattr(components, "pairs", counted)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} own{i}", "en", "s", 0) for i in range(160)] + [(999, base.replace("w", "v"), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 999]
+    assert max(read) < 160
